@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from smsward.llm.common import table
 
@@ -12,7 +13,17 @@ from smsward.llm.common import table
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from smsward.llm.substrings import remove_repeats
 
-    return remove_repeats(table(spark, sf_dir, "documents", "doc_id", "text"), window=35, digest=True)
+    kept = remove_repeats(table(spark, sf_dir, "documents", "doc_id", "text"), window=35)
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op8_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from smsward.llm.bpe import encode_documents
+
+    coded = encode_documents(table(spark, sf_dir, "documents", "doc_id", "text"), public_tokenizers.path("byte_bpe_50k.json"))
+    return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -21,7 +21,6 @@ The input must be read the same again if a task is repeated: a file scan or a wr
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -198,17 +197,9 @@ def _apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string())], ["doc_id", "n_words", "n_removed", "kept"])
 
 
-def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in _apply(batches):
-        kept = [hashlib.sha256(x.as_py().encode()).hexdigest() for x in batch.column("kept")]
-        yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(kept, pa.string())], ["doc_id", "n_words", "n_removed", "kept_sha256"])
-
-
-def remove_repeats(docs: DataFrame, window: int = 35, digest: bool = False) -> DataFrame:
-    """doc_id, n_words, n_removed and kept (the kept words, joined by a space), or kept_sha256 with digest."""
+def remove_repeats(docs: DataFrame, window: int = 35) -> DataFrame:
+    """doc_id, n_words, n_removed and kept (the kept words, joined by a space)."""
     spans = removal_spans(docs, window)
     own = docs.select("doc_id", "text", *_key())
     joined = own.join(spans.hint("shuffle_hash"), ["k1", "k2"], "left").select("doc_id", "text", "spans")
-    if digest:
-        return joined.mapInArrow(_digests, "doc_id long, n_words long, n_removed long, kept_sha256 string")
     return joined.mapInArrow(_apply, "doc_id long, n_words long, n_removed long, kept string")
