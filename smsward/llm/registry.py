@@ -27,6 +27,13 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op5_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from smsward.llm.imatch import compare_with_edits
+
+    made = compare_with_edits(table(spark, sf_dir, "documents", "doc_id", "text"))
+    return made.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+
+
 def op6_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from smsward.llm import urls
 
