@@ -10,6 +10,12 @@ from pyspark.sql import functions as F
 from smsward.llm.common import table
 
 
+def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from smsward.llm.minhash import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text")).select("doc_id", "group_id")
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from smsward.llm import toxicity
 
