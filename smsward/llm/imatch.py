@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from smsward.llm.common import shuffle_partitions
 
 LOW, HIGH = 0.01, 0.25
-SUBSETS = 16
+SUBSETS = 8
 MAX_LEXICON = 60_000
 MAX_RANGES = 512
 
@@ -51,22 +51,19 @@ def fingerprint(df: DataFrame, text: str, name: str, band: list[int], subsets: i
     df = df.withColumn("_band", F.transform(F.array_sort(chosen), lambda t: F.xxhash64(t, F.lit(1))))
     df = df.withColumn("_all", F.xxhash64(F.array_sort("_terms")))
 
-    def signature(k: int) -> Column:
-        """The band's terms in the sparsest lexicon of family k that has any: one pass, with the level reached so far."""
-        x = lambda h: F.xxhash64(h, F.lit(k))
-        # pairs of zero bits at the end: in how many of the family's sparser lexicons the term is
-        ranked = F.transform("_band", lambda h: F.struct(F.shiftright(F.bit_count(x(h).bitwiseAND(-x(h)) - 1), 1).alias("level"), h.alias("h")))
-        none = F.struct(F.lit(-1).alias("level"), F.slice("_band", 1, 0).alias("own"))
+    place = lambda h, k: F.shiftrightunsigned(F.xxhash64(h, F.lit(k)), 1)
+    # the sparsest lexicon of family k that has any term of the band is that of places below the power of 4 over the least
+    def bound(k: int) -> Column:
+        return F.pow(F.lit(4.0), F.ceil(F.log(4.0, F.array_min(F.transform("_band", lambda h: place(h, k))) + 1.0)))
 
-        def take(best: Column, s: Column) -> Column:
-            more = F.struct(best["level"].alias("level"), F.concat(best["own"], F.array(s["h"])).alias("own"))
-            return F.when(s["level"] > best["level"], F.struct(s["level"].alias("level"), F.array(s["h"]).alias("own"))).when(s["level"] == best["level"], more).otherwise(best)
+    def chosen_of(k: int) -> Column:
+        return F.filter("_band", lambda h: place(h, k) < F.col(f"_t{k}"))
 
-        return F.aggregate(ranked, none, take, lambda best: best["own"])
-
-    df = df.withColumns({f"_s{k}": signature(k) for k in range(subsets)})
-    sealed = [F.when(F.size(f"_s{k}") > 0, F.xxhash64(F.lit(k), f"_s{k}")).otherwise(F.xxhash64(F.lit(-1 - k), "_all")) for k in range(subsets)]
-    return df.withColumn(name, F.array(*sealed)).drop("_terms", "_band", "_all", *(f"_s{k}" for k in range(subsets)))
+    df = df.withColumns({f"_t{k}": bound(k) for k in range(subsets)})
+    df = df.withColumns({f"_s{k}": chosen_of(k) for k in range(subsets)})
+    # _t is used here too, as a column of its own: were it folded into the filter, it would be found anew for each term
+    sealed = [F.when(F.size(f"_s{k}") > 0, F.xxhash64(F.lit(k), f"_s{k}", f"_t{k}")).otherwise(F.xxhash64(F.lit(-1 - k), "_all")) for k in range(subsets)]
+    return df.withColumn(name, F.array(*sealed)).drop("_terms", "_band", "_all", *(f"_{x}{k}" for x in "st" for k in range(subsets)))
 
 
 def shown(signatures: Column) -> Column:
