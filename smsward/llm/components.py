@@ -1,8 +1,9 @@
-"""Connected components of an edge table, by minimum labels and pointer jumping.
+"""Connected components of an edge table, by minimum labels, pointer jumping and contraction.
 
-Each round takes the least label among neighbours (a partial aggregate before its shuffle, so a node of any
-degree is one row a task) and then the label's own label. Labels are written to the shared folder each round
-and nothing but the number of changes reaches the driver.
+Each round every node takes the least of itself and its neighbours (a partial aggregate before its shuffle,
+so a node of any degree is one row a task), then that label's own label; edges are then rewritten between
+labels, and equal ones and loops go, so that a group of any size is a few edges after the first round.
+Tables of a round are written to the shared folder, and only whether edges remain reaches the driver.
 """
 
 from __future__ import annotations
@@ -14,17 +15,22 @@ from smsward.llm.common import written
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
-    """edges: a, b (longs). Gives node, root for each node of an edge; root: the component's least node."""
-    both = written(edges.select("a", "b").union(edges.select("b", "a")).filter("a <> b").distinct(), "edges")
-    labels = written(both.groupBy(F.col("a").alias("node")).agg(F.least(F.first("a"), F.min("b")).alias("root")), "labels")
+    """edges: a, b (longs). Gives node, root for each node of an edge; root: one of the component's nodes."""
+    edges = written(edges.select("a", "b").filter("a <> b").distinct(), "edges")
+    labels = None
     for _ in range(most_rounds):
-        near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("root").alias("best"))
-        stepped = labels.join(near, "node").select("node", "root", F.least("root", "best").alias("best"))
-        own = labels.select(F.col("node").alias("best"), F.col("root").alias("up"))
-        jumped = stepped.join(own, "best").select("node", F.col("root").alias("was"), F.least("best", "up").alias("root"))
-        after = written(jumped, "labels")
-        changed = after.filter("was <> root").limit(1).count()
-        labels = after.select("node", "root")
-        if not changed:
+        ends = edges.select(F.col("a").alias("node"), "b").union(edges.select(F.col("b").alias("node"), "a"))
+        step = written(ends.groupBy("node").agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("up")), "step")
+        next_up = step.select(F.col("node").alias("up"), F.col("up").alias("root"))
+        jump = written(step.join(next_up, "up").select("node", "root"), "jump")
+        if labels is None:
+            labels = jump
+        else:
+            own = jump.select(F.col("node").alias("root"), F.col("root").alias("top"))
+            labels = written(labels.join(own, "root", "left").select("node", F.coalesce("top", "root").alias("root")), "labels")
+        first = edges.join(jump.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a")
+        both = first.join(jump.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b")
+        edges = written(both.filter("ra <> rb").select(F.col("ra").alias("a"), F.col("rb").alias("b")).distinct(), "edges")
+        if not edges.limit(1).count():
             return labels
     raise RuntimeError("components did not settle")
