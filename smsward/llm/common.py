@@ -6,9 +6,6 @@ memory of a task is bounded by the block and by the longest single text, not by
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,6 +13,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
+from smsward.scratch import written  # noqa: F401  (operators take it from here)
+
 U64 = np.uint64
 BLOCK = 1 << 20
 
@@ -34,22 +33,6 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
     return df.select(*columns) if columns else df
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; only where the session names none, a local one."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = f"file://{os.path.join(tempfile.gettempdir(), 'checkpoints')}"
-    return base.rstrip("/")
-
-
-def written(df: DataFrame, what: str) -> DataFrame:
-    """Writes df to the shared folder and reads it again: cuts the lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/smsward-{what}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def plan_bytes(df: DataFrame) -> int:
     """Catalyst's estimate of the size of df; for file scans, of the files. 0 where it has none."""
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
