@@ -12,6 +12,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from smsward.scratch import written  # noqa: F401  (operators take it from here)
 
@@ -121,6 +122,25 @@ def blocks(batches: Iterator[pa.RecordBatch], column: str, lower: bool = False,
             at = to
 
 
+HOT_SHARE = 1e-3
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], count: str = "n") -> DataFrame:
+    """rows joined to groups, which has one row for each value of the keys and in `count` how many rows hold it.
+
+    Groups over HOT_SHARE of the summed counts are at most 1 / HOT_SHARE; these are broadcast, so that their rows
+    stay where they are. All others meet by shuffle, where no key is hot. Both inputs are read up to three times
+    and ought to be tables. Keys must not be null.
+    """
+    size = groups.agg(F.sum(count).alias("total"), F.max(count).alias("most")).first()
+    least = (size.total or 0) * HOT_SHARE
+    if (size.most or 0) <= least:
+        return rows.join(groups, keys).drop(count)
+    hot, cold = F.broadcast(groups.filter(F.col(count) > least)), groups.filter(F.col(count) <= least)
+    rest = rows.join(hot.select(*keys), keys, "left_anti").join(cold, keys)
+    return rows.join(hot, keys).unionByName(rest).drop(count)
+
+
 def within(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For groups of these sizes laid end to end: each element's group, and its place in the group."""
     group = np.repeat(np.arange(len(counts)), counts)

@@ -7,7 +7,8 @@ text-only posteriors over all pages; host counts are smoothed towards their suff
 (SMOOTH pseudo-pages a level), and a page's own posterior is taken out of its prior.
 
 The n-gram models learn from at most SAMPLE documents in expectation, by hash, of any number of labelled
-languages up to MAX_LANGUAGES. Hosts of any size are partial sums before their shuffle.
+languages up to MAX_LANGUAGES. Hosts of any size are partial sums before their shuffle, and the sums of the largest
+reach their pages by broadcast.
 
 Cases: null or empty html leaves the other evidence; null urls share the empty host; undeclared languages
 are a value of their own; without labelled documents the language is null; repeated rows are judged each;
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from smsward.llm.common import LETTERS, U64, blocks, mix, written
+from smsward.llm.common import LETTERS, U64, blocks, join_groups, mix, written
 from smsward.llm.urls import host_and_path
 
 BUCKETS = 1 << 15
@@ -114,23 +115,25 @@ def identify(pages: DataFrame, docs: DataFrame) -> DataFrame:
     vector = F.array(*[F.col(f"p{i}") for i in range(k)])
     whole = seen.agg(*sums).first()
     world = np.array([whole[i] or 0.0 for i in range(k)]) + 1.0
-    world = F.array(*[F.lit(float(v)) for v in world / world.sum()])
-    hosts = seen.groupBy("host", "suffix").agg(*sums).select("host", "suffix", vector.alias("in_host"))
-    suffixes = seen.groupBy("suffix").agg(*sums).select("suffix", vector.alias("in_suffix"))
-    claims = seen.groupBy("declared").agg(*sums).select("declared", vector.alias("in_claim"))
-    joined = seen.join(hosts, ["host", "suffix"]).join(suffixes, "suffix").join(claims, "declared")
-    total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, v: s + v)
-    less = lambda a: F.zip_with(a, "post", lambda n, p: F.greatest(n - p, F.lit(0.0)))
-    joined = joined.withColumns({"in_host": less("in_host"), "in_suffix": less("in_suffix"), "in_claim": less("in_claim"), "world": world})
-    smooth = lambda counts, up: F.zip_with(counts, up, lambda n, u: n + F.lit(SMOOTH) * u)
-    share = lambda a: F.transform(a, lambda v: v / total(a))
-    joined = joined.withColumn("by_suffix", smooth(F.col("in_suffix"), F.col("world"))).withColumn("by_suffix", share(F.col("by_suffix")))
-    joined = joined.withColumn("by_host", smooth(F.col("in_host"), F.col("by_suffix"))).withColumn("by_host", share(F.col("by_host")))
-    joined = joined.withColumn("by_claim", smooth(F.col("in_claim"), F.col("world"))).withColumn("by_claim", share(F.col("by_claim")))
-    parts = F.arrays_zip("score", "by_host", "by_claim", "world")
-    logit = F.transform(parts, lambda x: x["score"] + F.log(x["by_host"]) + F.when(F.col("declared") != "", F.log(x["by_claim"]) - F.log(x["world"])).otherwise(0.0))
-    names = F.array(*[F.lit(x) for x in langs])
-    best = lambda a: F.element_at(names, F.array_position(a, F.array_max(a)).cast("int"))
-    fused = joined.withColumn("logit", logit).withColumn("top", F.array_max("logit"))
-    fused = fused.withColumn("norm", F.aggregate(F.transform("logit", lambda v: F.exp(v - F.col("top"))), F.lit(0.0), lambda s, v: s + v))
-    return fused.select("page_id", best(F.col("logit")).alias("lang"), F.round(1 / F.col("norm"), 6).alias("confidence"), best(F.col("post")).alias("text_lang"), "declared", "host")
+    world = world / world.sum()
+    grouped = lambda what, *keys: written(seen.groupBy(*keys).agg(*sums, F.count("*").alias("n")).select(*keys, vector.alias(f"in_{what}"), "n"), what)
+    joined = join_groups(seen, grouped("host", "host", "suffix"), ["host", "suffix"])
+    joined = join_groups(joined, grouped("suffix", "suffix"), ["suffix"])
+    joined = join_groups(joined, grouped("claim", "declared"), ["declared"])
+
+    def fuse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = np.array(langs)
+        for rows in batches:
+            column = lambda c, rows=rows: rows.column(c).flatten().to_numpy(zero_copy_only=False).reshape(-1, k)
+            post = column("post")
+            others = {c: np.maximum(column(f"in_{c}") - post, 0.0) for c in ("host", "suffix", "claim")}
+            share = lambda counts, up: (counts + SMOOTH * up) / (counts + SMOOTH * up).sum(1, keepdims=True)
+            by_host, by_claim = share(others["host"], share(others["suffix"], world)), share(others["claim"], world)
+            says = np.array([bool(x) for x in rows.column("declared").to_pylist()], bool)[:, None]
+            logit = column("score") + np.log(by_host) + np.where(says, np.log(by_claim) - np.log(world), 0.0)
+            norm = np.exp(logit - logit.max(1, keepdims=True)).sum(1)
+            new = [pa.array(names[logit.argmax(1)].tolist(), pa.string()), pa.array(np.round(1 / norm, 6)), pa.array(names[post.argmax(1)].tolist(), pa.string())]
+            yield pa.RecordBatch.from_arrays([rows.column("page_id"), *new, rows.column("declared"), rows.column("host")], ["page_id", "lang", "confidence", "text_lang", "declared", "host"])
+
+    needed = joined.select("page_id", "declared", "host", "score", "post", "in_host", "in_suffix", "in_claim")
+    return needed.mapInArrow(fuse, "page_id long, lang string, confidence double, text_lang string, declared string, host string")
