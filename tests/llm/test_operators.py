@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from smsward.llm import bpe, decontaminate, imatch, language, minhash, pii, quality, substrings, toxicity, urls
+from smsward.llm import bpe, common, decontaminate, imatch, language, minhash, pii, quality, substrings, toxicity, urls
 from smsward.llm.components import components
 
 WORDS = [a + b for a in ("ba", "ke", "lo", "mi", "tu", "ra", "so") for b in ("n", "r", "st", "la", "mo", "k")]
@@ -295,6 +295,21 @@ def test_pipeline(spark, tmp_path):
     assert out.keys() == kept.keys() and out[303] == 0
 
 
+@pytest.mark.parametrize("share", [0.0, 0.2, 1.0])
+def test_join_groups(spark, monkeypatch, share):
+    """All groups broadcast, the hot one only, and none: the same rows, each once."""
+    monkeypatch.setattr(common, "HOT_SHARE", share)
+    rows = spark.createDataFrame([(i, "hot" if i % 2 else f"k{i % 14}") for i in range(60)] + [(60, "alone")], "id long, key string")
+    groups = rows.groupBy("key").agg(F.max("id").alias("top"), F.count("*").alias("n"))
+    got = common.join_groups(rows, groups, ["key"])
+    assert sorted(got.columns) == ["id", "key", "top"]
+    top = collections.defaultdict(int)
+    for r in rows.collect():
+        top[r.key] = max(top[r.key], r.id)
+    assert sorted((r.id, r.key, r.top) for r in got.collect()) == sorted((r.id, r.key, top[r.key]) for r in rows.collect())
+    assert common.join_groups(rows.limit(0), groups.limit(0), ["key"]).count() == 0
+
+
 def test_hash_helpers():
     from smsward.llm.common import pack, unpack
 
