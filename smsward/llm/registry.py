@@ -97,6 +97,25 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 ORACLE: dict[str, str] = {
+    "op4_substring_dedup": r"""
+        WITH docs AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+        words AS (
+            SELECT r, doc_id, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w FROM docs
+        ), windows AS (
+            SELECT r, i, array_to_string(w[i : i + 34], ' ') AS s
+            FROM (SELECT r, w, unnest(range(1, len(w) - 33)) AS i FROM words WHERE len(w) >= 35)
+        ), starts AS (
+            SELECT r, i FROM windows WHERE s IN (SELECT s FROM windows GROUP BY s HAVING count(*) > 1)
+        ), covered AS (
+            SELECT DISTINCT r, i + j AS i FROM starts, range(0, 35) AS t(j)
+        ), placed AS (
+            SELECT r, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS i FROM words
+        ), kept AS (
+            SELECT p.r, count(*) AS n, string_agg(p.word, ' ' ORDER BY p.i) AS text FROM placed p ANTI JOIN covered c ON p.r = c.r AND p.i = c.i GROUP BY p.r
+        )
+        SELECT d.doc_id, len(d.w)::BIGINT AS n_words, (len(d.w) - coalesce(k.n, 0))::BIGINT AS n_removed, sha256(coalesce(k.text, '')) AS kept_sha256
+        FROM words d LEFT JOIN kept k ON d.r = k.r
+    """,
     "op6_url_rules": r"""
         WITH parts AS (
             SELECT page_id, position('://' IN url) AS cut, substr(url, position('://' IN url) + 3) AS rest, url FROM pages
