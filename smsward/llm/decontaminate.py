@@ -3,8 +3,9 @@
 A seed mask selects some positions of a span of words and ignores the others, so a substituted word at an
 ignored position leaves the seed's hash as it was. Hashes of all masks at all words of the benchmark and of
 the training texts are joined; each hit fixes an alignment of a text and an item, and the alignment is
-verified word by word: the segment of the best score (a match counts 1, a substitution -PENALTY) must be
-LEAST words long, or as long as a shorter item, with at least SAME of its words equal.
+verified word by word: any segment of LEAST words or more, or of a whole shorter item, with at least SAME of
+its words equal counts. A match scores 1 - SAME and a substitution -SAME, so a segment qualifies just if its sum
+isn't negative, and the best of all segments of that length tells whether there is one.
 
 Up to MAX_KEYS benchmark hashes (8 bytes each) are broadcast, so that training hashes that occur in no
 item never leave their task; beyond that number all are joined by shuffle, with the same results.
@@ -30,7 +31,7 @@ from smsward.llm.common import LETTERS, U64, blocks, mix, written
 #: 1: the word counts, 0: it may differ.
 MASKS = ("11101101011", "11011100111", "11110111")
 SHORT = ("11111", "110111")
-LEAST, SAME, PENALTY = 12, 0.8, 4.0
+LEAST, SAME = 12, 0.8
 MAX_KEYS = 1 << 21
 _BITS = 20
 
@@ -95,15 +96,18 @@ def _hits(masks: tuple[str, ...], known: np.ndarray | None):
     return run
 
 
-def best_segment(doc: np.ndarray, item: np.ndarray, shift: int) -> tuple[int, int, int]:
-    """Of the alignment item[i] ~ doc[i + shift]: first item word, length and equal words of the best segment."""
+def best_segment(doc: np.ndarray, item: np.ndarray, shift: int, least: int, part: float) -> tuple[int, int, int] | None:
+    """Of the alignment item[i] ~ doc[i + shift]: first item word, length and equal words of the best segment of at
+    least `least` words; none where no such segment has the part of its words equal."""
     a, b = max(0, -shift), min(len(item), len(doc) - shift)
+    if b - a < least:
+        return None
     same = item[a:b] == doc[a + shift : b + shift]
-    total = np.concatenate([[0.0], np.cumsum(np.where(same, 1.0, -PENALTY))])
-    low = np.minimum.accumulate(total)
-    end = int(np.argmax(total - low))
-    start = int(np.argmin(total[: end + 1]))
-    return a + start, end - start, int(same[start:end].sum())
+    total = np.round(np.concatenate([[0.0], np.cumsum(same - part)]), 6)
+    gain = total[least:] - np.minimum.accumulate(total[: len(total) - least])
+    end = int(np.argmax(np.round(gain, 6))) + least
+    start = int(np.argmin(total[: end - least + 1]))
+    return (a + start, end - start, int(same[start:end].sum())) if gain[end - least] > -1e-5 else None
 
 
 def _verify(least: int, part: float):
@@ -112,7 +116,7 @@ def _verify(least: int, part: float):
             rows = []
             for cls, item, shifts, own, other in zip(*(batch.column(c).to_pylist() for c in ("class", "item", "shifts", "words", "item_words")), strict=True):
                 doc, it = np.frombuffer(own, "<u4"), np.frombuffer(other, "<u4")
-                found = max(((equal, -n, s, start) for s in shifts for start, n, equal in [best_segment(doc, it, s)] if n >= min(least, len(it)) and equal >= part * n), default=None)
+                found = max(((equal, -n, s, start) for s in shifts if (best := best_segment(doc, it, s, min(least, len(it)), part)) for start, n, equal in [best]), default=None)
                 if found:
                     equal, n, s, start = found
                     rows.append((cls, item, -n, equal, start + s, start))

@@ -111,6 +111,31 @@ def test_decontamination(spark, texts):
     assert decontaminate.contaminated(docs.limit(0), bench).count() == 0
 
 
+def test_contamination_of_substituted_passages(spark):
+    """Any aligned segment counts, also where a shorter one scores higher; against all segments of all alignments that a seed hits."""
+    rng = random.Random(3)
+    items = [[f"w{rng.randrange(10**6)}" for _ in range(n)] for n in (6, 9, 11, 12, 13, 15, 15, 17, 20, 25, 30, 45)]
+    docs = []
+    for it in items:
+        for part in (0.1, 0.15, 0.2, 0.25):
+            docs += [[f"f{rng.randrange(99)}" for _ in range(rng.randrange(4))] + [w if rng.random() >= part else "changed" for w in it] + ["end"] for _ in range(8)]
+    docs.append([w if i not in (5, 11) else "changed" for i, w in enumerate(items[5])])
+    want = set()
+    for d, doc in enumerate(docs):
+        for i, it in enumerate(items):
+            masks = decontaminate.MASKS if len(it) >= 11 else decontaminate.SHORT
+            for s in range(-len(it) + 1, len(doc)):
+                same = [0 <= k + s < len(doc) and doc[k + s] == w for k, w in enumerate(it)]
+                a, b = max(0, -s), min(len(it), len(doc) - s)
+                hit = any(all(same[p + q] for q, c in enumerate(m) if c == "1") for m in masks for p in range(a, b - len(m) + 1))
+                if hit and any(5 * sum(same[x:y]) >= 4 * (y - x) for x in range(a, b) for y in range(x + min(12, len(it)), b + 1)):
+                    want.add((d, i))
+    made = spark.createDataFrame([(d, " ".join(t)) for d, t in enumerate(docs)], DOCS)
+    found = decontaminate.contaminated(made, spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(items)], "item_id long, text string")).collect()
+    assert (len(docs) - 1, 5) in want and {(r.doc_id, r.item_id) for r in found} == want
+    assert all(5 * r.n_equal >= 4 * r.n_words and r.n_words >= min(12, len(items[r.item_id])) for r in found)
+
+
 def test_contamination_without_broadcast(spark, monkeypatch):
     monkeypatch.setattr(decontaminate, "MAX_KEYS", 0)
     rng = random.Random(9)
