@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from smsward.llm.common import shuffle_partitions
 
 LOW, HIGH = 0.01, 0.25
-SUBSETS = 8
+SUBSETS = 16
 MAX_LEXICON = 60_000
 MAX_RANGES = 512
 

@@ -161,6 +161,16 @@ def test_imatch(spark, texts):
     assert one.edited == "abab" and imatch.compare_with_edits(frame(spark, texts)).count() == len(texts)
 
 
+def test_imatch_families(spark):
+    """16 families: likenesses come in steps of 1/16, and an edit of half a text leaves some signature of nearly each."""
+    rng = random.Random(6)
+    rows = imatch.compare_with_edits(spark.createDataFrame([(i, sentence(rng, 12)) for i in range(300)], DOCS)).collect()
+    assert all(len(r.fingerprint) == len(r.edited_fingerprint) == 16 * 8 for r in rows)
+    assert all((16 * r.near_edited).is_integer() for r in rows) and any(16 * r.near_edited % 2 for r in rows)
+    chunks = lambda s: [s[i : i + 8] for i in range(0, len(s), 8)]
+    assert all(r.near_edited == sum(a == b for a, b in zip(chunks(r.fingerprint), chunks(r.edited_fingerprint), strict=True)) / 16 for r in rows)
+
+
 RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
 
 
