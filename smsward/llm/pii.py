@@ -2,8 +2,8 @@
 
 The patterns (email, ip, card, phone) give base spans, which always stay. Around digits and at-signs a
 semi-Markov CRF labels whole segments: features of the entire candidate (its shape, digits, checksum, the
-word before it) score it as a kind, and a dynamic program over segments of at most LONGEST atoms picks the
-boundaries and kinds of a region together. Segments that it finds, that touch no base span and that lead
+word before it) score it as a kind, and a dynamic program over segments of at most LONGEST atoms of the kind (spaces
+count in numbers, but not in addresses, where each dot may be a word) picks the boundaries and kinds of a region together. Segments that it finds, that touch no base span and that lead
 by MARGIN are added, as written differently: a phone number without its plus, `name at host dot com`.
 
 Training is numpy-free gradient ascent of the conditional likelihood, by forward-backward over candidate
@@ -16,6 +16,7 @@ rows and null doc_ids are kept; further columns pass through unread.
 
 from __future__ import annotations
 
+import itertools
 import math
 import random
 import re
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 
 KINDS = ("email", "ip", "card", "phone")
 SAMPLE = 1000
-LONGEST = 14
+LONGEST = {"email": 30, "ip": 14, "card": 14, "phone": 14}
 MARGIN = 1.0
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -37,7 +38,10 @@ _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _ATOM = re.compile(r"[0-9]+|[^\W\d_]+|[^\w\s]|_|\s")
-_SEED = re.compile(r"[0-9@]|(?<=[a-z0-9\])] )at(?= [a-z0-9])|\[at\]|\(at\)")
+_AT, _DOT = re.compile(r"@| at |\[at\]|\(at\)"), re.compile(r"\.| dot |\[dot\]|\(dot\)")
+_ON, _BACK = re.compile(r"(?:\.| dot |\[dot\]|\(dot\))\w"), re.compile(r"\w(?:\.| dot |\[dot\]|\(dot\))\Z")
+_DIGITS, _NUMERIC = frozenset("0123456789"), frozenset("0123456789+(")
+_SEED = re.compile(r"[0-9@]|(?<=[a-z0-9\])] )at(?= [a-z0-9])|\[at\]|\(at\)|(?<=[A-Za-z0-9] )dot(?= [A-Za-z0-9])|\[dot\]|\(dot\)")
 
 Span = tuple[int, int, str]
 
@@ -87,15 +91,31 @@ class Region:
         self.text = text
         self.atoms = [m.span() for m in _ATOM.finditer(text, start, end)]
         self.candidates: dict[tuple[int, int, str], list[str]] = {}
+        n, kinds = len(self.atoms), KINDS[1:]
         opens = [i for i, (a, _) in enumerate(self.atoms) if text[a].isalnum() or text[a] in "+("]
+        stop = self.atoms[-1][1] if n else start
+        closes = [text[b - 1].isalnum() for _, b in self.atoms]
+        spaces = [text[a].isspace() for a, _ in self.atoms]
+        addressed = _AT.search(text, start, stop)
         for i in opens:
-            for j in range(i + 1, min(i + LONGEST, len(self.atoms)) + 1):
-                a, b = self.atoms[i][0], self.atoms[j - 1][1]
-                if "\n" in text[a:b]:
+            a = self.atoms[i][0]
+            line = text.find("\n", a, stop)
+            # an address holds one at-sign and a dot: it ends from `least` on, before `most`
+            ats = [m.end() for m in itertools.islice(_AT.finditer(text, a, stop), 2)] if addressed else []
+            dot = _DOT.search(text, a, stop) if ats else None
+            least, most = (max(ats[0], dot.end()), ats[1] if len(ats) > 1 else stop + 1) if dot else (stop + 1, stop + 1)
+            plain = 0
+            for j in range(i + 1, n + 1):
+                b = self.atoms[j - 1][1]
+                plain += not spaces[j - 1]
+                near = j - i <= max(LONGEST[k] for k in kinds)
+                if 0 <= line < b or not near and (plain > LONGEST["email"] or least > stop or b >= most):
                     break
-                if text[b - 1].isalnum():
-                    for kind in KINDS:
-                        if f := _features(text, a, b, kind):
+                if closes[j - 1]:
+                    if least <= b < most and plain <= LONGEST["email"] and (f := _features(text, a, b, "email")):
+                        self.candidates[i, j, "email"] = f
+                    for kind in kinds if near and text[a] in _NUMERIC and text[b - 1] in _DIGITS else ():
+                        if j - i <= LONGEST[kind] and (f := _features(text, a, b, kind)):
                             self.candidates[i, j, kind] = f
 
 
@@ -107,11 +127,11 @@ def _features(text: str, a: int, b: int, kind: str) -> list[str]:
     letters = any(c.isalpha() for c in s)
     own = []
     if kind == "email":
-        ats, dots = len(re.findall(r"@| at |\[at\]|\(at\)", s)), len(re.findall(r"\.| dot |\[dot\]|\(dot\)", s))
+        ats, dots = len(_AT.findall(s)), len(_DOT.findall(s))
         if not letters or ats != 1 or not dots:
             return []
         odd = re.sub(r"[\w.%+@-]| at | dot |\[at\]|\[dot\]|\(at\)|\(dot\)", "", s)
-        own = ["sign" if "@" in s else "spelled at", f"odd {min(len(odd), 2)}", f"dots {min(dots, 3)}", f"words {min(len(s.split()), 6)}"]
+        own = ["sign" if "@" in s else "spelled at", f"odd {min(len(odd), 2)}", f"dots {min(dots, 3)}", f"words {min(len(s.split()), 6)}", "cut" if _ON.match(text, b) or _BACK.search(text, max(0, a - 8), a) else "whole"]
     elif kind == "ip":
         groups = re.split(r"\.| dot |\[\.\]", s)
         if letters and " dot " not in s or len(groups) != 4 or not all(g.isdigit() and g.isascii() for g in groups):

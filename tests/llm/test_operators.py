@@ -245,6 +245,28 @@ def test_pii_field(spark):
     assert [k for *_, k, _ in total] == ["email", "ip"]
 
 
+def test_pii_rewritten_forms():
+    """Each rewritten form of ordinary entities is a candidate and is found whole, long spelled-out addresses too."""
+    entities = {
+        "email": ["first.55@mail4.example.com", "jo@example.org", "anna-b.c@mail12.example.com", "maria.gonzalez.lopez@mail.department.university.example.com"],
+        "phone": ["+1 (202) 555-0101", "+44 20 7946 0958"], "card": ["4111 1111 1111 1111", "5500005555555559"], "ip": ["10.20.30.40", "192.168.1.254"],
+    }
+    rng = random.Random(3)
+    digits = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+    made = [f(i) for i in range(40) for f in (lambda i: f"user.{i}@mail{i}.example.com", lambda i: f"+1 (20{i % 10}) 555-{digits(4)}", lambda i: f"+44 20 {digits(4)} {digits(4)}", lambda i: f"{rng.randrange(256)}.{i}.2.{rng.randrange(256)}", lambda i: next(c for c in iter(lambda: "4" + digits(15), None) if pii.luhn(c)))]
+    field = pii.train([f"{sentence(rng, 4)} {m} {sentence(rng, 4)}" for m in made])
+    for kind, values in entities.items():
+        for value in values:
+            for form in pii.MASKS[kind]:
+                new = form(value)
+                text = f"please write or call {new} for more of it"
+                want = (21, 21 + len(new), kind)
+                held = [(r.atoms[i][0], r.atoms[j - 1][1], k) for r in pii.regions(text) for i, j, k in r.candidates]
+                assert want in held, new
+                assert want in pii.find(text, field)[1], new
+    assert field.weights["email: spelled at"] > 0
+
+
 def labelled(spark, make, n=600):
     rng = random.Random(8)
     rows = [(i, *make(rng, i % 4 == 0)) for i in range(n)]
