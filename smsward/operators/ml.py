@@ -53,10 +53,13 @@ def weighted(df: DataFrame, label: str = "label") -> DataFrame:
     return df.withColumn("weight", F.when(F.col(label) == 1, (n.neg or 0) / max(1, n.pos or 0)).otherwise(1.0))
 
 
-def train(df: DataFrame, kind: str = "boosted", trees: int = 200, features: list[str] = K.FEATURES, sender: str | None = "sender_type") -> PipelineModel:
+def assembly(features: list[str] = K.FEATURES, sender: str | None = "sender_type") -> list:
     stages = [StringIndexer(inputCol=sender, outputCol="_sender", stringOrderType="alphabetAsc", handleInvalid="keep")] if sender else []
-    stages += [VectorAssembler(inputCols=[*features, *(["_sender"] if sender else [])], outputCol="features"), estimator(kind, trees)]
-    return Pipeline(stages=stages).fit(weighted(df))
+    return [*stages, VectorAssembler(inputCols=[*features, *(["_sender"] if sender else [])], outputCol="features")]
+
+
+def train(df: DataFrame, kind: str = "boosted", trees: int = 200, features: list[str] = K.FEATURES, sender: str | None = "sender_type") -> PipelineModel:
+    return Pipeline(stages=[*assembly(features, sender), estimator(kind, trees)]).fit(weighted(df))
 
 
 def predict(model: PipelineModel, df: DataFrame, threshold: float = K.THRESHOLD) -> DataFrame:
@@ -96,9 +99,10 @@ def best_threshold(df: DataFrame, score: str = "p", label: str = "label") -> Dat
     return c.withColumn("f1", F.round(f1, 6)).agg(F.max_by(F.struct("threshold", "f1"), F.struct("f1", "threshold")).alias("b")).select("b.threshold", "b.f1")
 
 
-def cross_validate(df: DataFrame, kind: str = "boosted", grid: dict | None = None, trees: int = 200, k: int = 5, key: str = "doc_id", parallelism: int = 4):
+def cross_validate(df: DataFrame, kind: str = "boosted", grid: dict | None = None, trees: int = 200, k: int = 5, key: str = "doc_id", parallelism: int = 4, sender: str | None = "sender_type"):
     """CrossValidatorModel over a grid of parameters; folds are stratified by key, so they're the same each time."""
-    data = VectorAssembler(inputCols=list(K.FEATURES), outputCol="features").transform(folds(weighted(df), key, "label", k).withColumn("fold", F.col("fold").cast("int")))
+    rows = folds(weighted(df), key, "label", k).withColumn("fold", F.col("fold").cast("int"))
+    data = Pipeline(stages=assembly(sender=sender)).fit(rows).transform(rows)
     model, builder = estimator(kind, trees), ParamGridBuilder()
     for name, values in (grid or {}).items():
         builder = builder.addGrid(model.getParam(name), values)
@@ -110,13 +114,13 @@ def importances(model: PipelineModel, features: list[str]) -> list[tuple[str, fl
     return sorted(zip(features, values, strict=False), key=lambda x: (-x[1], x[0]))
 
 
-def compare(df: DataFrame, kinds: tuple[str, ...] = ("boosted", "forest", "tree"), trees: int = 200, key: str = "doc_id") -> DataFrame:
+def compare(df: DataFrame, kinds: tuple[str, ...] = ("boosted", "forest", "tree"), trees: int = 200, key: str = "doc_id", sender: str | None = "sender_type") -> DataFrame:
     """Metrics of each model on the same test rows, with the gap of accuracy to the training rows."""
     split = stratified_split(df, key, "label")
     fit, test = split.filter(~F.col("is_test")), split.filter("is_test")
     rows = []
     for kind in kinds:
-        model = train(fit, kind, trees, sender=None)
+        model = train(fit, kind, trees, sender=sender)
         cut = K.THRESHOLD if kind == "boosted" else 0.5
         m, own = metrics(predict(model, test, cut)).first().asDict(), metrics(predict(model, fit, cut)).first().accuracy
         rows.append((kind, m["accuracy"], m["precision"], m["recall"], m["f1"], round(own - m["accuracy"], 6), own - m["accuracy"] > 0.05))

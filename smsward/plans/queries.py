@@ -602,13 +602,15 @@ def model_agreement(spark, d):
 
 
 def _training(spark, d):
-    return _numbers(_labelled(spark, d)).select("doc_id", "label", *_NUMBERS)
+    """Of each labelled message the label, the sender's type and the 27 features."""
+    messages = _labelled(spark, d, "source").withColumn("sender_type", T.classify_sender(F.col("source")))
+    return normalize.extract_features(messages, _dictionary(spark, d), keep=("label", "sender_type"))
 
 
 def _fit(kind):
     def run(spark, d):
         split = ml.stratified_split(_training(spark, d), "doc_id", "label").cache()
-        model = ml.train(split.filter(~F.col("is_test")), kind, 10, _NUMBERS, sender=None)
+        model = ml.train(split.filter(~F.col("is_test")), kind)
         return ml.predict(model, split.filter("is_test"), K.THRESHOLD if kind == "boosted" else 0.5).select("doc_id", "label", "p", "predicted")
 
     return run
@@ -618,7 +620,24 @@ for _name, _kind in (("model_gbt", "boosted"), ("model_rf", "forest"), ("model_d
     QUERIES[_name] = _fit(_kind)
 
 
+@query()
+def model_compare(spark, d):
+    return ml.compare(_training(spark, d).cache())
+
+
+#: 144 combinations; gamma and the share of columns have analogues only.
+GRID = {"maxDepth": [3, 4, 5, 6], "minInstancesPerNode": [1, 3, 5], "minInfoGain": [0.0, 0.1, 0.2], "subsamplingRate": [0.8, 1.0], "featureSubsetStrategy": ["0.8", "all"]}
+
+
+@query()
+def grid_search(spark, d):
+    """The mean AUC over five folds of each combination of GRID."""
+    fitted = ml.cross_validate(_training(spark, d).cache(), grid=GRID)
+    rows = [(*({p.name: v for p, v in m.items()}[name] for name in GRID), float(auc)) for m, auc in zip(fitted.getEstimatorParamMaps(), fitted.avgMetrics, strict=True)]
+    return spark.createDataFrame(rows, "maxDepth int, minInstancesPerNode int, minInfoGain double, subsamplingRate double, featureSubsetStrategy string, auc double")
+
+
 @query()
 def feature_importance(spark, d):
-    model = ml.train(_training(spark, d), "forest", 10, _NUMBERS, sender=None)
-    return spark.createDataFrame(ml.importances(model, _NUMBERS), "feature string, importance double")
+    model = ml.train(_training(spark, d).cache(), "forest")
+    return spark.createDataFrame(ml.importances(model, [*K.FEATURES, "sender_type"]), "feature string, importance double")

@@ -1,10 +1,15 @@
 """Unit rows of the message engine; see FIXTURES.md."""
 
+import math
+import os
+
 import pytest
 from pyspark.sql import functions as F
 
+from smsward import constants as K
 from smsward.functions import text as T
 from smsward.operators import corpus, mask, ml, normalize, policy
+from smsward.plans import queries
 from smsward.sources import readers
 
 MASKED = [
@@ -132,3 +137,22 @@ def test_metrics(spark):
     df = spark.createDataFrame([(0.9, 1), (0.8, 0), (0.8, 1), (0.1, 0)], "p double, label int")
     assert ml.roc_auc(df).first().auc == pytest.approx(0.875)
     assert tuple(ml.best_threshold(df).first()) == (0.8, 0.8)
+
+
+def test_models_train_on_the_whole_job(spark, monkeypatch):
+    """200 trees over the 27 features and the sender's type; fewer trees are grown here only."""
+    if not os.path.isdir("/root/testdata/sf0.001"):
+        pytest.skip("no test tables")
+    made, real = [], ml.estimator
+    training = queries._training(spark, "/root/testdata/sf0.001").cache()
+    assert training.columns == ["doc_id", "label", "sender_type", *K.FEATURES]
+    monkeypatch.setattr(queries, "_training", lambda spark, d: training)
+    monkeypatch.setattr(ml, "estimator", lambda kind, trees=200: made.append((kind, trees)) or real(kind, 2))
+    found = {name: queries.QUERIES[name](spark, "").collect() for name in ("model_gbt", "model_rf", "model_dt", "feature_importance", "model_compare")}
+    assert made[:4] == [("boosted", 200), ("forest", 200), ("tree", 200), ("forest", 200)] and made[4:] == [("boosted", 200), ("forest", 200), ("tree", 200)]
+    assert sorted(r.feature for r in found["feature_importance"]) == sorted([*K.FEATURES, "sender_type"])
+    assert [r.model for r in found["model_compare"]] == ["boosted", "forest", "tree"]
+    assert math.prod(map(len, queries.GRID.values())) == 144
+    monkeypatch.setattr(queries, "GRID", {k: v[-1:] for k, v in queries.GRID.items()})
+    one = queries.QUERIES["grid_search"](spark, "").collect()
+    assert made[7:] == [("boosted", 200)] and len(one) == 1 and one[0].maxDepth == 6 and 0 <= one[0].auc <= 1
