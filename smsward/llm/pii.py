@@ -8,7 +8,7 @@ by MARGIN are added, as written differently: a phone number without its plus, `n
 
 Training is numpy-free gradient ascent of the conditional likelihood, by forward-backward over candidate
 segments, on regions of at most SAMPLE rows of the documents with their base spans for labels, and on
-rewritten forms of these (MASKS). It takes seconds and its result is a table of some hundred weights.
+rewritten forms of these (MASKS), at most REGIONS in all, drawn by hash. It takes seconds and its result is a table of some hundred weights.
 
 Cases: null and empty texts have no spans; very long texts are searched whole, region by region; repeated
 rows and null doc_ids are kept; further columns pass through unread.
@@ -16,6 +16,7 @@ rows and null doc_ids are kept; further columns pass through unread.
 
 from __future__ import annotations
 
+import hashlib
 import itertools
 import math
 import random
@@ -29,6 +30,7 @@ from pyspark.sql import functions as F
 
 KINDS = ("email", "ip", "card", "phone")
 SAMPLE = 1000
+REGIONS = 500
 LONGEST = {"email": 30, "ip": 14, "card": 14, "phone": 14}
 MARGIN = 1.0
 
@@ -233,22 +235,24 @@ MASKS = {
 }
 
 
-def train(texts: list[str], rounds: int = 6, most: int = 500) -> SegmentCRF:
-    """Learns from the regions of texts, at most `most` of them, plain and rewritten."""
+def train(texts: list[str], rounds: int = 6, most: int = REGIONS) -> SegmentCRF:
+    """Learns from regions of the texts, at most `most` in all, drawn over all texts, plain and rewritten."""
     rng, seen = random.Random(7), []
     made = [("email", f"jo.{i}@mail{i}.example.org") for i in range(6)] + [("ip", f"10.{i}.7.{2 * i}") for i in range(6)] + [("phone", f"+1 (20{i}) 555-010{i}") for i in range(6)] + [("card", x) for x in ("4111111111111111", "5500005555555559", "340000000000009")]
     seen = [(f"see {s} there", [(4, 4 + len(s), k)]) for k, s in made]
+    drawn = []
     for text in texts:
         spans = base_spans(text)
         for r in regions(text):
-            if len(seen) >= most:
-                break
             if not r.atoms:
                 continue
             a, b = r.atoms[0][0], r.atoms[-1][1]
             own = [(x - a, y - a, k) for x, y, k in spans if a <= x and y <= b]
             if b - a < 400 and (own or rng.random() < 0.5):
-                seen.append((text[a:b], own))
+                drawn.append((text[a:b], own))
+    # by hash, so that all texts have their share whatever their order
+    drawn.sort(key=lambda x: (hashlib.blake2b(x[0].encode(errors="surrogatepass")).digest(), x[1]))
+    seen += drawn[: max(0, most - len(seen))]
     for text, spans in list(seen):
         for a, b, kind in spans[:1]:
             for form in MASKS[kind]:

@@ -267,6 +267,15 @@ def test_pii_rewritten_forms():
     assert field.weights["email: spelled at"] > 0
 
 
+def test_pii_learns_from_all_texts():
+    """The bound on regions is filled from all texts: an only kind of entity in late ones is learnt."""
+    early = [f"a{i:04d} plain text {i} with a number" for i in range(1500)]
+    late = [f"z{i:04d} call +99 {i % 7}00 {1000 + i} {2000 + i} now" for i in range(500)]
+    field = pii.train(early + late)
+    other = pii.train(late + early)
+    assert field.weights["phone: after call"] > 0.3 and other.weights["phone: after call"] > 0.3
+
+
 def labelled(spark, make, n=600):
     rng = random.Random(8)
     rows = [(i, *make(rng, i % 4 == 0)) for i in range(n)]
