@@ -6,6 +6,7 @@
    points arrive as a Poisson process of its weight, each point falls on one of REGISTERS registers, and a
    process ends when its next point comes later than every register's earliest. Two registers agree with the
    probability Jaccard similarity of the weights. Bands of ROWS registers make candidates.
+   A class with repeated shingles has bands of a second sketch too, without counts; where none repeats, both are the same.
 3. Members of a band's bucket point to the bucket's least member; components of these pointers are the
    coarse groups, which hold all candidate pairs without listing them.
 4. Within a coarse group, links are verified on the shingles themselves: texts are linked if their probability Jaccard or
@@ -79,16 +80,29 @@ def sketch(rows: int, doc: np.ndarray, shingle: np.ndarray, weight: np.ndarray,
     return owner.reshape(rows, registers)
 
 
+def _band_hashes(sketches: np.ndarray) -> np.ndarray:
+    s = sketches.reshape(len(sketches), BANDS, ROWS)
+    h = np.zeros((len(s), BANDS), U64)
+    for i in range(ROWS):
+        h = mix(h * U64(0x9E3779B97F4A7C15) + s[:, :, i] + U64(i + 1))
+    return h
+
+
 def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for part, doc, shingle, count in shingles(batches):
         rows = part.num_rows
-        s = sketch(rows, doc, shingle, count).reshape(rows, BANDS, ROWS)
-        h = np.zeros((rows, BANDS), U64)
-        for i in range(ROWS):
-            h = mix(h * U64(0x9E3779B97F4A7C15) + s[:, :, i] + U64(i + 1))
         has = np.bincount(doc, minlength=rows) > 0
-        offsets = np.concatenate([[0], np.cumsum(has * BANDS)]).astype(np.int32)
-        lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(h[has].ravel().view(np.int64)))
+        repeats = np.bincount(doc, count > 1, minlength=rows) > 0
+        own = np.repeat(np.arange(rows), has * (1 + repeats))
+        h = np.zeros((len(own), BANDS), U64)
+        second = np.concatenate([[False], own[1:] == own[:-1]]) if len(own) else np.zeros(0, bool)
+        h[~second] = _band_hashes(sketch(rows, doc, shingle, count))[has]
+        if repeats.any():
+            some = repeats[doc]
+            place = np.cumsum(repeats) - 1
+            h[second] = _band_hashes(sketch(int(repeats.sum()), place[doc[some]], shingle[some], np.ones(int(some.sum()))))
+        offsets = np.concatenate([[0], np.cumsum(has * (1 + repeats) * BANDS)]).astype(np.int32)
+        lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(h.ravel().view(np.int64)))
         yield pa.RecordBatch.from_arrays([part.column("class"), part.column("doc_id"), lists], ["class", "doc_id", "bands"])
 
 
@@ -194,7 +208,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("class", F.xxhash64("text"))
     banded = docs.mapInArrow(_bands, "class long, doc_id long, bands array<long>")
     classes = written(banded.groupBy("class").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands")), "classes")
-    held = classes.select("class", F.posexplode("bands").alias("band", "h"))
+    held = classes.select("class", F.posexplode("bands").alias("band", "h")).withColumn("band", F.col("band") % BANDS)
     least = held.groupBy("band", "h").agg(F.min("class").alias("b"), F.count("*").alias("n")).filter("n > 1")
     pointers = held.join(least, ["band", "h"]).filter("class <> b").select(F.col("class").alias("a"), "b").distinct()
     coarse = components(pointers)

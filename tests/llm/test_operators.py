@@ -66,6 +66,20 @@ def test_minhash(spark, texts, monkeypatch):
     assert kept.count() == len({r.group_id for r in rows}) and kept.columns == frame(spark, texts).columns
 
 
+def test_minhash_of_texts_that_differ_in_repeats(spark):
+    """Plain Jaccard 1 or nearly, probability Jaccard far below: a line repeats in one text only, in both, and with a word changed."""
+    rng = random.Random(11)
+    rows, pairs = [], []
+    for i in range(12):
+        line, rest = sentence(rng, 14) + f" mark{i}", sentence(rng, 90)
+        rows += [(10 * i, f"{line} {line} {rest}"), (10 * i + 1, " ".join([line] * 50) + " " + rest), (10 * i + 2, " ".join([line] * 9) + " " + rest + " more")]
+        pairs.append({10 * i, 10 * i + 1, 10 * i + 2})
+    got = collections.defaultdict(set)
+    for r in minhash.near_duplicates(spark.createDataFrame(rows, DOCS)).collect():
+        got[r.group_id].add(r.doc_id)
+    assert sorted(map(sorted, got.values())) == sorted(map(sorted, pairs))
+
+
 def test_sketch_estimates_probability_jaccard():
     rng = np.random.default_rng(1)
     ids = np.arange(400, dtype=np.uint64)
