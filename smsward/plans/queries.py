@@ -489,8 +489,7 @@ _CASE_URL = "CASE WHEN page_id % 6 = 0 THEN 'viettel.vn' WHEN page_id % 6 = 1 TH
 
 @query(f"SELECT page_id, CASE WHEN page_id % 7 = 0 THEN 'SKIP' WHEN page_id % 6 = 0 THEN 'LEGIT' WHEN page_id % 6 = 1 THEN 'SKIP' WHEN page_id % 2 = 0 THEN 'LEGIT' ELSE 'PHISHING' END AS status, CASE WHEN page_id % 7 = 0 THEN 0.0 WHEN page_id % 6 = 0 THEN -1.0 WHEN page_id % 6 = 1 THEN 0.0 WHEN page_id % 2 = 0 THEN -1.0 ELSE 1.0 END::DOUBLE AS risk FROM pages")
 def domain_verdict(spark, d):
-    none = _fetched(spark, d).filter("page_id < 0")
-    return domain.verdicts(_page_messages(spark, d), "page_id", _search(spark, d), none).select("page_id", "status", "risk")
+    return domain.verdicts(_page_messages(spark, d), "page_id", _search(spark, d), _fetched(spark, d)).select("page_id", "status", "risk")
 
 
 @query("SELECT array_to_string(list_sort(list_distinct(list_concat(regexp_extract_all(text || ' http://a.example.com/x', 'https?://[a-z.]+'), ['http://b.example.com']))), ' ') AS urls, doc_id FROM documents")

@@ -156,3 +156,15 @@ def test_models_train_on_the_whole_job(spark, monkeypatch):
     monkeypatch.setattr(queries, "GRID", {k: v[-1:] for k, v in queries.GRID.items()})
     one = queries.QUERIES["grid_search"](spark, "").collect()
     assert made[7:] == [("boosted", 200)] and len(one) == 1 and one[0].maxDepth == 6 and 0 <= one[0].auc <= 1
+
+
+def test_domain_verdict_reads_pages(spark, tmp_path):
+    """A page that links absolutely to its own or a trusted domain is legitimate; relative links and others prove nothing."""
+    if not os.path.isdir("/root/testdata/sf0.001"):
+        pytest.skip("no test tables")
+    links = {3: "https://own3.example.com/x", 9: "/x", 15: "https://viettel.vn/x", 27: "https://other.net/x"}
+    rows = [(i, f"https://www.own{i}.example.com/p", f'<a href="{h}">x</a>'.encode()) for i, h in links.items()]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html binary")
+    pages.withColumn("html", F.col("html").cast(spark.read.parquet("/root/testdata/sf0.001/pages.parquet").schema["html"].dataType)).write.parquet(str(tmp_path / "pages.parquet"))
+    got = {r.page_id: (r.status, r.risk) for r in queries.QUERIES["domain_verdict"](spark, str(tmp_path)).collect()}
+    assert got == {3: ("LEGIT", -1.0), 9: ("PHISHING", 1.0), 15: ("LEGIT", -1.0), 27: ("PHISHING", 1.0)}
