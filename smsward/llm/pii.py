@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 KINDS = ("email", "ip", "card", "phone")
 SAMPLE = 1000
-REGIONS = 500
+REGIONS = 2000
 LONGEST = {"email": 30, "ip": 14, "card": 14, "phone": 14}
 MARGIN = 1.0
 
