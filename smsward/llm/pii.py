@@ -3,19 +3,22 @@
 The patterns (email, ip, card, phone) give base spans, which always stay. Around digits and at-signs a
 semi-Markov CRF labels whole segments: features of the entire candidate (its shape, digits, checksum, the
 word before it) score it as a kind, and a dynamic program over segments of at most LONGEST atoms of the kind (spaces
-count in numbers, but not in addresses, where each dot may be a word) picks the boundaries and kinds of a region together. Segments that it finds, that touch no base span and that lead
+count in numbers, but not in addresses, where each dot may be a word) and LETTERS characters picks the boundaries
+and kinds of a region together. Segments that it finds, that touch no base span and that lead
 by MARGIN are added, as written differently: a phone number without its plus, `name at host dot com`.
 
 Training is numpy-free gradient ascent of the conditional likelihood, by forward-backward over candidate
-segments, on regions of at most SAMPLE rows of the documents with their base spans for labels, and on
-rewritten forms of these (MASKS), at most REGIONS in all, drawn by hash. It takes seconds and its result is a table of some hundred weights.
+segments, on at most REGIONS regions, by hash, of at most SAMPLE distinct texts with their base spans for labels, and on
+rewritten forms of these (MASKS). Its result is a table of some hundred weights.
 
-Cases: null and empty texts have no spans; very long texts are searched whole, region by region; repeated
-rows and null doc_ids are kept; further columns pass through unread.
+Cases: null and empty texts have no spans; very long texts are searched whole, region by region, and a region of any
+length in time linear in it; repeated rows and null doc_ids are kept; further columns pass through unread, but for those
+named as the new ones, which are replaced; tables without a digit or at-sign train on our own examples only.
 """
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import itertools
 import math
@@ -32,6 +35,7 @@ KINDS = ("email", "ip", "card", "phone")
 SAMPLE = 1000
 REGIONS = 2000
 LONGEST = {"email": 30, "ip": 14, "card": 14, "phone": 14}
+LETTERS = 254
 MARGIN = 1.0
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -87,38 +91,46 @@ def base_spans(text: str) -> list[Span]:
 
 
 class Region:
-    """Atoms around seeds, with the candidate segments among them: (first atom, after the last, kind) -> features."""
+    """Atoms of a stretch of text."""
 
     def __init__(self, text: str, start: int, end: int):
         self.text = text
         self.atoms = [m.span() for m in _ATOM.finditer(text, start, end)]
-        self.candidates: dict[tuple[int, int, str], list[str]] = {}
-        n, kinds = len(self.atoms), KINDS[1:]
-        opens = [i for i, (a, _) in enumerate(self.atoms) if text[a].isalnum() or text[a] in "+("]
-        stop = self.atoms[-1][1] if n else start
-        closes = [text[b - 1].isalnum() for _, b in self.atoms]
-        spaces = [text[a].isspace() for a, _ in self.atoms]
-        addressed = _AT.search(text, start, stop)
-        for i in opens:
-            a = self.atoms[i][0]
-            line = text.find("\n", a, stop)
+
+    def segments(self) -> Iterator[tuple[int, int, str, list[str]]]:
+        """Each candidate segment, by its first atom: first atom, after the last, kind, features."""
+        text, atoms, kinds = self.text, self.atoms, KINDS[1:]
+        n, far = len(atoms), max(LONGEST[k] for k in kinds)
+        stop = atoms[-1][1] if n else 0
+        closes = [text[b - 1].isalnum() for _, b in atoms]
+        spaces = [text[a].isspace() for a, _ in atoms]
+        addressed = n and _AT.search(text, atoms[0][0], stop)
+        for i, (a, _) in enumerate(atoms):
+            if not (text[a].isalnum() or text[a] in "+("):
+                continue
+            end = min(stop, a + LETTERS)  # no entity goes beyond, so a long stretch costs as much a letter as a short one
+            line = text.find("\n", a, end)
             # an address holds one at-sign and a dot: it ends from `least` on, before `most`
-            ats = [m.end() for m in itertools.islice(_AT.finditer(text, a, stop), 2)] if addressed else []
-            dot = _DOT.search(text, a, stop) if ats else None
-            least, most = (max(ats[0], dot.end()), ats[1] if len(ats) > 1 else stop + 1) if dot else (stop + 1, stop + 1)
+            ats = [m.end() for m in itertools.islice(_AT.finditer(text, a, end), 2)] if addressed else []
+            dot = _DOT.search(text, a, end) if ats else None
+            least, most = (max(ats[0], dot.end()), ats[1] if len(ats) > 1 else end + 1) if dot else (end + 1, end + 1)
             plain = 0
             for j in range(i + 1, n + 1):
-                b = self.atoms[j - 1][1]
+                b = atoms[j - 1][1]
                 plain += not spaces[j - 1]
-                near = j - i <= max(LONGEST[k] for k in kinds)
-                if 0 <= line < b or not near and (plain > LONGEST["email"] or least > stop or b >= most):
+                near = j - i <= far
+                if 0 <= line < b or b > end or not near and (plain > LONGEST["email"] or least > end or b >= most):
                     break
                 if closes[j - 1]:
                     if least <= b < most and plain <= LONGEST["email"] and (f := _features(text, a, b, "email")):
-                        self.candidates[i, j, "email"] = f
+                        yield i, j, "email", f
                     for kind in kinds if near and text[a] in _NUMERIC and text[b - 1] in _DIGITS else ():
                         if j - i <= LONGEST[kind] and (f := _features(text, a, b, kind)):
-                            self.candidates[i, j, kind] = f
+                            yield i, j, kind, f
+
+    @property
+    def candidates(self) -> dict[tuple[int, int, str], list[str]]:
+        return {(i, j, kind): f for i, j, kind, f in self.segments()}
 
 
 def _features(text: str, a: int, b: int, kind: str) -> list[str]:
@@ -167,12 +179,12 @@ class SegmentCRF:
     def __init__(self) -> None:
         self.weights: dict[str, float] = defaultdict(float)
 
-    def scores(self, region: Region) -> dict[tuple[int, int, str], float]:
-        return {c: sum(self.weights.get(f, 0.0) for f in fs) for c, fs in region.candidates.items()}
+    def score(self, features: list[str]) -> float:
+        return sum(self.weights.get(f, 0.0) for f in features)
 
-    def climb(self, region: Region, gold: set[tuple[int, int, str]], rate: float) -> None:
-        """One step up the likelihood of the gold segments, by forward and backward sums over segmentations."""
-        scores, n = self.scores(region), len(region.atoms)
+    def climb(self, n: int, candidates: dict[tuple[int, int, str], list[str]], gold: set[tuple[int, int, str]], rate: float) -> None:
+        """One step up the likelihood of the gold segments, by forward and backward sums over the segmentations of n atoms."""
+        scores = {c: self.score(f) for c, f in candidates.items()}
         ending, starting = defaultdict(list), defaultdict(list)
         for c, s in scores.items():
             ending[c[1]].append((c, s))
@@ -185,74 +197,90 @@ class SegmentCRF:
         for c, s in scores.items():
             push = (c in gold) - math.exp(ahead[c[0]] + s + back[c[1]] - ahead[n])
             if abs(push) > 1e-4:
-                for f in region.candidates[c]:
+                for f in candidates[c]:
                     self.weights[f] += rate * push
 
     def best(self, region: Region) -> list[tuple[int, int, str, float]]:
-        """The best segmentation's segments, each with its score."""
-        n, at = len(region.atoms), defaultdict(list)
-        for c, s in self.scores(region).items():
-            at[c[1]].append((c, s))
-        top: list[float] = [0.0]
-        via: list = [None]
-        for j in range(1, n + 1):
-            value, choice = top[j - 1], None
-            for c, s in at[j]:
-                if top[c[0]] + s > value:
-                    value, choice = top[c[0]] + s, (c, s)
-            top.append(value)
-            via.append(choice)
+        """The best segmentation's segments, each with its score. Candidates are scored as they come and not kept."""
+        n = len(region.atoms)
+        top, via = [-math.inf] * (n + 1), [None] * (n + 1)
+        top[0], reached = 0.0, 0  # places up to `reached` are settled
+
+        def settle(until: int) -> None:
+            nonlocal reached
+            for k in range(reached + 1, until + 1):
+                if top[k - 1] >= top[k]:
+                    top[k], via[k] = top[k - 1], None
+            reached = max(reached, until)
+
+        for i, j, kind, f in region.segments():
+            settle(i)
+            value = top[i] + (s := self.score(f))
+            if value > top[j]:
+                top[j], via[j] = value, (i, kind, s)
+        settle(n)
         found, j = [], n
         while j:
             if via[j]:
-                c, s = via[j]
-                found.append((*c, s))
-                j = c[0]
+                i, kind, s = via[j]
+                found.append((i, j, kind, s))
+                j = i
             else:
                 j -= 1
         return found[::-1]
 
 
-def regions(text: str, around: int = 40, most: int = 400) -> Iterator[Region]:
-    """Stretches with seeds, each widened by some characters; long ones are cut where no digit or at-sign is near."""
+def regions(text: str, around: int = 40) -> Iterator[Region]:
+    """Stretches with seeds, each widened by some characters: seeds that are near each other are never parted."""
     start = end = None
     for m in _SEED.finditer(text):
-        if start is None or m.start() > end + 2 * around or m.start() - start > most and not text[m.start() - 1].isalnum():
+        if start is None or m.start() > end + 2 * around:
             if start is not None:
-                yield Region(text, max(0, start - around), min(len(text), end + around, m.start()))
+                yield Region(text, max(0, start - around), min(len(text), end + around))
             start = m.start()
         end = m.end()
     if start is not None:
         yield Region(text, max(0, start - around), min(len(text), end + around))
 
 
+def _national(s: str, mark: str) -> str:
+    """A phone number without its country's prefix, its groups joined by the mark."""
+    return mark.join(re.findall("[0-9]+", re.sub(r"^\+[0-9]{1,2}(?=[^0-9])", "", s)))
+
+
 #: Rewritten forms of base spans that the field learns beside the plain ones.
 MASKS = {
-    "phone": [lambda s: re.sub(r"^\+[0-9]{1,2} ?", "", s), lambda s: s.replace("+", ""), lambda s: re.sub("[() -]+", ".", s.lstrip("+")).strip(".")],
-    "email": [lambda s: s.replace("@", " at ").replace(".", " dot "), lambda s: s.replace("@", "(at)"), lambda s: s.replace("@", " at ")],
+    "phone": [
+        lambda s: re.sub(r"^\+[0-9]{1,2} ?", "", s), lambda s: s.replace("+", ""), lambda s: re.sub("[() -]+", ".", s.lstrip("+")).strip("."),
+        lambda s: _national(s, " "), lambda s: _national(s, "-"), lambda s: _national(s, "."),
+    ],
+    "email": [lambda s: s.replace("@", " at ").replace(".", " dot "), lambda s: s.replace("@", "(at)"), lambda s: s.replace("@", " at "), lambda s: s.replace("@", "[at]").replace(".", "[dot]")],
     "card": [lambda s: ".".join(re.findall("[0-9]{1,4}", s)), lambda s: " ".join(re.findall("[0-9]{1,4}", s))],
     "ip": [lambda s: s.replace(".", "[.]"), lambda s: s.replace(".", " dot ")],
-}
+}
+
+
+def examples(text: str) -> Iterator[tuple[str, list[Span]]]:
+    """Short regions of a text with the base spans in them; of those without a span every second, by hash."""
+    spans = base_spans(text)
+    for r in regions(text):
+        if not r.atoms:
+            continue
+        a, b = r.atoms[0][0], r.atoms[-1][1]
+        own = [(x - a, y - a, k) for x, y, k in spans if a <= x and y <= b]
+        if b - a < 400 and (own or _hash(text[a:b])[0] & 1):
+            yield text[a:b], own
+
+
+def _hash(piece: str) -> bytes:
+    return hashlib.blake2b(piece.encode(errors="surrogatepass")).digest()
 
 
-def train(texts: list[str], rounds: int = 6, most: int = REGIONS) -> SegmentCRF:
-    """Learns from regions of the texts, at most `most` in all, drawn over all texts, plain and rewritten."""
-    rng, seen = random.Random(7), []
+def train(drawn: list[tuple[str, list[Span]]], rounds: int = 6) -> SegmentCRF:
+    """Learns from examples, from our own, and from the rewritten forms of both."""
     made = [("email", f"jo.{i}@mail{i}.example.org") for i in range(6)] + [("ip", f"10.{i}.7.{2 * i}") for i in range(6)] + [("phone", f"+1 (20{i}) 555-010{i}") for i in range(6)] + [("card", x) for x in ("4111111111111111", "5500005555555559", "340000000000009")]
-    seen = [(f"see {s} there", [(4, 4 + len(s), k)]) for k, s in made]
-    drawn = []
-    for text in texts:
-        spans = base_spans(text)
-        for r in regions(text):
-            if not r.atoms:
-                continue
-            a, b = r.atoms[0][0], r.atoms[-1][1]
-            own = [(x - a, y - a, k) for x, y, k in spans if a <= x and y <= b]
-            if b - a < 400 and (own or rng.random() < 0.5):
-                drawn.append((text[a:b], own))
-    # by hash, so that all texts have their share whatever their order
-    drawn.sort(key=lambda x: (hashlib.blake2b(x[0].encode(errors="surrogatepass")).digest(), x[1]))
-    seen += drawn[: max(0, most - len(seen))]
+    made += [("email", x) for x in ("bob@example.org", "ana@site.net", "li.wei@post.example.com", "kim_k@mail.example.org", "sam-o@web.example.net", "joe@corp.example.com")]
+    seen = [(f"see {s} there", [(4, 4 + len(s), k)]) for k, s in made] + drawn
     for text, spans in list(seen):
         for a, b, kind in spans[:1]:
             for form in MASKS[kind]:
@@ -263,13 +291,13 @@ def train(texts: list[str], rounds: int = 6, most: int = REGIONS) -> SegmentCRF:
         r = Region(text, 0, len(text))
         spot = {x: i for i, (x, _) in enumerate(r.atoms)}, {y: i + 1 for i, (_, y) in enumerate(r.atoms)}
         gold = {(spot[0][a], spot[1][b], k) for a, b, k in spans if a in spot[0] and b in spot[1]}
-        if r.candidates:
-            work.append((r, gold & set(r.candidates)))
-    field = SegmentCRF()
+        if held := r.candidates:
+            work.append((len(r.atoms), held, gold & set(held)))
+    field, rng = SegmentCRF(), random.Random(7)
     for i in range(rounds):
         rng.shuffle(work)
-        for r, gold in work:
-            field.climb(r, gold, 0.3 / (1 + i))
+        for n, held, gold in work:
+            field.climb(n, held, gold, 0.3 / (1 + i))
     field.weights = dict(field.weights)
     return field
 
@@ -279,14 +307,18 @@ def find(text: str, field: SegmentCRF) -> tuple[list[Span], list[Span]]:
     base = base_spans(text)
     extra: list[Span] = []
     if _SEED.search(text):
-        taken, k = sorted((a, b) for a, b, _ in base), 0
+        starts, ends = [], []  # what the base spans cover, as stretches apart
+        for a, b, _ in sorted(base):
+            if ends and a < ends[-1]:
+                ends[-1] = max(ends[-1], b)
+            else:
+                starts.append(a)
+                ends.append(b)
         for r in regions(text):
-            for i, j, kind, score in field.best(r) if r.candidates else ():
+            for i, j, kind, score in field.best(r):
                 a, b = r.atoms[i][0], r.atoms[j - 1][1]
-                while k < len(taken) and taken[k][1] <= r.atoms[0][0]:
-                    k += 1
-                near = taken[max(0, k - 3) : k + len(r.atoms)]
-                if score > MARGIN and not any(a < y and x < b for x, y in near) and not any(a < y and x < b for x, y, _ in extra[-3:]):
+                k = bisect.bisect_right(ends, a)  # the first stretch that ends after a
+                if score > MARGIN and (k == len(starts) or starts[k] >= b):
                     extra.append((a, b, kind))
     return base, sorted(base + extra, key=lambda s: (s[0], KINDS.index(s[2])))
 
@@ -306,11 +338,27 @@ def redact(text: str, spans: list[Span]) -> str:
 
 
 def fit(docs: DataFrame, seed: int = 5) -> SegmentCRF:
-    """Trains on at most SAMPLE texts that hold a digit or an at-sign, in expectation, chosen by hash of the text."""
-    marked = docs.filter(F.col("text").rlike("[0-9@]"))
-    share = min(1.0, SAMPLE / max(1, marked.count()))
-    rows = marked.filter(F.pmod(F.xxhash64("text", F.lit(seed)), F.lit(1 << 20)) < int(share * (1 << 20))).select(F.col("text").alias("t"))
-    return train(sorted(r.t for r in rows.toLocalIterator()))
+    """Trains on at most REGIONS regions of at most SAMPLE distinct texts, in expectation, that hold a digit or an at-sign.
+
+    Texts are chosen by their hash and copies of one are combined before they move; only regions, of under 400
+    characters each, reach the driver, the first by hash of all of them.
+    """
+    marked = docs.filter(F.col("text").rlike("[0-9@]")).select("text", F.xxhash64("text", F.lit(seed)).alias("h"))
+    share = min(1.0, SAMPLE / max(1, marked.agg(F.approx_count_distinct("h")).first()[0]))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [(piece, write(spans)) for t in batch.column("text").to_pylist() for piece, spans in examples(t)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.string()) for i in (0, 1)], ["piece", "spans"])
+
+    texts = marked.filter(F.pmod("h", F.lit(1 << 20)) < int(share * (1 << 20)))
+    pieces = texts.select("text").mapInArrow(cut, "piece string, spans string").distinct()
+    rows = pieces.orderBy(F.xxhash64("piece", F.lit(seed)), "piece").limit(REGIONS).collect()
+    return train([(r.piece, _read(r.spans)) for r in rows])
+
+
+def _read(spans: str) -> list[Span]:
+    return [(int(a), int(b), k) for k, a, b in (s.split(":") for s in spans.split(",") if s)]
 
 
 def find_spans(docs: DataFrame, field: SegmentCRF | None = None) -> DataFrame:
