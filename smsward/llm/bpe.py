@@ -4,8 +4,9 @@ The encoding of every prefix of a word ends in one last token, and cutting that
 encoding of a shorter prefix. So the distinct new words of a block go into a trie, and a depth-first walk
 finds for each node the one token that ends there and agrees with the last token before it: prefixes that
 words share are encoded once. Two tokens agree if merging their joined bytes gives just these two; the
-answers are kept. Words found once are kept for the life of the Python worker, up to WORDS of them, beyond
-which the store is emptied and filled again; that costs time, never results.
+answers are kept, up to PAIRS of them. Words found once are kept for the life of the Python worker, up to STORE bytes,
+beyond which the store is emptied after the block that filled it and filled again; that costs time, never results.
+So a worker's memory is bounded by STORE and by a block or the longest single text (about 100 bytes for each of its bytes).
 
 Cases: null and empty texts have no ids and decode to the empty text; special tokens inside a text are
 their own ids, as in the tokenizers library; repeated rows and null doc_ids are kept; further columns pass
@@ -16,14 +17,15 @@ from __future__ import annotations
 
 import json
 import re
+from array import array
 from collections.abc import Iterator
 
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-WORDS = 500_000
-PAIRS = 1_000_000
+STORE, OVERHEAD = 96 << 20, 200
+PAIRS = 400_000
 _SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 _READY: dict[int, Codec] = {}
 
@@ -35,6 +37,20 @@ def _byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+def _shared(a: bytes, b: bytes) -> int:
+    """How many bytes both begin with."""
+    low, high = 0, min(len(a), len(b))
+    while high - low > 8:
+        middle = (low + high) // 2
+        if a[low:middle] == b[low:middle]:
+            low = middle
+        else:
+            high = middle
+    while low < high and a[low] == b[low]:
+        low += 1
+    return low
+
+
 class Codec:
     """Encoder and decoder of a tokenizers file with a ByteLevel pre-tokenizer and a BPE model."""
 
@@ -67,6 +83,7 @@ class Codec:
         self.pairs: dict[tuple[int, int], bool] = {}
         self.whole: dict[int, bool] = {}
         self.words: dict[str, bytes] = {}
+        self.held = 0  # bytes of the store, about
 
     def edge(self, token: int, right: bool) -> list[tuple[int, int]]:
         """The parts that stand at the token's right (or left) edge while it's merged, each with the rank that ends it."""
@@ -104,68 +121,63 @@ class Codec:
         own = self.merges[a, b]
         return all((r := self.merges.get((x, y))) is None or (x, y) == (a, b) or not (r < x_ends and r <= y_ends) or r > own for x, x_ends in self.edge(a, True) for y, y_ends in self.edge(b, False))
 
-    def learn(self, new: set[str]) -> None:
-        """Adds the encodings of words to the store, by one walk over the trie of all of them."""
+    def learn(self, new: set[str]) -> dict[str, bytes]:
+        """Encodings of words, by one depth-first walk of the trie of all of them.
+
+        The trie is held as its words in the order of their bytes, which is the order of a depth-first walk, and the
+        depth at which each parts from the word before: what was found on the path down to there stands for both.
+        """
         if len(self.pairs) > PAIRS:
             self.pairs.clear()
-        root: dict = {}
-        for word in new:
-            node = root
-            for byte in word.encode():
-                below = node.get(byte)
-                if below is None:
-                    below = node[byte] = {}
-                node = below
-            node[-1] = word
-        endings, four, pairs, longest, words = self.endings, self.four, self.pairs, self.longest, self.words
-        one = [bytes([b]) for b in range(256)]
-        last, cut = [-1], [0]  # of the prefix of each length on the path: last token, length without it
-        walk = [(one[byte], child, 1) for byte, child in root.items()]
-        while walk:
-            tail, node, depth = walk.pop()  # tail: as many of the prefix's bytes as a token can have
-            del last[depth:], cut[depth:]
-            found, size = [], 1
-            while (token := endings.get(tail[-size:])) is not None:
-                if token >= 0:
-                    found.append((depth - size, token))
-                if size == len(tail):
-                    break
-                size += 1
-            for start, token in reversed(found):
-                if start:
-                    pair = last[start], token
-                    fits = pairs.get(pair)
-                    if fits is None:
-                        fits = pairs[pair] = self.fits(*pair)
-                else:
-                    fits = self.alone(token)
-                if fits:
-                    last.append(token)
-                    cut.append(start)
-                    break
-            else:
-                raise ValueError("the vocabulary lacks a byte")
-            for byte, below in node.items():
-                if byte == -1:
-                    chain, place = [], depth
-                    while place:
-                        chain.append(four[last[place]])
-                        place = cut[place]
-                    words[below] = b"".join(reversed(chain))
+        made: dict[str, bytes] = {}
+        endings, four, pairs, longest = self.endings, self.four, self.pairs, self.longest
+        last, cut = array("q", [-1]), array("q", [0])  # of the prefix of each length on the path: last token, length without it
+        before = b""
+        for raw, word in sorted((w.encode(), w) for w in new):
+            depth = _shared(before, raw)
+            del last[depth + 1 :], cut[depth + 1 :]
+            before = raw
+            for depth in range(depth + 1, len(raw) + 1):
+                found, start, least = [], depth - 1, max(0, depth - longest)
+                while start >= least and (token := endings.get(raw[start:depth])) is not None:
+                    if token >= 0:
+                        found.append((start, token))
+                    start -= 1
+                for start, token in reversed(found):
+                    if start:
+                        pair = last[start], token
+                        fits = pairs.get(pair)
+                        if fits is None:
+                            fits = pairs[pair] = self.fits(*pair)
+                    else:
+                        fits = self.alone(token)
+                    if fits:
+                        last.append(token)
+                        cut.append(start)
+                        break
                 else:
-                    walk.append(((tail + one[byte])[-longest:], below, depth + 1))
+                    raise ValueError("the vocabulary lacks a byte")
+            chain, place = [], len(raw)
+            while place:
+                chain.append(four[last[place]])
+                place = cut[place]
+            made[word] = b"".join(reversed(chain))
+        return made
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text, as little-endian unsigned 32-bit numbers."""
         pieces = [[p if p in self.special and i % 2 else _SPLIT.findall(p) for i, p in enumerate(self.cut.split(t) if self.cut else [t])] for t in texts]
-        if len(self.words) > WORDS:
-            self.words.clear()
         known = self.words
         new = {w for text in pieces for p in text if isinstance(p, list) for w in p if w not in known}
-        if new:
-            self.learn(new)
+        made = self.learn(new)
+        known |= made
+        self.held += sum(len(w) + len(x) + OVERHEAD for w, x in made.items())
         get = known.__getitem__
-        return [b"".join(self.special[p].to_bytes(4, "little") if isinstance(p, str) else b"".join(map(get, p)) for p in text) for text in pieces]
+        out = [b"".join(self.special[p].to_bytes(4, "little") if isinstance(p, str) else b"".join(map(get, p)) for p in text) for text in pieces]
+        if self.held > STORE:
+            known.clear()
+            self.held = 0
+        return out
 
     def decode(self, ids: bytes) -> str:
         return b"".join(map(self.raw.__getitem__, memoryview(ids).cast("I"))).decode("utf-8", "replace")
