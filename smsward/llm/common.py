@@ -122,22 +122,23 @@ def blocks(batches: Iterator[pa.RecordBatch], column: str, lower: bool = False,
             at = to
 
 
-HOT_SHARE = 1e-3
+HOT_SHARE, HOT_ROWS, MAX_HOT = 1e-3, 1 << 20, 50_000
 
 
-def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], count: str = "n") -> DataFrame:
+def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], count: str = "n", how: str = "inner") -> DataFrame:
     """rows joined to groups, which has one row for each value of the keys and in `count` how many rows hold it.
 
-    Groups over HOT_SHARE of the summed counts are at most 1 / HOT_SHARE; these are broadcast, so that their rows
-    stay where they are. All others meet by shuffle, where no key is hot. Both inputs are read up to three times
-    and ought to be tables. Keys must not be null.
+    Groups over HOT_SHARE of the summed counts, and those over HOT_ROWS rows, are hot, but MAX_HOT groups at most (larger
+    counts make as many hot as that); these are broadcast, so that their rows stay where they are. All others meet by shuffle, where
+    no key is hot. how: inner or left. Both inputs are read up to three times and ought to be tables or cheap. Keys must not be null.
     """
     size = groups.agg(F.sum(count).alias("total"), F.max(count).alias("most")).first()
-    least = (size.total or 0) * HOT_SHARE
+    total = size.total or 0
+    least = max(min(total * HOT_SHARE, HOT_ROWS), total / MAX_HOT)
     if (size.most or 0) <= least:
-        return rows.join(groups, keys).drop(count)
+        return rows.join(groups, keys, how).drop(count)
     hot, cold = F.broadcast(groups.filter(F.col(count) > least)), groups.filter(F.col(count) <= least)
-    rest = rows.join(hot.select(*keys), keys, "left_anti").join(cold, keys)
+    rest = rows.join(hot.select(*keys), keys, "left_anti").join(cold, keys, how)
     return rows.join(hot, keys).unionByName(rest).drop(count)
 
 
