@@ -5,11 +5,12 @@ standardised and mapped by cosines of random projections, which approximates a G
 partition of the training rows sums its normal equations; the sums of the partitions give the ridge
 solution. A part of the rows that wasn't fitted on calibrates the scores by pooling adjacent violators.
 
-Training takes at most SAMPLE labelled ids in expectation, by hash, from a number of partitions that
-doesn't grow with the input, so the summed equations that reach the driver are bounded.
+Training takes at most SAMPLE labelled ids in expectation, by hash, one text of each (where rows share an id, that of the
+least statistics), from a number of partitions that doesn't grow with the input, so the summed equations that reach the driver are bounded.
 
 Cases: null and empty texts have zero statistics and are scored like any; long texts are measured whole;
-repeated rows and null doc_ids are scored as any; without labels, every text scores 0.5.
+repeated rows and null doc_ids are scored as any; ids labelled both ways count as good; of equal scores the calibration pools all; further
+columns pass through, but for one named quality, which is replaced; without labels of both classes, every text scores 0.5; empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -152,7 +153,10 @@ def _summed(train: DataFrame, model: FourierRidge | None) -> tuple[float, np.nda
 def fit(documents: DataFrame, labelled: DataFrame, sample: int = SAMPLE) -> FourierRidge | None:
     """labelled: doc_id, label (0 or 1). None without labels of both classes."""
     labelled = labelled.filter(F.col("label").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("label").cast("int").alias("label"))
-    n = labelled.count()
+    totals = {r.label: r.n for r in labelled.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    if set(totals) != {0, 1}:
+        return None
+    n = sum(totals.values())
     share = min(1.0, sample / max(n, 1))
     picked = labelled.filter(F.pmod(F.xxhash64("doc_id", F.lit(23)), F.lit(1 << 20)) < int(share * (1 << 20)))
 
@@ -161,11 +165,13 @@ def fit(documents: DataFrame, labelled: DataFrame, sample: int = SAMPLE) -> Four
             yield pa.RecordBatch.from_arrays([rows.column("doc_id"), rows.column("label"), pa.array(x.tolist(), pa.list_(pa.float64()))], ["doc_id", "label", "x"])
 
     rows = documents.select("doc_id", "text").join(F.broadcast(picked), "doc_id").mapInArrow(measure, "doc_id long, label int, x array<double>")
-    rows = rows.repartition(PARTITIONS, "doc_id").sortWithinPartitions("doc_id", "x").cache()
+    rows = rows.groupBy("doc_id").agg(F.min(F.struct("x", "label")).alias("r")).select("doc_id", "r.label", "r.x")
+    rows = rows.repartition(PARTITIONS, "doc_id").sortWithinPartitions("doc_id").cache()
     part = F.pmod(F.xxhash64("doc_id", F.lit(29)), F.lit(4))
     train, rest = rows.filter(part != 0), rows.filter(part == 0)
     count, first, second = _summed(train, None)
     if count < 2:
+        rows.unpersist()
         return None
     mean = first / count
     model = FourierRidge(mean, np.sqrt(np.maximum(np.diag(second) / count - mean**2, 0)) + 1e-3)

@@ -4,14 +4,16 @@ Words fall into BUCKETS hash buckets, each with a small embedding; filters of wi
 words, each filter's maximum over the whole text is taken, and a logistic layer scores the maxima. After
 training, embedding times filter is tabulated, so a text costs a few table look-ups a word.
 
-Training takes at most SAMPLE labelled rows of each class, chosen by hash of the text, in three disjoint
+Training takes at most SAMPLE labelled ids of each class, in expectation, chosen by hash of the id, one text of each (where rows share
+an id, that of the least hash) and of at most WORDS words, so what reaches the driver is bounded by both parameters. It is split in three disjoint
 parts: the first starts the embeddings with each bucket's log odds, the second trains everything by
 Adam, the third calibrates the score to a probability of the class as it is in the labels.
 Thresholds are calibrated by language: each language's cut balances misses and false alarms on the third
 part; languages with few labels take the cut of all.
 
 Cases: null and empty texts, and those without words, score the calibrated minimum; long texts are scored whole; repeated
-rows and null doc_ids are scored as any; without labels of both classes, every text scores 0.
+rows and null doc_ids are scored as any; ids labelled both ways count as toxic; further columns pass through, but for one named
+toxicity, which is replaced; without labels of both classes, every text scores 0; empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -29,7 +31,7 @@ from smsward.llm.common import LETTERS, U64, blocks, within
 BUCKETS = 1 << 16
 WIDTHS = (1, 2, 3)
 DIM, FILTERS = 8, 6
-SAMPLE = 5000
+SAMPLE, WORDS = 5000, 20_000
 THRESHOLD = 0.3
 
 
@@ -157,10 +159,14 @@ def fit(documents: DataFrame, labelled: DataFrame, sample: int = SAMPLE) -> Text
 
     def ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, out, first in _word_ids(batches):
-            flat = [out[a:b].astype("<i4").tobytes() for a, b in zip(first[:-1], first[1:], strict=True)]
+            short = np.diff(first) <= WORDS + 2
+            flat = [out[a:b].astype("<i4").tobytes() for a, b in zip(first[:-1][short], first[1:][short], strict=True)]
+            part = part.filter(pa.array(short))
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("label"), part.column("lang"), pa.array(flat, pa.binary())], ["doc_id", "label", "lang", "ids"])
 
-    got = sorted((r.doc_id, r.label, r.lang or "", bytes(r.ids)) for r in rows.mapInArrow(ids, "doc_id long, label int, lang string, ids binary").toLocalIterator())
+    made = rows.mapInArrow(ids, "doc_id long, label int, lang string, ids binary")
+    one = made.groupBy("doc_id").agg(F.min_by(F.struct("label", "lang", "ids"), F.xxhash64("ids", "lang")).alias("r")).select("doc_id", "r.*")
+    got = sorted((r.doc_id, r.label, r.lang or "", bytes(r.ids)) for r in one.toLocalIterator())
     if len({r[1] for r in got}) < 2:
         return None
     docs, y = [np.frombuffer(r[3], "<i4") for r in got], np.array([r[1] for r in got])
