@@ -7,14 +7,17 @@ verified word by word: any segment of LEAST words or more, or of a whole shorter
 its words equal counts. A match scores 1 - SAME and a substitution -SAME, so a segment qualifies just if its sum
 isn't negative, and the best of all segments of that length tells whether there is one.
 
-Up to MAX_KEYS benchmark hashes (8 bytes each) are broadcast, so that training hashes that occur in no
-item never leave their task; beyond that number all are joined by shuffle, with the same results.
-Masks are used only where an item is long enough for them: items of 5 to 10 words are found by SHORT masks;
-items under 5 words prove nothing and are not searched.
-
-Cases: null, empty and wordless texts are clean; case and punctuation don't count; equal texts, and equal
-items, are compared once and reported each; repeated rows are reported each; null doc_ids are kept; long
-texts are searched whole.
+The masks lose nothing: any segment of 12 words or more with four fifths equal holds a hit of one of MASKS, and so does an item of 5
+to 11 words, all of it aligned, with SHORT (the tests enumerate the substitutions). Items under five words count where they are all of a text.
+
+Training hashes that occur in no item stay in their task: up to MAX_KEYS benchmark hashes (8 bytes each) all tasks get the hashes
+themselves; beyond, a bitmap of 2**WIDE bits of them, whose size is fixed, and what passes it is joined by shuffle, with the same results.
+Copies of one text, however many, are verified once.
+
+Cases: null, empty and wordless texts are clean; case and punctuation don't count; equal items are one, reported by their least item_id
+and their number; repeated rows are reported each; null doc_ids are kept; a passage that several items share is reported for each; further
+columns of documents pass through keep_clean; long texts are searched whole, and a repetitive one keeps as many alignments as it has words, at
+most; empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -26,14 +29,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from smsward.llm.common import LETTERS, U64, blocks, mix, written
+from smsward.llm.common import LETTERS, U64, blocks, join_groups, mix, written
 
-#: 1: the word counts, 0: it may differ.
-MASKS = ("11101101011", "11011100111", "11110111")
-SHORT = ("11111", "110111")
+#: 1: the word counts, 0: it may differ. For items of LEAST words or more, and for those of 5 to 11.
+MASKS = ("11111", "110111")
+SHORT = ("1111", "10111", "11011", "11101")
+FEW = 5
 LEAST, SAME = 12, 0.8
-MAX_KEYS = 1 << 21
-_BITS = 20
+MAX_KEYS, MAX_CLASSES = 1 << 21, 1 << 20
+NARROW, WIDE = 20, 28
+_WHOLE = U64(0xA0761D6478BD642F)
 
 
 def seed_hashes(x: np.ndarray, mask: str) -> np.ndarray:
@@ -46,40 +51,77 @@ def seed_hashes(x: np.ndarray, mask: str) -> np.ndarray:
     return total ^ (total >> U64(29))
 
 
+def _whole(x: np.ndarray) -> np.ndarray:
+    """The hash of a text of a few words as a whole."""
+    return seed_hashes(x, "1" * len(x)) ^ _WHOLE
+
+
+def _masks_of(n: int) -> tuple[str, ...]:
+    return MASKS if n >= LEAST else SHORT if n >= FEW else ()
+
+
 def _items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for block in blocks(batches, "text", lower=True):
         x = block.words(LETTERS).hashes()
         keys, places, words = [], [], []
         for a, b in zip(block.first[:-1], block.first[1:], strict=True):
             own = x[a:b]
-            masks = MASKS if b - a >= max(map(len, MASKS)) else SHORT if b - a >= 5 else ()
-            found = [seed_hashes(own, m) for m in masks] or [x[:0]]
+            found = [_whole(own)] if 0 < b - a < FEW else [seed_hashes(own, m) for m in _masks_of(b - a)] or [x[:0]]
             keys.append(np.concatenate(found).view(np.int64).tolist())
             places.append(np.concatenate([np.arange(len(f)) for f in found]).tolist())
             words.append((own >> U64(32)).astype("<u4").tobytes())
         yield pa.RecordBatch.from_arrays([block.rows.column("item"), pa.array(keys, pa.list_(pa.int64())), pa.array(places, pa.list_(pa.int32())), pa.array(words, pa.binary())], ["item", "keys", "places", "words"])
 
 
-def _hits(masks: tuple[str, ...], known: np.ndarray | None):
-    if known is not None:
-        likely = np.zeros(1 << _BITS, bool)
-        likely[(known >> U64(64 - _BITS)).astype(np.int64)] = True
+class Known:
+    """Which hashes the benchmark may hold: a bitmap of their first bits, and where they're few, all of them."""
+
+    def __init__(self, bits: int, bitmap: np.ndarray, keys: np.ndarray | None):
+        self.bits, self.bitmap, self.keys = bits, bitmap, keys
 
+    def places(self, h: np.ndarray) -> np.ndarray:
+        spot = (h >> U64(64 - self.bits)).astype(np.int64)
+        at = np.flatnonzero(self.bitmap[spot >> 3] >> (spot & 7).astype(np.uint8) & 1)
+        if self.keys is None or not len(at):
+            return at
+        near = np.minimum(np.searchsorted(self.keys, h[at]), len(self.keys) - 1)
+        return at[self.keys[near] == h[at]]
+
+
+def known_hashes(keys: DataFrame, count: int) -> Known:
+    """keys: key. Beyond MAX_KEYS the bitmap is put together by the executors, 4 KB a piece."""
+    if count <= MAX_KEYS:
+        own = np.sort(np.array([r.key for r in keys.select("key").distinct().toLocalIterator()], np.int64).view(U64))
+        spot = np.unique((own >> U64(64 - NARROW)).astype(np.int64))
+        return Known(NARROW, np.packbits(np.isin(np.arange(1 << NARROW), spot), bitorder="little"), own)
+    spot = keys.select((F.shiftrightunsigned("key", 64 - WIDE) + 1).alias("s"))
+    pieces = spot.groupBy(F.bitmap_bucket_number("s").alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("s")).alias("bits"))
+    bitmap = np.zeros(1 << (WIDE - 3), np.uint8)
+    for r in pieces.toLocalIterator():
+        own = np.frombuffer(bytes(r.bits), np.uint8)
+        bitmap[(r.b - 1) * 4096 : (r.b - 1) * 4096 + len(own)] = own
+    return Known(WIDE, bitmap, None)
+
+
+def _hits(masks: tuple[str, ...], few: bool, shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: Known = shared.value
         for block in blocks(batches, "text", lower=True):
             x = block.words(LETTERS).hashes()
             first = block.first
-            at, hashes = [], []
+            at, hashes = [np.zeros(0, np.int64)], [np.zeros(0, U64)]
             for mask in masks:
                 h = seed_hashes(x, mask)
-                place = np.flatnonzero(likely[h >> U64(64 - _BITS)]) if known is not None else np.arange(len(h))
-                h = h[place]
-                if known is not None and len(h):
-                    spot = np.minimum(np.searchsorted(known, h), len(known) - 1)
-                    place, h = place[known[spot] == h], h[known[spot] == h]
-                whole = place + len(mask) <= first[np.searchsorted(first, place, "right")] if len(place) else np.zeros(0, bool)
-                at.append(place[whole])
-                hashes.append(h[whole])
+                place = known.places(h)
+                if len(place):
+                    place = place[place + len(mask) <= first[np.searchsorted(first, place, "right")]]
+                at.append(place)
+                hashes.append(h[place])
+            for d in np.flatnonzero((np.diff(first) > 0) & (np.diff(first) < FEW)) if few else ():
+                h = _whole(x[first[d] : first[d + 1]])
+                if len(known.places(h)):
+                    at.append(first[d : d + 1])
+                    hashes.append(h)
             at, hashes = np.concatenate(at), np.concatenate(hashes)
             if not len(at):
                 continue
@@ -126,34 +168,40 @@ def _verify(least: int, part: float):
     return run
 
 
+_FOUND = "class long, item long, n_words int, n_equal int, doc_start int, item_start int"
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, least: int = LEAST, same: float = SAME) -> DataFrame:
-    """Of each text and item that share a passage: doc_id, class (hash of the text), item_id, n_words and n_equal of
-    the best aligned segment, doc_start and item_start (its first words)."""
+    """Of each document and item that share a passage: doc_id, class (hash of the text), item_id (the least of equal items), n_items (how
+    many they are), n_words and n_equal of the best aligned segment, doc_start and item_start (its first words)."""
+    spark = docs.sparkSession
     bench = benchmark.select("item_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("item", F.xxhash64("text"))
+    ids = bench.groupBy("item").agg(F.min("item_id").alias("item_id"), F.count("*").alias("n_items"))
     items = written(bench.dropDuplicates(["item"]).select("item", "text").mapInArrow(_items, "item long, keys array<long>, places array<int>, words binary"), "items")
     keys = items.select("item", F.explode(F.arrays_zip("keys", "places")).alias("k")).select("item", F.col("k.keys").alias("key"), F.col("k.places").alias("item_place"))
     count = keys.count()
-    spans = items.agg(F.max(F.octet_length("words")).alias("most"), F.min(F.when(F.octet_length("words") >= 20, F.octet_length("words"))).alias("fewest")).first()
-    long_span = 4 * max(map(len, MASKS))
-    masks = (MASKS if (spans.most or 0) >= long_span else ()) + (SHORT if spans.fewest is not None and spans.fewest < long_span else ())
-    small = count <= MAX_KEYS
-    known = np.array(sorted(r.key for r in keys.select("key").distinct().toLocalIterator()), np.int64).view(U64) if small else None
-    known = np.sort(known) if small else None
+    if not count:
+        return spark.createDataFrame([], "doc_id long, class long, item_id long, n_items long, n_words int, n_equal int, doc_start int, item_start int")
+    size = F.octet_length("words") / 4
+    has = items.agg(F.max((size >= LEAST).cast("int")).alias("long"), F.max(((size >= FEW) & (size < LEAST)).cast("int")).alias("short"), F.max(((size > 0) & (size < FEW)).cast("int")).alias("few")).first()
+    shared = spark.sparkContext.broadcast(known_hashes(keys, count))  # at most MAX_KEYS hashes, or 2 ** WIDE bits
     own = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("class", F.xxhash64("text"))
-    schema = "doc_id long, class long, keys array<long>, places array<int>, words binary"
-    if not masks or small and not len(known):
-        return docs.sparkSession.createDataFrame([], "doc_id long, class long, item_id long, n_words int, n_equal int, doc_start int, item_start int")
-    hits = written(own.mapInArrow(_hits(masks, known), schema), "hits")
+    hits = own.mapInArrow(_hits((MASKS if has.long else ()) + (SHORT if has.short else ()), bool(has.few), shared), "doc_id long, class long, keys array<long>, places array<int>, words binary")
+    hits = written(hits, "hits")
     texts = hits.dropDuplicates(["class"])
-    near = F.broadcast if small else (lambda df: df)
+    near = F.broadcast if count <= MAX_KEYS else (lambda df: df)
     met = texts.select("class", F.explode(F.arrays_zip("keys", "places")).alias("k")).select("class", F.col("k.keys").alias("key"), F.col("k.places").alias("place"))
     pairs = met.join(near(keys), "key").select("class", "item", (F.col("place") - F.col("item_place")).alias("shift")).groupBy("class", "item").agg(F.collect_set("shift").alias("shifts"))
     full = pairs.join(texts.select("class", "words"), "class").join(near(items.select("item", F.col("words").alias("item_words"))), "item")
-    found = full.mapInArrow(_verify(least, same), "class long, item long, n_words int, n_equal int, doc_start int, item_start int")
-    return hits.select("doc_id", "class").join(found, "class").join(bench.select("item", "item_id"), "item").select("doc_id", "class", "item_id", "n_words", "n_equal", "doc_start", "item_start")
+    found = full.mapInArrow(_verify(least, same), _FOUND).join(near(ids), "item")
+    per = F.collect_list(F.struct("item_id", "n_items", "n_words", "n_equal", "doc_start", "item_start")).alias("found")
+    of_class = written(found.groupBy("class").agg(per), "found")
+    counted = hits.groupBy("class").agg(F.count("*").alias("n")).join(of_class, "class")
+    return join_groups(hits.select("doc_id", "class"), written(counted, "counted"), ["class"]).select("doc_id", "class", F.explode("found").alias("f")).select("doc_id", "class", "f.*")
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs whose text shares no passage with the benchmark."""
-    found = contaminated(docs, benchmark).select(F.col("class").alias("_class")).distinct()
+    found = written(contaminated(docs, benchmark).select(F.col("class").alias("_class")).distinct(), "dirty")
+    found = F.broadcast(found) if found.count() <= MAX_CLASSES else found
     return docs.withColumn("_class", F.xxhash64(F.coalesce("text", F.lit("")))).join(found, "_class", "left_anti").select(*docs.columns)

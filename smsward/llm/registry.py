@@ -31,7 +31,7 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     from smsward.llm.decontaminate import contaminated
 
     found = contaminated(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "benchmark", "item_id", "text"))
-    return found.select("doc_id", "item_id", "n_words", "n_equal", "doc_start", "item_start")
+    return found.select("doc_id", "item_id", "n_items", "n_words", "n_equal", "doc_start", "item_start")
 
 
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
