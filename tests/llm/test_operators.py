@@ -1,11 +1,14 @@
 """Each operator against a brute-force version, and on nulls, empty and long texts, ties, repeats, empty tables and clashing columns."""
 
 import collections
+import itertools
 import random
 import re
+import struct
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from smsward.llm import bpe, common, decontaminate, imatch, language, minhash, pii, quality, substrings, toxicity, urls
@@ -126,30 +129,51 @@ def test_decontamination(spark, texts):
 
 
 def test_contamination_of_substituted_passages(spark):
-    """Any aligned segment counts, also where a shorter one scores higher; against all segments of all alignments that a seed hits."""
+    """Any aligned segment counts, also where a shorter one scores higher; against all segments of all alignments."""
     rng = random.Random(3)
-    items = [[f"w{rng.randrange(10**6)}" for _ in range(n)] for n in (6, 9, 11, 12, 13, 15, 15, 17, 20, 25, 30, 45)]
+    items = [[f"w{rng.randrange(10**6)}" for _ in range(n)] for n in (5, 6, 7, 9, 10, 11, 12, 13, 15, 15, 17, 20, 25, 30, 45)]
     docs = []
     for it in items:
         for part in (0.1, 0.15, 0.2, 0.25):
             docs += [[f"f{rng.randrange(99)}" for _ in range(rng.randrange(4))] + [w if rng.random() >= part else "changed" for w in it] + ["end"] for _ in range(8)]
-    docs.append([w if i not in (5, 11) else "changed" for i, w in enumerate(items[5])])
+    docs.append([w if i not in (5, 11) else "changed" for i, w in enumerate(items[8])])
     want = set()
     for d, doc in enumerate(docs):
         for i, it in enumerate(items):
-            masks = decontaminate.MASKS if len(it) >= 11 else decontaminate.SHORT
             for s in range(-len(it) + 1, len(doc)):
                 same = [0 <= k + s < len(doc) and doc[k + s] == w for k, w in enumerate(it)]
                 a, b = max(0, -s), min(len(it), len(doc) - s)
-                hit = any(all(same[p + q] for q, c in enumerate(m) if c == "1") for m in masks for p in range(a, b - len(m) + 1))
-                if hit and any(5 * sum(same[x:y]) >= 4 * (y - x) for x in range(a, b) for y in range(x + min(12, len(it)), b + 1)):
+                if any(5 * sum(same[x:y]) >= 4 * (y - x) for x in range(a, b) for y in range(x + min(12, len(it)), b + 1)):
                     want.add((d, i))
     made = spark.createDataFrame([(d, " ".join(t)) for d, t in enumerate(docs)], DOCS)
     found = decontaminate.contaminated(made, spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(items)], "item_id long, text string")).collect()
-    assert (len(docs) - 1, 5) in want and {(r.doc_id, r.item_id) for r in found} == want
+    assert (len(docs) - 1, 8) in want and {(r.doc_id, r.item_id) for r in found} == want
     assert all(5 * r.n_equal >= 4 * r.n_words and r.n_words >= min(12, len(items[r.item_id])) for r in found)
 
 
+def test_masks_lose_no_segment():
+    """Whichever words are substituted, at most a fifth: some mask finds the rest."""
+    for n in range(5, 23):
+        masks = decontaminate._masks_of(n)
+        for gone in itertools.combinations(range(n), n // 5):
+            same = [i not in gone for i in range(n)]
+            assert any(all(same[p + q] for q, c in enumerate(m) if c == "1") for m in masks for p in range(n - len(m) + 1)), (n, gone)
+
+
+def test_contamination_of_few_words_and_copies(spark):
+    """Items under five words count where they are all of a text; equal items are reported once, with their number."""
+    items = [(1, "Yes, indeed"), (2, "yes indeed"), (3, "no"), (4, "of the four words"), (5, "of the four words"), (6, ""), (None, "NO!")]
+    docs = [(1, "yes... INDEED"), (2, "yes indeed it is"), (3, "no"), (3, "no"), (4, "no no"), (None, "of the four words"), (5, "one of the four words"), (6, None)]
+    for most in (decontaminate.MAX_KEYS, 0):
+        old, decontaminate.MAX_KEYS = decontaminate.MAX_KEYS, most
+        try:
+            got = decontaminate.contaminated(frame(spark, docs), spark.createDataFrame(items, "item_id long, text string")).collect()
+        finally:
+            decontaminate.MAX_KEYS = old
+        want = [("1", "1", 1), ("1", "2", 1), ("3", "3", 1), ("3", "3", 1), ("3", "None", 1), ("3", "None", 1), ("None", "4", 2)]
+        assert sorted((str(r.doc_id), str(r.item_id), r.n_items) for r in got) == want
+
+
 def test_contamination_without_broadcast(spark, monkeypatch):
     monkeypatch.setattr(decontaminate, "MAX_KEYS", 0)
     rng = random.Random(9)
@@ -175,14 +199,69 @@ def test_imatch(spark, texts):
     assert one.edited == "abab" and imatch.compare_with_edits(frame(spark, texts)).count() == len(texts)
 
 
-def test_imatch_families(spark):
-    """16 families: likenesses come in steps of 1/16, and an edit of half a text leaves some signature of nearly each."""
+def spark_hash(*values):
+    """Spark's xxhash64, of strings, longs (as int) and ints (as np.int32), one after the other."""
+    seed = 42
+    for v in values:
+        raw = v.encode() if isinstance(v, str) else struct.pack("<i" if isinstance(v, np.int32) else "<q", v)
+        seed = xxhash.xxh64_intdigest(raw, seed=seed)
+        seed = seed - (1 << 64) if seed >> 63 else seed
+    return seed if isinstance(seed, int) else None
+
+
+@pytest.mark.parametrize("most", [60_000, 3])
+def test_imatch_recomputed(spark, monkeypatch, most):
+    """Fingerprints and likenesses against plain Python, with the lexicon in the plan and in a join."""
+    monkeypatch.setattr(imatch, "MAX_LEXICON", most)
     rng = random.Random(6)
-    rows = imatch.compare_with_edits(spark.createDataFrame([(i, sentence(rng, 12)) for i in range(300)], DOCS)).collect()
-    assert all(len(r.fingerprint) == len(r.edited_fingerprint) == 16 * 8 for r in rows)
-    assert all((16 * r.near_edited).is_integer() for r in rows) and any(16 * r.near_edited % 2 for r in rows)
-    chunks = lambda s: [s[i : i + 8] for i in range(0, len(s), 8)]
-    assert all(r.near_edited == sum(a == b for a, b in zip(chunks(r.fingerprint), chunks(r.edited_fingerprint), strict=True)) / 16 for r in rows)
+    many = lambda n: " ".join(f"{WORDS[int(42 * rng.random() ** 2)]}{rng.randrange(8)}" for _ in range(n))
+    rows = [(i, many(rng.choice([1, 3, 12, 40, 200]))) for i in range(120)] + [(500, None), (501, ""), (502, "..."), (None, "ba xx"), (None, "kela bast"), (7, "same id"), (8, many(5).upper())]
+    rows += [rows[3]] * 3
+    term = re.compile(r"[^\W_]+")
+    terms_of = lambda t: {spark_hash(w) for w in term.findall(t.lower())}
+    df = collections.Counter(h for _, t in rows for h in terms_of(t or ""))
+    band = {h for h, n in df.items() if max(1, imatch.LOW * len(rows)) <= n <= imatch.HIGH * len(rows)}
+    assert len(band) > 3
+
+    def holds(h, k):
+        rate, bit = imatch.RATES[k // imatch.EACH], k
+        return all(spark_hash(h, np.int32(r)) >> bit & 1 for r in (0, *range(2, rate + 1)))
+
+    def mask(h):
+        return sum(holds(h, k) << k for k in range(imatch.LEXICONS))
+
+    masks = {h: mask(h) for h in band}
+    signed = lambda m: m - (1 << 64) if m >> 63 else m
+
+    def fingerprint(text):
+        own = terms_of(text)
+        lists = [sorted(h for h in own & band if masks[h] >> k & 1) for k in range(imatch.LEXICONS)]
+        if not any(lists):
+            whole = spark_hash(*sorted(own))
+            return [spark_hash(whole, np.int32(k)) >> 32 for k in range(imatch.LEXICONS)]
+        return [spark_hash(*(x for h in own_k for x in (h, signed(masks[h])))) >> 32 if own_k else 0 for own_k in lists]
+
+    def likeness(a, b):
+        either = [(x, y) for x, y in zip(a, b, strict=True) if x or y]
+        return sum(x == y for x, y in either) / len(either) if either else 1.0
+
+    key = lambda k, t: ((1 << 63) - 1 if k is None else k, spark_hash(t))
+    order = sorted({(key(k, t or ""), k, t or "") for k, t in rows}, key=lambda x: x[0])
+    want = {}
+    for i, (_, k, t) in enumerate(order):
+        after = order[(i + 1) % len(order)][2]
+        half = len(t) // 2
+        edited = t[: len(t) - half] + after[:half]
+        f, g = fingerprint(t), fingerprint(edited)
+        text = lambda s: "".join(f"{x & 0xFFFFFFFF:08x}" for x in s)
+        want[k, len(t), edited] = (text(f), text(g), likeness(f, g), likeness(f, fingerprint(after)))
+    got = imatch.compare_with_edits(frame(spark, rows)).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        f, g, a, b = want[r.doc_id, r.n_chars, r.edited]
+        assert (r.fingerprint, r.edited_fingerprint) == (f, g) and (r.near_edited, r.near_next) == pytest.approx((a, b))
+    monkeypatch.setattr(imatch, "COPIES", 2)
+    assert imatch.compare_with_edits(frame(spark, rows)).count() == len(rows)
 
 
 RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
@@ -203,16 +282,32 @@ def test_urls(spark):
     rules = spark.createDataFrame(RULES + RULES[:1] + [(None, "/", "block")], "host string, path string, verdict string")
     want = sorted((i, *brute(u)) for i, u in [*enumerate(pages), (3, pages[3])])
     key = lambda r: (r[0], r[1])
-    for most in (urls.MAX_RULES, 0):  # by the sweep, and by the join
-        old, urls.MAX_RULES = urls.MAX_RULES, most
-        try:
-            got = urls.judge(df, rules).select("page_id", "host", "path", "rule", "verdict").collect()
-        finally:
-            urls.MAX_RULES = old
-        assert sorted(map(tuple, got), key=key) == sorted(want, key=key)
+    got = urls.judge(df, rules).select("page_id", "host", "path", "rule", "verdict").collect()
+    assert sorted(map(tuple, got), key=key) == sorted(want, key=key)
     assert urls.judge(df.limit(0), rules).count() == 0
 
 
+def test_urls_of_many_rules(spark, monkeypatch):
+    """Nested rules of all depths, a hot host and more parts than cuts can part evenly: against every rule."""
+    monkeypatch.setattr(urls, "PER_PART", 3)
+    rng = random.Random(3)
+    labels = ["a", "b", "www", "com", "net", "example", "x1", "org"]
+    host = lambda n: ".".join(rng.choice(labels) for _ in range(n))
+    rules = {(host(rng.randrange(1, 4)), "/" + rng.choice(["", "en/", "en/a", "fr/", "e"])): rng.choice(["allow", "block"]) for _ in range(300)}
+    rules |= {("hot.example.com", f"/{i}/"): "block" for i in range(200)}
+    pages = [(i, f"http://{host(rng.randrange(1, 5)) if rng.random() < 0.5 else rng.choice(['hot', 'm.hot']) + '.example.com'}/{rng.choice(['', 'en/', 'en/abc', 'fr/x', 'e', '7/x', '150/'])}") for i in range(3000)]
+    made = spark.createDataFrame([(*k, v) for k, v in rules.items()], "host string, path string, verdict string")
+    got = {r.page_id: (r.rule, r.verdict) for r in urls.judge(spark.createDataFrame(pages, "page_id long, url string").repartition(5), made).collect()}
+    assert len(got) == len(pages)
+    for i, u in pages:
+        h, p = re.match(r"([^/?#]*)([^?#]*)", u.split("://", 1)[1]).groups()
+        fit = {a + b: v for (a, b), v in rules.items() if (h == a or h.endswith("." + a)) and p.startswith(b)}
+        longest = max(map(len, fit), default=0)
+        rule, verdict = got[i]
+        assert (len(rule or ""), verdict) == (longest, fit[rule] if fit else "allow") and (rule in fit or not fit)
+    assert urls.judge(spark.createDataFrame(pages[:9], "page_id long, url string"), made.limit(0)).filter("rule is not null").count() == 0
+
+
 def test_bpe_round_trip(spark, texts):
     tokenizers, P = pytest.importorskip("tokenizers"), pytest.importorskip("public_tokenizers")
     path = P.path("byte_bpe_50k.json")
@@ -248,7 +343,8 @@ def test_pii_field(spark):
         ok = pii.luhn(digits)
         if ok or rng.random() < 0.1:
             seen.append(f"{sentence(rng, 3)} {digits} {sentence(rng, 3)}")
-    got = {r.doc_id: r for r in pii.find_spans(docs, pii.train(seen)).collect()}
+    field = pii.train([e for t in seen for e in pii.examples(t)])
+    got = {r.doc_id: r for r in pii.find_spans(docs, field).collect()}
     assert pii.find_spans(docs).count() == len(rows)
     assert got[1].pii_base == "" and got[1].pii_spans == "card:10:26,card:27:43"
     assert (got[2].n_email, got[2].n_phone) == (1, 1) and got[2].redacted == "mail [EMAIL] or [PHONE]"
@@ -268,7 +364,7 @@ def test_pii_rewritten_forms():
     rng = random.Random(3)
     digits = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
     made = [f(i) for i in range(40) for f in (lambda i: f"user.{i}@mail{i}.example.com", lambda i: f"+1 (20{i % 10}) 555-{digits(4)}", lambda i: f"+44 20 {digits(4)} {digits(4)}", lambda i: f"{rng.randrange(256)}.{i}.2.{rng.randrange(256)}", lambda i: next(c for c in iter(lambda: "4" + digits(15), None) if pii.luhn(c)))]
-    field = pii.train([f"{sentence(rng, 4)} {m} {sentence(rng, 4)}" for m in made])
+    field = pii.train([e for m in made for e in pii.examples(f"{sentence(rng, 4)} {m} {sentence(rng, 4)}")])
     for kind, values in entities.items():
         for value in values:
             for form in pii.MASKS[kind]:
@@ -281,13 +377,59 @@ def test_pii_rewritten_forms():
     assert field.weights["email: spelled at"] > 0
 
 
-def test_pii_learns_from_all_texts():
-    """The bound on regions is filled from all texts: an only kind of entity in late ones is learnt."""
-    early = [f"a{i:04d} plain text {i} with a number" for i in range(1500)]
-    late = [f"z{i:04d} call +99 {i % 7}00 {1000 + i} {2000 + i} now" for i in range(500)]
-    field = pii.train(early + late)
-    other = pii.train(late + early)
-    assert field.weights["phone: after call"] > 0.3 and other.weights["phone: after call"] > 0.3
+def test_pii_learns_from_all_texts(spark, monkeypatch):
+    """The bounds on texts and regions are filled from all texts, and copies of one count once."""
+    early = [(i, f"a{i:04d} plain text {i} with a number") for i in range(1500)] + [(9, "the same 1 again")] * 3000
+    late = [(i, f"z{i:04d} call +99 {i % 7}00 {1000 + i} {2000 + i} now") for i in range(500)]
+    for sample, most in ((1000, 2000), (10**6, 300)):
+        monkeypatch.setattr(pii, "SAMPLE", sample)
+        monkeypatch.setattr(pii, "REGIONS", most)
+        assert pii.fit(spark.createDataFrame(early + late, DOCS)).weights["phone: after call"] > 0.3
+    assert pii.fit(spark.createDataFrame([(1, None)], DOCS)).weights["email: sign"] != 0
+
+
+def test_pii_segmentation_is_the_best_of_all():
+    """The dynamic program against the enumeration of every segmentation; and the gradient against differences of the likelihood."""
+    rng = random.Random(12)
+    for n in range(40):
+        text = " ".join(rng.choice(["10.1.2.3", "4111111111111111", "+1 202 555 0101", "at", "a@b.org", "12", "555-0101", "x"]) for _ in range(4))
+        region = pii.Region(text, 0, len(text))
+        field, held = pii.SegmentCRF(), region.candidates
+        for f in sorted({f for fs in held.values() for f in fs}):
+            field.weights[f] = rng.uniform(-1, 1.2)
+
+        def total(at, held=held, field=field, size=len(region.atoms)):
+            yield 0.0, ()
+            for c in held:
+                if c[0] >= at:
+                    for value, rest in total(c[1]):
+                        yield value + field.score(held[c]), (c, *rest)
+
+        every = list(total(0))
+        found = field.best(region)
+        assert sum(s for *_, s in found) == pytest.approx(max(v for v, _ in every), abs=1e-9)
+        assert all(a[1] <= b[0] for a, b in zip(found, found[1:]))
+        if held and n < 10:
+            gold = max(every, key=lambda x: len(x[1]))[1]
+            like = lambda w, every=every, held=held, gold=gold: sum(sum(w[f] for f in held[c]) for c in gold) - np.logaddexp.reduce([sum(sum(w[f] for f in held[c]) for c in seg) for _, seg in every])
+            before = dict(field.weights)
+            field.climb(len(region.atoms), held, set(gold), 1.0)
+            for f in list(before)[:6]:
+                up, down = before | {f: before[f] + 1e-5}, before | {f: before[f] - 1e-5}
+                assert field.weights[f] - before[f] == pytest.approx((like(up) - like(down)) / 2e-5, abs=2e-3)
+
+
+def test_pii_long_stretches():
+    """A span in the middle of a long run of numbers is found as it is alone, in time linear in the run; overlaps with base spans never come."""
+    field = pii.train([])
+    run = "1 22 333 " * 3000
+    for span in ("a.b@mail.example.org", "10.1.2.3", "jo at mail dot example dot org"):
+        text = f"{run}\n{span}\n{run}"
+        want = [(a + len(run) + 1, b + len(run) + 1, k) for a, b, k in pii.find(span, field)[1]]
+        assert want and [s for s in pii.find(text, field)[1] if len(run) < s[0] <= len(run) + 1 + len(span)] == want
+    base, both = pii.find("mail a@b.org 10.1.2.3, 4111111111111111 and " * 50, field)
+    extra = [s for s in both if s not in base]
+    assert len(base) == 150 and not any(a < y and x < b for a, b, _ in extra for x, y, _ in base)
 
 
 def labelled(spark, make, n=600):
