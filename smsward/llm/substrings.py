@@ -11,12 +11,17 @@ each window into one subtraction and one product. Counting happens in Spark, in
    chunks, where marked windows merge into maximal removal intervals a document.
 3. The intervals join the documents by a key of the row.
 
-A hash has 56 bits and those of its bucket's number (which grows with the input), so at n windows about
-n**2 / 2**(57 + log2(buckets)) pairs are taken for equal by chance: 1e-3 at a hundred million windows.
+A bucket is the work of about BUCKET_BYTES of text, however large the input. Up to FAN buckets a chunk sends
+a blob to each; where more are needed, blobs go to FAN coarse buckets first, and pieces of about PIECE_BYTES of one coarse bucket, each of
+many chunks, are split into the final ones by bits of the hash: so blobs stay large at any size, at the cost of one more shuffle.
+
+A hash has 56 bits and those of its coarse bucket's number, so at n windows about n**2 / 2**(57 + log2(buckets, FAN at most)) pairs
+are taken for equal by chance: 1e-3 at a hundred million windows.
 
 Cases: null and wordless texts have no words and lose none; texts shorter than the window lose none;
-repeated rows repeat each other's windows; null doc_ids are kept; further columns aren't read.
-The input must be read the same again if a task is repeated: a file scan or a written table is.
+repeated rows repeat each other's windows (rows of one doc_id and text share their intervals; Spark's skew handling splits the join where they
+are many); null doc_ids are kept; further columns aren't read; empty tables give no rows.
+A repeated task must read its rows again in the same order: file scans do, and anything else is written to the shared folder first.
 """
 
 from __future__ import annotations
@@ -28,11 +33,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from smsward.llm.common import U64, Block, blocks, mix, pack, plan_bytes, rolling, shuffle_partitions, unpack, within
+from smsward.llm.common import U64, Block, blocks, mix, pack, plan_bytes, rolling, shuffle_partitions, unpack, within, written
 
 CHUNK_WINDOWS = 1 << 20
+BUCKET_BYTES, PIECE_BYTES, FAN = 4 << 20, 64 << 20, 2048
 _SECOND = 0xD6E8FEB86659FD93 | 5
 _BUCKETS = "bucket int, kind byte, chunk long, blob binary, places binary"
+_FINE = "bucket long, kind byte, chunk long, blob binary, places binary, owners binary"
 _MARKS = "chunk long, kind byte, blob binary, places binary"
 _SPANS = "k1 long, k2 int, spans binary"
 _HASH = 7
@@ -101,29 +108,88 @@ def _emit(window: int, buckets: int):
     return run
 
 
+_SETTLED = 0xFFFFFFFF
+
+
+def _hashes(blobs: list[bytes]) -> np.ndarray:
+    raw = b"".join(blobs)
+    wide = np.zeros((len(raw) // _HASH, 8), np.uint8)
+    wide[:, :_HASH] = np.frombuffer(raw, np.uint8).reshape(-1, _HASH)
+    return wide.view("<u8").ravel()
+
+
+def _squeeze(a: np.ndarray) -> bytes:
+    return len(a).to_bytes(8, "little") + pa.compress(np.ascontiguousarray(a).tobytes(), codec="zstd", asbytes=True)
+
+
+def _stretch(b: bytes, kind: str) -> np.ndarray:
+    n = int.from_bytes(b[:8], "little")
+    return np.frombuffer(pa.decompress(b[8:], decompressed_size=n * np.dtype(kind).itemsize, codec="zstd", asbytes=True), kind)
+
+
+def _split(fine: int):
+    """Deals the entries of one coarse bucket, from many chunks, to its final buckets; each entry keeps its chunk and place."""
+
+    def run(group: pa.Table) -> pa.Table:
+        kind, bucket = group["kind"].to_numpy(), group["bucket"].to_numpy().astype(np.int64)
+        chunks, blobs, places = group["chunk"].to_numpy(), group["blob"].to_pylist(), group["places"].to_pylist()
+        rows = [(int(bucket[i]) * fine, 1, int(chunks[i]), blobs[i], places[i], None) for i in np.flatnonzero(kind == 1)]
+        own = np.flatnonzero(kind == 0)
+        if len(own):
+            x = _hashes([blobs[i] for i in own])
+            counts = np.array([len(blobs[i]) // _HASH for i in own])
+            owner = np.repeat(chunks[own], counts)
+            place = np.full(len(x), _SETTLED, "<u4")
+            for at, i in zip(np.cumsum(counts) - counts, own, strict=True):
+                found = unpack(places[i])
+                place[at : at + len(found)] = found
+            to = ((x >> U64(20)) % U64(fine)).astype(np.int64)
+            order = np.argsort(to, kind="stable")
+            edges = np.flatnonzero(np.diff(to[order], prepend=-1, append=-1))
+            short = x.view(np.uint8).reshape(-1, 8)[:, :_HASH]
+            for a, b in zip(edges[:-1], edges[1:], strict=True):
+                part = order[a:b]
+                rows.append((int(bucket[own[0]]) * fine + int(to[part[0]]), 0, -1, short[part].tobytes(), _squeeze(place[part]), _squeeze(owner[part].astype("<i8"))))
+        fields = [("bucket", pa.int64()), ("kind", pa.int8()), ("chunk", pa.int64()), ("blob", pa.binary()), ("places", pa.binary()), ("owners", pa.binary())]
+        return pa.Table.from_batches([_batch(rows, fields)])
+
+    return run
+
+
 def _settle(group: pa.Table) -> pa.Table:
     kind = group["kind"].to_numpy()
     chunks, blobs, places = group["chunk"].to_pylist(), group["blob"].to_pylist(), group["places"].to_pylist()
+    owners = group["owners"].to_pylist() if "owners" in group.column_names else [None] * len(kind)
     out = [(chunks[i], 1, blobs[i], places[i]) for i in np.flatnonzero(kind == 1)]
     hashed = np.flatnonzero(kind == 0)
     if len(hashed):
-        counts = np.array([len(blobs[i]) // _HASH for i in hashed])
-        wide = np.zeros((counts.sum(), 8), np.uint8)
-        wide[:, :_HASH] = np.frombuffer(b"".join(blobs[i] for i in hashed), np.uint8).reshape(-1, _HASH)
-        x = wide.view("<u8").ravel()
+        x = _hashes([blobs[i] for i in hashed])
         order = np.argsort(x, kind="stable")
         ranked = x[order]
         same = ranked[1:] == ranked[:-1]
         hit = np.zeros(len(x), bool)
         hit[order[1:][same]] = True
         hit[order[:-1][same]] = True
-        at = 0
-        for i, n in zip(hashed, counts, strict=True):
-            own = unpack(places[i])
-            marked = own[hit[at : at + len(own)]]
-            if len(marked):
-                out.append((chunks[i], 0, pack(marked), None))
+        at, of, spots = 0, [], []  # of entries of many chunks: chunk and place
+        for i in hashed:
+            n = len(blobs[i]) // _HASH
+            if owners[i] is None:
+                own = unpack(places[i])
+                marked = own[hit[at : at + len(own)]]
+                if len(marked):
+                    out.append((chunks[i], 0, pack(marked), None))
+            else:
+                place = _stretch(places[i], "<u4")
+                some = hit[at : at + n] & (place != _SETTLED)
+                of.append(_stretch(owners[i], "<i8")[some])
+                spots.append(place[some])
             at += n
+        if of:
+            of, spots = np.concatenate(of), np.concatenate(spots)
+            order = np.lexsort((spots, of))
+            of, spots = of[order], spots[order]
+            edges = np.flatnonzero(np.diff(of, prepend=-1, append=-1)) if len(of) else []
+            out += [(int(of[a]), 0, pack(spots[a:b]), None) for a, b in zip(edges[:-1], edges[1:], strict=True)]
     return pa.Table.from_batches([_batch(out, [("chunk", pa.int64()), ("kind", pa.int8()), ("blob", pa.binary()), ("places", pa.binary())])])
 
 
@@ -165,12 +231,24 @@ def _merge(window: int):
     return run
 
 
+def _repeatable(docs: DataFrame) -> bool:
+    """Whether the rows come from files (or the driver) with nothing but filters and projections between."""
+    lines = docs._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    return all(line.lstrip(" :+-!").startswith(("Project", "Filter", "Relation", "LocalRelation")) for line in lines if line.strip())
+
+
 def removal_spans(docs: DataFrame, window: int = 35) -> DataFrame:
     """k1, k2 (the row's key), spans (uint32 pairs: first word, word after the last) of rows that lose words."""
     spark = docs.sparkSession
+    size = plan_bytes(docs) or docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     keyed = docs.select(*_key(), "text")
-    buckets = max(4 * shuffle_partitions(spark), plan_bytes(docs) // 600_000)
-    sent = keyed.mapInArrow(_emit(window, buckets), _BUCKETS)
+    buckets = max(4 * shuffle_partitions(spark), size // BUCKET_BYTES)
+    coarse, fine = min(buckets, max(FAN, 4 * shuffle_partitions(spark))), 1
+    sent = keyed.mapInArrow(_emit(window, coarse), _BUCKETS)
+    if buckets > coarse:
+        fine = -(-buckets // coarse)
+        pieces = max(1, size // coarse // PIECE_BYTES)
+        sent = sent.groupBy("bucket", F.pmod(F.xxhash64("chunk"), F.lit(pieces)).alias("piece")).applyInArrow(_split(fine), _FINE)
     marks = sent.groupBy("bucket").applyInArrow(_settle, _MARKS)
     spans = marks.groupBy("chunk").applyInArrow(_merge(window), _SPANS)
     return spans.dropDuplicates(["k1", "k2"])
@@ -199,6 +277,8 @@ def _apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def remove_repeats(docs: DataFrame, window: int = 35) -> DataFrame:
     """doc_id, n_words, n_removed and kept (the kept words, joined by a space)."""
+    docs = docs.select("doc_id", "text")
+    docs = docs if _repeatable(docs) else written(docs, "texts")
     spans = removal_spans(docs, window)
     own = docs.select("doc_id", "text", *_key())
     joined = own.join(spans.hint("shuffle_hash"), ["k1", "k2"], "left").select("doc_id", "text", "spans")

@@ -100,8 +100,12 @@ def test_components(spark):
     assert len({got[i] for i in range(51)}) == 1 and len({got[i] for i in (100, 101, 102)}) == 1 and got[0] != got[100]
 
 
-def test_substrings(spark, texts, monkeypatch):
+@pytest.mark.parametrize("two_levels", [False, True])
+def test_substrings(spark, texts, monkeypatch, two_levels):
     monkeypatch.setattr(substrings, "CHUNK_WINDOWS", 300)  # several chunks a task
+    if two_levels:
+        for name, value in (("FAN", 1), ("BUCKET_BYTES", 500), ("PIECE_BYTES", 200)):
+            monkeypatch.setattr(substrings, name, value)
     docs = [(i, re.findall(r"[^\x20\x09-\x0D]+", t or "")) for i, t in texts]
     count = collections.Counter(tuple(w[i : i + 35]) for _, w in docs for i in range(len(w) - 34))
     want = []
