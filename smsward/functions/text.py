@@ -16,27 +16,71 @@ _STABLE = r"^[\x{0}-\x{2FF}\x{1E00}-\x{1EFF}]*+$"
 _LATIN = [chr(c) for r in (range(0xC0, 0x250), range(0x1E00, 0x1F00)) for c in r]
 _FOLDED = {c: "".join(x for x in unicodedata.normalize("NFD", c) if unicodedata.category(x) != "Mn") for c in _LATIN}
 _FOLDED = {c: b for c, b in _FOLDED.items() if b != c and len(b) == 1}
+#: Text of these is decomposed by the table above and by dropping marks: Latin letters, and the marks that combine with them.
+_BY_TABLE = r"^[\x{0}-\x{36F}\x{1E00}-\x{1EFF}]*+$"
 WORD = f"a-zA-Z0-9{K.VIETNAMESE}"
 
 
+def _without_marks(s: str, form: str) -> str:
+    """NFD without nonspacing marks, or NFKD without combining letters."""
+    gone = unicodedata.combining if form == "NFKD" else (lambda c: unicodedata.category(c) == "Mn")
+    return "".join(c for c in unicodedata.normalize(form, s) if not gone(c))
+
+
+def _class(letters: list[str]) -> str:
+    """A character class of these, as ranges."""
+    codes, parts = sorted(map(ord, letters)), []
+    for c in codes:
+        if parts and parts[-1][1] == c - 1:
+            parts[-1][1] = c
+        else:
+            parts.append([c, c])
+    return "[" + "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in parts) + "]"
+
+
+#: As _BY_TABLE, less the letters that have a compatibility form.
+_BY_TABLE_K = "^" + _class([c for c in map(chr, [*range(0x370), *range(0x1E00, 0x1F00)]) if _without_marks(c, "NFKD") == ("" if unicodedata.category(c) == "Mn" else _FOLDED.get(c, c))]) + "*+$"
+
+
 @F.pandas_udf(StringType())
 def _nfc(text: pd.Series) -> pd.Series:
     return text.map(lambda s: s if s is None else unicodedata.normalize("NFC", s))
 
 
+@F.pandas_udf(StringType())
+def _nfd(text: pd.Series) -> pd.Series:
+    return text.map(lambda s: s if s is None else _without_marks(s, "NFD"))
+
+
+@F.pandas_udf(StringType())
+def _nfkd(text: pd.Series) -> pd.Series:
+    return text.map(lambda s: s if s is None else _without_marks(s, "NFKD"))
+
+
+def _mostly(text: Column, common: str, quick: Column, full) -> Column:
+    """quick where the text matches common; only the others are sent to Python."""
+    is_common = text.rlike(common)
+    return F.when(is_common, quick).otherwise(full(F.when(~is_common, text)))
+
+
 def nfc(text: Column) -> Column:
     """Canonical composition; only texts that may change are sent to Python."""
-    stable = text.rlike(_STABLE)
-    return F.when(stable, text).otherwise(_nfc(F.when(~stable, text)))
+    return _mostly(text, _STABLE, text, _nfc)
 
 
-def strip_diacritics(text: Column) -> Column:
-    """Base letters without marks; đ has no decomposition and stays."""
+def fold_letters(text: Column) -> Column:
+    """Base letters without marks, of text that is Latin, as tokens are: a column expression without Python."""
     return F.regexp_replace(F.translate(text, "".join(_FOLDED), "".join(_FOLDED.values())), r"\p{Mn}", "")
 
 
+def strip_diacritics(text: Column) -> Column:
+    """Base letters without marks, of any script; đ has no decomposition and stays."""
+    return _mostly(text, _BY_TABLE, fold_letters(text), _nfd)
+
+
 def keyword_fold(text: Column, fold_d: bool = False) -> Column:
-    out = F.lower(strip_diacritics(text))
+    """Compatibility decomposition without marks, lower-cased: fullwidth and mathematical letters become plain ones."""
+    out = F.lower(_mostly(text, _BY_TABLE_K, fold_letters(text), _nfkd))
     return F.translate(out, "đ", "d") if fold_d else out
 
 
