@@ -93,6 +93,25 @@ DANGER_V1 = (
     "nhan tien", "qua tang", "nhan thuong", "gui tang", "trung thuong", "tuyen dung", "ctv", "viec lam", "thu nhap", "chot don", "luong cao",
 )
 
+# What the policies say to the user; %s is the domain's reason.
+REASONS = {
+    "Domain Risk": "CẢNH BÁO CAO: Phát hiện liên kết độc hại hoặc bị làm nhiễu (%s).",
+    "Hybrid Warning": "Cảnh báo: Tên miền sạch (%s) nhưng nội dung có dấu hiệu lừa đảo.",
+    "Hybrid Safe": "An toàn: Tên miền dịch vụ lưu trữ/rút gọn uy tín.",
+    "Authority Whitelist": "An toàn: Tên miền chính chủ đã được xác thực (%s).",
+    "Conversation Guard": "Cảnh báo mức thấp: AI nghi ngờ nhưng văn phong mang tính hội thoại cá nhân.",
+    "AI Detection": "Cảnh báo: AI phát hiện cấu trúc văn bản thường thấy trong tin nhắn rác/lừa đảo.",
+    "Keyword Trigger": "Cảnh báo: Nội dung chứa các từ khóa rủi ro cao (Tài chính/Giả danh) cần xác minh.",
+    "AI Model": "An toàn: Không tìm thấy yếu tố rủi ro trong nội dung.",
+}
+REASON_V1_PHISHING = "PHÁT HIỆN TÊN MIỀN ĐỘC HẠI: %s"
+REASON_V1_DOUBTFUL = "Domain an toàn (%s), nhưng nội dung đáng ngờ."
+REASON_V1_VERIFIED = "Tên miền chính chủ/Whitelist: %s"
+REASON_V1_CHAT = "Tin nhắn hội thoại thông thường (Conversation)"
+REASON_V1_DETECTED = "AI phát hiện nội dung/hành vi đáng ngờ"
+REASON_V1_SAFE = "Nội dung an toàn"
+STATUS_BAD, STATUS_CLEAN = "LỪA ĐẢO", "SẠCH"
+
 # Flags of a message, placeholders of a sheet, themes of a corpus.
 FLAG_TLDS = ("com", "vn", "net", "org", "info", "xyz", "top", "club", "vip", "pro", "me", "io", "edu", "gov", "biz", "cc", "tv", "site", "asia", "online", "tech")
 FLAG_PHONE = r"(?:\+84|84|0)(?:[\s.-]*\d){9,10}\b|(?:1800|1900)(?:[\s.-]*\d){4,6}\b|(?:02)(?:[\s.-]*\d){9}\b"
