@@ -1,21 +1,25 @@
 """Layers 2 to 4: leet decoding, separators, tokens, whitelist, misspelling, and the 27 features.
 
-Dictionaries are DataFrames of words. Membership is decided once for each distinct token: tokens are
-reduced to their distinct values before the dictionary joins, and flags return to messages by a map.
+A dictionary of up to SMALL bytes is sent to all tasks, so that tokens meet it where they are and no frequent word is
+a hot key; a larger one meets the distinct tokens in a shuffle, and verdicts return to tokens by word. Messages are known by a row
+number of their own, so equal and null keys keep their rows apart.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from smsward import constants as K
-from smsward.functions.text import char_count, nfc, strip_diacritics, tokens
+from smsward.functions.text import char_count, fold_letters, nfc, strip_diacritics, tokens
 from smsward.operators.mask import mask
 from smsward.scratch import written
 
 _WORDS = rf"(?iU)\b[a-zA-Z{K.VIETNAMESE}]+\b"
 _BANG = rf"(?iU)(?<=[a-zA-Z{K.VIETNAMESE}])!(?=[a-zA-Z{K.VIETNAMESE}])"
+SMALL = 64 << 20
 _SEPARATOR = r"['\-~:;,.\"*^{}\[\]()/|\\!]"
 #: A tag becomes letters, so that a digit beside it counts as it would beside a word; no text is lost whatever their number.
 _HIDE, _SHOW = (r"<([A-Z_]+)>", "ZQXTAG$1GATXQZ"), (r"(?i)ZQXTAG([A-Z_]+?)GATXQZ", "<$1>")
@@ -35,7 +39,8 @@ def normalize(df: DataFrame, text: str = "masked") -> DataFrame:
     for i, (group, pattern, to) in enumerate(steps):
         groups[group].append(f"_n{i}")
         p = pattern if pattern.startswith("(?iU)") else f"(?iU){pattern}"
-        hit = F.col("_t").rlike(next((c for c in "0134588!" if c in pattern.replace("[a-zA-Z0-9", "")), "(?iu)[ck][ko]"))  # what all matches hold
+        held = next((c for c in "013458!" if c in pattern.replace("[a-zA-Z0-9", "")), None)  # what all matches hold
+        hit = F.contains("_t", F.lit(held)) if held else F.col("_t").rlike("(?iu)[ck][ko]")
         count, text_ = F.when(hit, F.regexp_count("_t", F.lit(p))).otherwise(0), F.when(hit, F.regexp_replace("_t", p, to)).otherwise(F.col("_t"))
         out = out.select(*[c for c in out.columns if c != "_t"], count.alias(f"_n{i}"), text_.alias("_t"))
     total = lambda cols: sum((F.col(c) for c in cols[1:]), F.col(cols[0]))
@@ -52,15 +57,16 @@ def normalize(df: DataFrame, text: str = "masked") -> DataFrame:
     return out.select(*keep, *names, F.array_join("tokens", " ").alias("normalized"))
 
 
-def whitelisted(token: Column, repaired: bool = False) -> Column:
-    known = sorted({*K.BRANDS, *K.JARGON, *K.SLANG, *K.ENTITY_TOKENS, *(K.WHITELIST_REPAIRED if repaired else ())})
-    return token.isin(known) | token.rlike(r"(?U)^\d+$") | (token.startswith("<") & token.endswith(">")) | (F.length(token) <= 1) | ~token.rlike(r"[\p{L}\p{N}]")
+def whitelisted(token: Column, repaired: bool = False, custom: list[str] | None = None) -> Column:
+    """In the fixed lists or the custom one, all digits, without letters and digits, a tag, or of one character."""
+    known = sorted({*K.BRANDS, *K.JARGON, *K.SLANG, *K.ENTITY_TOKENS, *(K.WHITELIST_REPAIRED if repaired else ()), *(custom or ())})
+    return token.isin(known) | (F.length(token) <= 1) | (token.startswith("<") & token.endswith(">")) | token.rlike(r"(?U)^(?:\d+|[^\p{L}\p{N}]*)$")
 
 
-def split_whitelist(df: DataFrame, repaired: bool = False) -> DataFrame:
-    return df.withColumns({
-        "whitelisted_tokens": F.filter("tokens", lambda t: whitelisted(t, repaired)), "to_check": F.filter("tokens", lambda t: ~whitelisted(t, repaired)),
-    }).withColumn("whitelist_count", F.size("whitelisted_tokens"))
+def split_whitelist(df: DataFrame, repaired: bool = False, custom: list[str] | None = None) -> DataFrame:
+    """df with to_check, whitelisted_tokens and whitelist_count; custom: words of a whitelist file. A column that isn't used costs nothing."""
+    out = df.withColumns({"to_check": F.filter("tokens", lambda t: ~whitelisted(t, repaired, custom)), "whitelisted_tokens": F.filter("tokens", lambda t: whitelisted(t, repaired, custom))})
+    return out.withColumn("whitelist_count", F.size("tokens") - F.size("to_check"))
 
 
 def first_brand(token_list: Column) -> Column:
@@ -72,7 +78,7 @@ def eligible(token: Column) -> Column:
 
 
 def gibberish(token: Column) -> Column:
-    folded = strip_diacritics(token)
+    folded = fold_letters(token)
     return ~folded.rlike("(?i)[aeiouy]") | folded.rlike("(?i)[bcdfghjklmnpqrstvwxyz]{4,}")
 
 
@@ -88,58 +94,104 @@ def shadow_of(words: DataFrame) -> DataFrame:
     return words.select(strip_diacritics(F.col("word")).alias("word")).distinct()
 
 
-def known_words(candidates: DataFrame, full: DataFrame, shadow: DataFrame | None = None) -> DataFrame:
-    """Of the distinct words (column word): known, by the full dictionary or, folded, by the shadow one."""
-    shadow = shadow if shadow is not None else shadow_of(full)
-    own = candidates.select("word").distinct().withColumn("_s", strip_diacritics(F.col("word")))
-    own = own.join(full.select("word", F.lit(True).alias("_full")).distinct(), "word", "left")
-    own = own.join(shadow.select(F.col("word").alias("_s"), F.lit(True).alias("_shadow")).distinct(), "_s", "left")
-    return own.select("word", (F.col("_full").isNotNull() | F.col("_shadow").isNotNull()).alias("known"))
+@dataclass(frozen=True)
+class Dictionary:
+    """Distinct words as they are and without diacritics; small: both may be sent to all tasks."""
+
+    full: DataFrame
+    shadow: DataFrame
+    small: bool
+
+    @staticmethod
+    def of(full: DataFrame, shadow: DataFrame | None = None, most: int = SMALL) -> Dictionary:
+        """Writes both tables once, as they are read several times, and checks their size."""
+        full = written(full.select("word").filter("word IS NOT NULL").distinct(), "words")
+        shadow = written((shadow if shadow is not None else shadow_of(full)).select("word").distinct(), "shadow")
+        size = full.union(shadow).agg(F.sum(F.octet_length("word") + 32)).first()[0] or 0
+        return Dictionary(full, shadow, size <= most)
+
+    @staticmethod
+    def empty(spark: SparkSession) -> Dictionary:
+        """The explicit mode without a dictionary: no word is known, and no decoded word is valid."""
+        none = spark.createDataFrame([], "word string")
+        return Dictionary(none, none, True)
+
+    def sent(self, df: DataFrame) -> DataFrame:
+        return F.broadcast(df) if self.small else df
+
+
+def _looked_up(words: DataFrame, dic: Dictionary) -> DataFrame:
+    own = words.withColumn("_s", fold_letters(F.col("word")))
+    own = own.join(dic.sent(dic.full.select("word", F.lit(True).alias("_full"))), "word", "left")
+    own = own.join(dic.sent(dic.shadow.select(F.col("word").alias("_s"), F.lit(True).alias("_shadow"))), "_s", "left")
+    return own.withColumn("known", F.col("_full").isNotNull() | F.col("_shadow").isNotNull()).drop("_s", "_full", "_shadow")
 
 
-def run_on(candidates: DataFrame, shadow: DataFrame) -> DataFrame:
+def with_known(words: DataFrame, dic: Dictionary) -> DataFrame:
+    """words (column word, and others) with known: by the full dictionary or, folded, by the shadow one."""
+    if dic.small:
+        return _looked_up(words, dic)
+    return words.join(known_words(words, dic), "word", "left").withColumn("known", F.coalesce("known", F.lit(False)))
+
+
+def known_words(candidates: DataFrame, dic: Dictionary) -> DataFrame:
+    """Of the distinct words (column word): known."""
+    return _looked_up(candidates.select("word").distinct(), dic)
+
+
+def run_on(candidates: DataFrame, dic: Dictionary) -> DataFrame:
     """Of the distinct words: those made of two shadow words, each of two letters at least."""
-    own = candidates.select("word").distinct().filter(F.col("word").rlike(r"(?U)^\p{L}{4,}$")).withColumn("_s", strip_diacritics(F.col("word")))
-    cuts = own.withColumn("i", F.explode(F.sequence(F.lit(2), F.length("_s") - 2))).filter(F.length("_s") >= 4)
+    own = candidates.select("word").filter(F.col("word").rlike(r"(?U)^\p{L}{4,}$")).distinct().withColumn("_s", fold_letters(F.col("word")))
+    cuts = own.filter(F.length("_s") >= 4).withColumn("i", F.explode(F.sequence(F.lit(2), F.length("_s") - 2)))
     parts = cuts.select("word", F.expr("substring(_s, 1, i)").alias("a"), F.expr("substring(_s, i + 1)").alias("b"))
-    left, right = shadow.select(F.col("word").alias("a")).distinct(), shadow.select(F.col("word").alias("b")).distinct()
-    return parts.join(left, "a", "left_semi").join(right, "b", "left_semi").select("word").distinct()
-
-
-def _new_words() -> Column:
-    """Decoded words that weren't there before. original_words is used twice so that it stays a column of its own: folded into the filter, it would be extracted anew for each word."""
-    fresh = F.filter("decoded_words", lambda w: ~F.array_contains("original_words", F.lower(w)))
-    return F.when(F.size("original_words") >= 0, fresh)
-
-
-def misspell(df: DataFrame, key: str, full: DataFrame, shadow: DataFrame | None = None) -> DataFrame:
-    """df (with to_check, original_words, decoded_words) with the out-of-vocabulary features and validated_leet_count."""
-    shadow = shadow if shadow is not None else shadow_of(full)
-    words = df.select(key, F.posexplode("to_check").alias("pos", "word")).filter(eligible(F.col("word")))
-    verdict = known_words(words, full, shadow)
-    oov = verdict.filter(~F.col("known")).select("word")
-    joined = oov.join(run_on(oov, shadow).withColumn("run_on", F.lit(True)), "word", "left")
-    flags = joined.select("word", gibberish(F.col("word")).alias("gib"), repeated_char(F.col("word")).alias("rep"), F.coalesce("run_on", F.lit(False)).alias("run_on"))
-    flags = flags.withColumn("telex", ~F.col("rep") & broken_telex(F.col("word")))
-    per = words.join(flags, "word", "left").withColumn("oov", F.col("gib").isNotNull())
-    rows = per.groupBy(key).agg(F.count("*").alias("eligible"), F.array_sort(F.collect_list(F.when(F.col("oov"), F.struct("pos", "word", "gib", "rep", "telex", "run_on")))).alias("o"))
-    n = lambda f: F.size(F.filter("o", f))
-    first_gib = F.array_min(F.transform(F.filter("o", lambda x: x["gib"]), lambda x: x["pos"]))
-    rows = rows.withColumn("_first", first_gib).select(
-        key, F.size("o").alias("oov_count"), F.round(F.size("o") / F.col("eligible"), 6).alias("oov_density"), n(lambda x: x["telex"]).alias("broken_telex_count"),
-        F.coalesce(F.array_max(F.transform("o", lambda x: F.length(x["word"]))), F.lit(0)).alias("longest_oov_length"), n(lambda x: x["gib"]).alias("gibberish_count"),
-        n(lambda x: x["rep"]).alias("repeated_char_count"), n(lambda x: x["run_on"] & (F.col("_first").isNull() | (x["pos"] < F.col("_first")))).alias("run_on_word_count"),
+    left, right = dic.shadow.select(F.col("word").alias("a")), dic.shadow.select(F.col("word").alias("b"))
+    return parts.join(dic.sent(left), "a", "left_semi").join(dic.sent(right), "b", "left_semi").select("word").distinct()
+
+
+_ZEROS = ["oov_count", "oov_density", "broken_telex_count", "longest_oov_length", "gibberish_count", "repeated_char_count", "run_on_word_count", "validated_leet_count"]
+
+
+def misspell(df: DataFrame, dic: Dictionary) -> DataFrame:
+    """df (with to_check, original_words, decoded_words) with the out-of-vocabulary features and validated_leet_count.
+
+    Each row is judged alone, whatever its columns hold: rows get numbers as the table is written."""
+    rows = written(df.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    words = with_known(rows.select("_row", F.posexplode("to_check").alias("pos", "word")).filter(eligible(F.col("word"))), dic)
+    words = words.withColumn("oov", ~F.col("known"))
+    run = written(run_on(words.filter("oov").select("word"), dic).withColumn("run", F.lit(True)), "run-on")
+    few = (run.agg(F.sum(F.octet_length("word") + 32)).first()[0] or 0) <= SMALL
+    words = words.join(F.broadcast(run) if few else run, "word", "left")
+    flag = lambda c: F.col("oov") & c
+    w = F.col("word")
+    words = words.withColumns({"gib": flag(gibberish(w)), "rep": flag(repeated_char(w)), "run": flag(F.col("run").isNotNull())})
+    words = words.withColumn("telex", flag(~F.col("rep") & broken_telex(w)))
+    n = lambda c: F.coalesce(F.sum(F.col(c).cast("int")), F.lit(0)).cast("int")
+    per = words.groupBy("_row").agg(
+        n("oov").alias("oov_count"), F.round(n("oov") / F.count("*"), 6).alias("oov_density"), n("telex").alias("broken_telex_count"),
+        F.coalesce(F.max(F.when(F.col("oov"), F.length("word"))), F.lit(0)).alias("longest_oov_length"), n("gib").alias("gibberish_count"), n("rep").alias("repeated_char_count"),
+        F.min(F.when(F.col("gib"), F.col("pos"))).alias("_first"), F.collect_list(F.when(F.col("run"), F.col("pos"))).alias("_runs"),
     )
-    decoded = df.select(key, F.explode(_new_words()).alias("w")).select(key, F.lower("w").alias("word"))
-    valid = decoded.join(known_words(decoded, full, shadow).filter("known"), "word").groupBy(key).agg(F.count("*").cast("int").alias("validated_leet_count"))
-    out = df.join(rows, key, "left").join(valid, key, "left")
-    zero = ["oov_count", "oov_density", "broken_telex_count", "longest_oov_length", "gibberish_count", "repeated_char_count", "run_on_word_count", "validated_leet_count"]
-    return out.fillna(0, zero)
+    per = per.withColumn("run_on_word_count", F.size(F.filter("_runs", lambda p: F.col("_first").isNull() | (p < F.col("_first"))))).drop("_first", "_runs")
+    # words that decoding made: a bag, but only texts with such words are looked at word by word
+    fresh = F.array_except(F.transform("decoded_words", lambda x: F.lower(x)), F.col("original_words"))
+    new = rows.select("_row", "decoded_words", fresh.alias("fresh")).filter(F.size("fresh") > 0)
+    new = new.select("_row", F.explode("decoded_words").alias("w"), "fresh").filter(F.array_contains("fresh", F.lower("w")))
+    valid = with_known(new.select("_row", F.lower("w").alias("word")), dic).filter("known").groupBy("_row").agg(F.count("*").cast("int").alias("validated_leet_count"))
+    out = rows.join(per, "_row", "left").join(valid, "_row", "left")
+    return out.fillna(0, _ZEROS).drop("_row")
+
+
+def featured(df: DataFrame, dic: Dictionary, text: str = "text", entities: bool = False) -> DataFrame:
+    """All columns of df, what the layers make of its text (masked, counts, normalized, tokens, ...) and the 27 features."""
+    # each layer is written once: as one projection their code is too large to be compiled, and the dictionary steps read tokens several times
+    masked = written(mask(df, text, entities=entities), "masked")
+    return misspell(split_whitelist(normalize(masked)), dic)
 
 
-def extract_features(df: DataFrame, full: DataFrame, key: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """key, the kept columns and the 27 features, in their order."""
-    # each layer is written once: as one projection their code is too large to be compiled, and the dictionary steps read tokens several times
-    masked = written(mask(df.select(key, *keep, text), text, entities=False).drop(text), "masked")
-    ready = written(split_whitelist(normalize(masked)).drop("masked", "normalized", "whitelisted_tokens", "tokens"), "tokens")
-    return misspell(ready, key, full).select(key, *keep, *K.FEATURES)
+def extract_features(df: DataFrame, full: DataFrame | Dictionary, key: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """key, the kept columns and the 27 features, in their order; a row for each row of df, equal and null keys too."""
+    dic = full if isinstance(full, Dictionary) else Dictionary.of(full)
+    columns = dict.fromkeys([key, *keep])
+    masked = written(mask(df.select(*dict.fromkeys([*columns, text])), text, entities=False).select(*columns, "masked", *K.ENTITY_COLUMNS), "masked")
+    ready = split_whitelist(normalize(masked)).drop("masked", "normalized", "whitelisted_tokens", "tokens")
+    return misspell(ready, dic).select(*columns, *K.FEATURES)

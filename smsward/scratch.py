@@ -15,8 +15,12 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+def scratch_path(spark: SparkSession, what: str) -> str:
+    return f"{shared_dir(spark)}/smsward-{what}-{uuid.uuid4().hex}"
+
+
 def written(df: DataFrame, what: str) -> DataFrame:
     """Writes df to the shared folder and reads it again: cuts the lineage, survives lost executors."""
-    path = f"{shared_dir(df.sparkSession)}/smsward-{what}-{uuid.uuid4().hex}"
+    path = scratch_path(df.sparkSession, what)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
