@@ -44,10 +44,16 @@ def has_placeholder(text: Column) -> Column:
     return F.coalesce(text.rlike(any_of(K.PLACEHOLDERS)), F.lit(False))
 
 
+SMALL = 64 << 20
+
+
 def map_values(df: DataFrame, column: str, mapping: DataFrame) -> DataFrame:
-    """Exact values replaced by mapping (old, new); others pass through."""
-    pairs = mapping.select(F.col("old").alias(column), F.col("new").alias("_new"))
-    return df.join(pairs, column, "left").withColumn(column, F.coalesce("_new", column)).select(*df.columns)
+    """Exact values replaced by mapping (old, new; old is distinct); others pass through. A mapping of up to SMALL bytes goes to the rows; a larger
+    one meets them by shuffle, where Spark's skew handling splits frequent values."""
+    size = mapping.agg(F.sum(F.octet_length("old") + F.coalesce(F.octet_length("new"), F.lit(0)) + 32)).first()[0] or 0
+    pairs = mapping.select(F.col("old").alias("_old"), F.col("new").alias("_new"))
+    met = df.join(F.broadcast(pairs) if size <= SMALL else pairs, F.col("_old") == F.col(column), "left")
+    return met.withColumn(column, F.coalesce("_new", column)).select(*df.columns)
 
 
 def changed(a: Column, b: Column) -> Column:
