@@ -19,6 +19,16 @@ def mean_ratio(df: DataFrame, label: str, columns: list[str]) -> DataFrame:
     return wide.select(F.explode(F.array(*(F.struct(F.lit(c).alias("feature"), F.col(c).alias("ratio")) for c in columns))).alias("r")).select("r.*")
 
 
+def ratio_of_sums(df: DataFrame, label: str, pairs: list[tuple[str, str]]) -> DataFrame:
+    """Of each label, the sum of each pair's first column over the sum of its second; null where that is 0."""
+    return df.groupBy(label).agg(F.count("*").alias("n"), *(F.round(F.sum(a) / F.nullif(F.sum(b), F.lit(0)), 6).alias(f"{a}_per_{b}") for a, b in pairs))
+
+
+def any_count(columns: list[str]) -> Column:
+    """Whether any of the counts is over 0."""
+    return sum((F.col(c) for c in columns[1:]), F.col(columns[0])) > 0
+
+
 def correlations(df: DataFrame, columns: list[str]) -> DataFrame:
     """Pearson correlation of each pair of columns, in one aggregate."""
     pairs = [(a, b) for a in columns for b in columns]
@@ -40,6 +50,46 @@ def distinctive(df: DataFrame, label: str, words: Column, least: int = 10) -> Da
     return found.select("word", "spam_count", "ham_count", F.when(F.col("ham_count") > 0, F.round(rate, 6)).otherwise(F.lit(float("inf"))).alias("ratio"))
 
 
+def most_distinctive(df: DataFrame, label: str, words: Column, most: int = 50, least: int = 10) -> DataFrame:
+    """The first `most` words by ratio, infinite ones first, then by count and word."""
+    return distinctive(df, label, words, least).orderBy(F.desc("ratio"), F.desc("spam_count"), "word").limit(most)
+
+
+def frequent_keywords(counts: DataFrame, wanted: dict[str, tuple[str, ...]] = K.THEMES, least: int = 6) -> DataFrame:
+    """theme, word, n of the themes' words that occur `least` times or more; counts: word, n."""
+    pairs = counts.sparkSession.createDataFrame([(theme, w) for theme, ws in wanted.items() for w in ws], "theme string, word string")
+    return pairs.distinct().join(counts.groupBy("word").agg(F.sum("n").alias("n")), "word").filter(F.col("n") >= least).select("theme", "word", "n")
+
+
+def with_letters(words: Column) -> Column:
+    """The words that hold a letter."""
+    return F.filter(words, lambda w: w.rlike(r"\p{L}"))
+
+
+def compounds(words: Column, known: list[str]) -> Column:
+    """Words in which two neighbours that make a known compound ("a b") become one, from left to right."""
+    if not known:
+        return words
+    together = lambda i: F.concat(F.get(words, i), F.lit(" "), F.get(words, i + 1))
+    fits = lambda i: F.coalesce(together(i).isin(known), F.lit(False))
+    # one pass over places: the state is the words so far and whether the present one was taken by the one before
+    start = F.struct(F.array().cast("array<string>").alias("out"), F.lit(False).alias("taken"))
+
+    def step(state: Column, i: Column) -> Column:
+        whole = F.when(fits(i), together(i)).otherwise(F.get(words, i))
+        return F.when(state["taken"], F.struct(state["out"].alias("out"), F.lit(False).alias("taken"))).otherwise(F.struct(F.concat(state["out"], F.array(whole)).alias("out"), fits(i).alias("taken")))
+
+    places = F.when(F.size(words) > 0, F.sequence(F.lit(0), F.size(words) - 1)).otherwise(F.array().cast("array<int>"))
+    return F.aggregate(places, start, step)["out"]
+
+
+def summary(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Of each column: its type, how many values it has and lacks, and least and greatest as text."""
+    kinds = dict(df.dtypes)
+    cells = [F.struct(F.lit(c).alias("column"), F.lit(kinds[c]).alias("type"), F.count(c).alias("present"), (F.count("*") - F.count(c)).alias("missing"), F.min(c).cast("string").alias("least"), F.max(c).cast("string").alias("greatest")) for c in columns]
+    return df.agg(F.array(*cells).alias("a")).select(F.explode("a").alias("r")).select("r.*")
+
+
 def themes(counts: DataFrame, wanted: dict[str, tuple[str, ...]] = K.THEMES) -> DataFrame:
     """Total occurrences of each theme's words; counts: word, n."""
     rows = [(theme, w) for theme, ws in wanted.items() for w in ws]

@@ -19,6 +19,28 @@ def read_csv(spark: SparkSession, path: str | list[str], schema: T.StructType =
     return spark.read.schema(schema).csv(path, header=True, multiLine=True, quote='"', escape='"')
 
 
+def load(spark: SparkSession, path: str | list[str], tail: int = 4, standard_first: bool = True) -> tuple[DataFrame, DataFrame]:
+    """Messages and rejects of files: read as well-formed CSV where all of it is, else line by line. A missing path is Spark's own error."""
+    if standard_first:
+        header = spark.read.schema("value string").text(path).filter(F.regexp_replace("value", "^\ufeff", "").startswith(f"{MESSAGE.names[0]},"))
+        checked = spark.read.schema(T.StructType([*MESSAGE.fields, T.StructField("_bad", T.StringType())])).csv(path, header=True, multiLine=True, quote='"', escape='"', columnNameOfCorruptRecord="_bad")
+        if header.limit(1).count() and not checked.cache().filter("_bad IS NOT NULL").limit(1).count():
+            checked.unpersist()
+            return read_csv(spark, path), spark.createDataFrame([], "value string")
+        checked.unpersist()
+    return read_malformed(spark, path, tail)
+
+
+def load_many(spark: SparkSession, paths: list[str], **how) -> DataFrame:
+    """Messages of several files, each read as load() does, with _source_file."""
+    return union_all([load(spark, p, **how)[0].withColumn("_source_file", F.lit(p.rstrip("/").rsplit("/", 1)[-1])) for p in paths])
+
+
+def strict_label(label: Column) -> Column:
+    """The label as an integer; a null or another text is an error, as Spark's own cast is."""
+    return F.when(label.isNull(), F.raise_error(F.lit("a label is missing"))).otherwise(label.cast("int"))
+
+
 def parse_malformed(lines: DataFrame, tail: int = 4, names: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
     """Rows and rejects of text lines (column value): the last `tail` commas split, so a message may hold commas and quotes."""
     names = names or MESSAGE.names
@@ -69,6 +91,13 @@ def read_whitelist(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).filter((line != "") & ~line.startswith("#")).select(line.alias("token")).distinct()
 
 
+def public_suffixes(lines: DataFrame) -> tuple[str, ...]:
+    """Suffixes of a public-suffix list (column value): one a line, comments and blank lines apart. Wildcards and exceptions
+    are left out. The list reaches the driver: it has some thousand lines."""
+    line = F.lower(F.trim("value"))
+    return tuple(sorted(r[0] for r in lines.filter((line != "") & ~line.startswith("//") & ~line.startswith("!") & ~line.startswith("*")).select(line).distinct().collect()))
+
+
 def union_all(frames: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
 
