@@ -8,13 +8,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from smsward import constants as K
 from smsward.functions import text as T
 from smsward.operators import corpus, domain, eda, mask, ml, normalize, policy
-from smsward.sources import readers
+from smsward.plans import predict
+from smsward.scratch import scratch_path, written
+from smsward.sources import readers, sinks
+from smsward.streaming import stream
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -67,6 +70,15 @@ _P = "round(((doc_id * 37) % 100) / 100.0, 2)"
 _LABELLED = "SELECT d.*, l.toxic AS label FROM documents d JOIN labels l USING (doc_id)"
 
 
+def _plant(cases: list[str], text: str = "text"):
+    """The text with one of the cases after it, by doc_id: matches that the invented prose lacks."""
+    return F.concat(F.col(text), F.lit(" | "), F.element_at(F.array(*[F.lit(c) for c in cases]), (F.pmod("doc_id", F.lit(len(cases))) + 1).cast("int")))
+
+
+def _planted(cases: list[str]) -> str:
+    return f"(SELECT doc_id, source, lang, text || ' | ' || ({_sql_words(cases)})[(doc_id % {len(cases)}) + 1] AS text FROM documents)"
+
+
 # ---- masking -------------------------------------------------------------------------------------------------
 
 _BOUND = "(?:^|[^\\p{L}\\p{N}_])"
@@ -78,30 +90,47 @@ def mask_email(spark, d):
     return _docs(spark, d).select("doc_id", F.regexp_count("text", F.lit(p)).cast("bigint").alias("n"), F.regexp_replace("text", p, "<EMAIL>").alias("masked"))
 
 
-def _chat(pattern):
-    """Counts over conversations and page addresses."""
-    return lambda spark, d: spark.read.parquet(f"{d}/pages.parquet").select("page_id", F.regexp_count("url", F.lit("(?iU)" + pattern)).cast("bigint").alias("n"), F.regexp_replace("url", "(?iU)" + pattern, "<APP_LINK>").alias("masked"))
+_APPS = ["xem zalo.me/abc nhe", "https://www.zalo.vn/a-b.c", "vao t.me/nhom_1 ngay", "https://telegram.me/x va t.me/y", "khong co gi"]
+_SHORT = ["bam b i t . l y / ab1", "t.ly/xyz", "tinyurl , l y", "BIT.LY/Q ngay", "bit ly"]
+_RISKY = ["vao abc-1.xyz/nhan", "http:// trung-qua.top", "shop.vip va qua.shop", "nap ngay", "x.y.online"]
+_LINKS = ["xem https://a.example.com/x?y=1 nhe", "www.example.net", "vao example . com . vn", "goi em", "shop.example.app/a"]
 
+for _name, _pattern, _cases, _tag in (
+    ("mask_zalo", "(?iU)" + K.ZALO, _APPS, "<APP_LINK>"), ("mask_telegram", "(?iU)" + K.TELEGRAM, _APPS, "<APP_LINK>"), ("mask_url_shortener", mask.SHORTENER, _SHORT, "<URL>"),
+    ("mask_url_protocol", mask.PROTOCOL, _LINKS, "<URL>"), ("mask_url_safe_tld", mask.SCHEMELESS_SAFE, _LINKS, "<URL>"), ("mask_url_risky_tld", mask.SCHEMELESS_RISKY, _RISKY, "<URL>"),
+):
+    def _one(spark, d, p=_pattern, cases=_cases, tag=_tag):
+        return _docs(spark, d).withColumn("text", _plant(cases)).select("doc_id", F.regexp_count("text", F.lit(p)).cast("bigint").alias("n"), F.regexp_replace("text", p, tag).alias("masked"))
 
-for _name, _pattern in (("mask_zalo", K.ZALO), ("mask_telegram", K.TELEGRAM)):
-    QUERIES[_name] = _chat(_pattern)
-    ORACLE[_name] = f"SELECT page_id, len(regexp_extract_all(url, '(?i){_pattern}'))::BIGINT AS n, regexp_replace(url, '(?i){_pattern}', '<APP_LINK>', 'g') AS masked FROM pages"
-
-for _name, _pattern in (("mask_url_shortener", mask.SHORTENER), ("mask_url_protocol", mask.PROTOCOL), ("mask_url_safe_tld", mask.SCHEMELESS_SAFE), ("mask_url_risky_tld", mask.SCHEMELESS_RISKY)):
-    QUERIES[_name] = lambda spark, d, p=_pattern: spark.read.parquet(f"{d}/pages.parquet").select("page_id", F.regexp_count("url", F.lit(p)).cast("bigint").alias("n"), F.regexp_replace("url", p, "<URL>").alias("masked"))
+    QUERIES[_name] = _one
     _ascii = _pattern.replace("(?iU)", "(?i)").replace("'", "''")
-    ORACLE[_name] = f"SELECT page_id, len(regexp_extract_all(url, '{_ascii}'))::BIGINT AS n, regexp_replace(url, '{_ascii}', '<URL>', 'g') AS masked FROM pages"
+    ORACLE[_name] = f"SELECT doc_id, len(regexp_extract_all(text, '{_ascii}'))::BIGINT AS n, regexp_replace(text, '{_ascii}', '{_tag}', 'g') AS masked FROM {_planted(_cases)}"
 
 
-@query()
+_SPACED = ["vao s h o p e e . v n nhe", "a b c dot x y z / q 1", "g o o g l e . c o m", "truy cap", "k m (.) v n ngay"]
+
+
+#: A boundary of words of any letters, which SQL's own is not.
+_EDGE = "(?i)(?:^|[^\\p{L}\\p{N}_])"
+
+
+@query(f"""WITH m AS (SELECT doc_id, regexp_extract_all(text, '{_EDGE}({mask.OBFUSCATED.removeprefix("(?iU)" + chr(92) + "b")})', 1) AS ms FROM {_planted(_SPACED)})
+    SELECT doc_id, len(list_filter(ms, lambda m: (length(m) - length(replace(m, ' ', '')))::DOUBLE / length(m) >= 0.05 AND length(m) >= 8 AND NOT ({" OR ".join(f"contains(lower(m), '{w}')" for w in K.OBFUSCATION_EXEMPT)})
+    AND (contains(string_split(m, '.')[1], ' ') OR contains(m, '(.)') OR contains(m, ' . ') OR contains(m, '( . )'))))::BIGINT AS n FROM m""")
 def mask_url_obfuscated(spark, d):
-    t = F.col("text")
-    return _docs(spark, d).select("doc_id", F.size(F.filter(F.regexp_extract_all(t, F.lit(mask.OBFUSCATED), F.lit(0)), mask.obfuscated)).alias("n"))
+    found = F.regexp_extract_all("text", F.lit(mask.OBFUSCATED), F.lit(0))
+    return _docs(spark, d).withColumn("text", _plant(_SPACED)).select("doc_id", F.size(F.filter(found, mask.obfuscated)).cast("bigint").alias("n"))
+
+
+_ENTITIES = [
+    "Goi 1900 12 34 56 hoac 18001234.", "So may 0901.234.567, +84 912 345 678", "LH 024 3825 1234; 0287 300 1234", "STK: 12345678901 ACB", "tai khoan|0123456789012", "gui 9029 soan 191 ngay",
+    "Hen 10h30 ngay 15/05/2024, 3 ngày", "thuong 500k, 1.900.000đ va 20 trieu", "Soan ST5K DK3G MAX9 QX1", "Ma OTP la 123456 nam 1990", "khong co gi",
+]
 
 
 def _rule_counts(label):
     def run(spark, d):
-        df = mask.mask(_docs(spark, d), registry=[r for r in mask.REGISTRY if r.label == label], entities=False)
+        df = mask.mask(_docs(spark, d).withColumn("text", _plant(_ENTITIES)), registry=[r for r in mask.REGISTRY if r.label == label], entities=False)
         return df.select("doc_id", F.col(f"{label}_count").cast("bigint").alias("n"))
 
     return run
@@ -109,10 +138,25 @@ def _rule_counts(label):
 
 for _label in ("bank_acc", "hotline", "landline", "mobile", "shortcode", "datetime", "money", "code"):
     QUERIES[f"mask_{_label}"] = _rule_counts(_label)
-ORACLE["mask_shortcode"] = f"""
-    WITH a AS (SELECT doc_id, regexp_replace(text, '\\b(?:{'|'.join(K.SHORTCODES)})\\b', '<PHONE>', 'g') AS t, len(regexp_extract_all(text, '\\b(?:{'|'.join(K.SHORTCODES)})\\b')) AS n FROM documents)
-    SELECT doc_id, (n + len(regexp_extract_all(t, '(?i)\\b(?:{'|'.join(K.SHORTCODE_WORDS)})\\s+\\d{{3,6}}\\b')))::BIGINT AS n FROM a"""
-ORACLE["mask_datetime"] = f"SELECT doc_id, len(regexp_extract_all(text, '(?i){K.DATETIME}'))::BIGINT AS n FROM documents"
+
+
+def _bounded(pattern: str) -> str:
+    """A pattern between digit look-arounds, with the characters on both sides taken in, as SQL's dialect has no look-around."""
+    return "(?:^|[^0-9])" + pattern.removeprefix(r"(?<!\d)").removesuffix(r"(?!\d)") + "(?:[^0-9]|$)"
+
+
+for _label, _pattern in (("hotline", K.HOTLINE), ("landline", K.LANDLINE), ("mobile", K.MOBILE)):
+    ORACLE[f"mask_{_label}"] = f"SELECT doc_id, len(regexp_extract_all(text, '{_bounded(_pattern)}'))::BIGINT AS n FROM {_planted(_ENTITIES)}"
+ORACLE["mask_bank_acc"] = f"SELECT doc_id, len(regexp_extract_all(text, '{mask.BANK.replace('(?iU)', '(?i)').removesuffix('(?!' + chr(92) + 'd)')}(?:[^0-9]|$)'))::BIGINT AS n FROM {_planted(_ENTITIES)}"
+ORACLE["mask_money"] = rf"""SELECT doc_id, len(regexp_extract_all(text, '(?i)\b(?:\d+(?:[.,]\d+)*\s*(?:{'|'.join(K.MONEY_UNITS)})(?:[^\p{{L}}\p{{N}}_]|$)|[1-9]\d{{0,2}}(?:[.,]\d{{3}})+(?:[^0-9]|$))'))::BIGINT AS n FROM {_planted(_ENTITIES)}"""
+ORACLE["mask_code"] = rf"""
+    WITH c AS (SELECT doc_id, text, list_filter(regexp_extract_all(text, '\b[A-Z]+[0-9]+[A-Z0-9]*\b'), lambda c: length(c) <= 8 AND list_contains({_sql_words(K.CODE_PREFIXES)}, regexp_extract(c, '^[A-Z]+')) AND NOT regexp_full_match(c, '[A-Z]+[01][A-Z]+')) AS codes FROM {_planted(_ENTITIES)}),
+    t AS (SELECT doc_id, len(codes) AS n, list_reduce(list_prepend(text, codes), lambda a, c: replace(a, c, '<CODE>')) AS text FROM c), u AS (SELECT doc_id, n, replace(text, ' ', '  ') AS text FROM t)
+    SELECT doc_id, (n + len(list_filter(regexp_extract_all(text, '(?:^|[^\p{{L}}\p{{N}}_<])(\d{{4,6}})(?:[^\p{{L}}\p{{N}}_>]|$)', 1), lambda o: NOT regexp_full_match(o, '(19|20)\d\d'))))::BIGINT AS n FROM u"""
+ORACLE["mask_shortcode"] = rf"""
+    WITH a AS (SELECT doc_id, regexp_replace(text, '\b(?:{'|'.join(K.SHORTCODES)})\b', '<PHONE>', 'g') AS t, len(regexp_extract_all(text, '\b(?:{'|'.join(K.SHORTCODES)})\b')) AS n FROM {_planted(_ENTITIES)})
+    SELECT doc_id, (n + len(regexp_extract_all(t, '(?i)\b(?:{'|'.join(K.SHORTCODE_WORDS)})\s+\d{{3,6}}\b')))::BIGINT AS n FROM a"""
+ORACLE["mask_datetime"] = f"SELECT doc_id, len(regexp_extract_all(text, '(?i){K.DATETIME}'))::BIGINT AS n FROM {_planted(_ENTITIES)}"
 
 
 @query()
@@ -126,6 +170,15 @@ def mask_coarse_counts(spark, d):
     return m.select("doc_id", (F.col("url_count") + F.col("zalo_count") + F.col("telegram_count")).alias("url_count"), (F.col("hotline_count") + F.col("landline_count") + F.col("mobile_count") + F.col("shortcode_count")).alias("phone_count"))
 
 
+@query("SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN ['https://a.example.com/x'] WHEN 1 THEN ['shop.example.com.vn', 'kho.top'] ELSE [] END::VARCHAR[] AS urls FROM documents")
+def mask_url_list(spark, d):
+    """The addresses that masking takes out, without spaces, in the order of the rules."""
+    n = F.pmod("doc_id", F.lit(3))
+    text = F.when(n == 0, "xem https://a.example.com/x").when(n == 1, "vao shop . example . com . vn / kho.top !").otherwise("khong co")
+    made = mask.mask(_docs(spark, d).withColumn("text", text))
+    return made.select("doc_id", F.coalesce(F.try_element_at("entities", F.lit("url")), F.array().cast("array<string>")).alias("urls"))
+
+
 @query(r"SELECT doc_id, trim(regexp_replace(text, '[ \t\n\r\f\v]+', ' ', 'g')) AS tidy FROM documents")
 def whitespace_collapse(spark, d):
     return _docs(spark, d).select("doc_id", F.trim(F.regexp_replace("text", r"[ \t\n\r\f\x0B]+", " ")).alias("tidy"))
@@ -134,19 +187,29 @@ def whitespace_collapse(spark, d):
 # ---- text functions ------------------------------------------------------------------------------------------
 
 
-@query("SELECT doc_id, nfc_normalize(text) AS nfc FROM documents")
+_MARKED = ["e\u0301te\u0302", "\u212b \u2126", "Vi\u1ec7t nam", "\u0439\u043e\u0433", "plain"]
+
+
+@query(f"SELECT doc_id, nfc_normalize(text) AS nfc FROM {_planted(_MARKED)}")
 def nfc_normalize(spark, d):
-    return _docs(spark, d).select("doc_id", T.nfc(F.col("text")).alias("nfc"))
+    return _docs(spark, d).withColumn("text", _plant(_MARKED)).select("doc_id", T.nfc(F.col("text")).alias("nfc"))
+
 
+_UNMARKED = ["ete", "A \u03a9", "Viet nam", "\u0438\u043e\u0433", "plain"]
 
-@query("SELECT doc_id, strip_accents(text) AS folded FROM documents")
+
+@query(f"SELECT doc_id, strip_accents(text) || ' | ' || ({_sql_words(_UNMARKED)})[(doc_id % 5) + 1] AS folded FROM documents")
 def strip_diacritics(spark, d):
-    return _docs(spark, d).select("doc_id", T.strip_diacritics(F.col("text")).alias("folded"))
+    return _docs(spark, d).select("doc_id", T.strip_diacritics(_plant(_MARKED)).alias("folded"))
+
 
+#: Fullwidth, mathematical, ligatures, circled: what compatibility decomposition makes of them.
+_WIDE, _NARROW = ["\uff36\uff21\uff39 nhanh", "\U0001d42f\U0001d41a\U0001d432", "\ufb01n \u2460", "v\u1ead\u0079", "\u0419"], ["vay nhanh", "vay", "fin 1", "vay", "\u0438"]
 
-@query("SELECT doc_id, lower(strip_accents(text)) AS folded, trim(regexp_replace(regexp_replace(lower(strip_accents(text)), '[^a-z0-9\\s]', ' ', 'g'), '\\s+', ' ', 'g')) AS folded_v1 FROM documents")
+
+@query(f"SELECT doc_id, f AS folded, trim(regexp_replace(regexp_replace(f, '[^a-z0-9\\s]', ' ', 'g'), '\\s+', ' ', 'g')) AS folded_v1 FROM (SELECT doc_id, lower(strip_accents(text)) || ' | ' || ({_sql_words(_NARROW)})[(doc_id % 5) + 1] AS f FROM documents)")
 def keyword_fold(spark, d):
-    t = F.col("text")
+    t = _plant(_WIDE)
     return _docs(spark, d).select("doc_id", T.keyword_fold(t).alias("folded"), T.keyword_fold_v1(t).alias("folded_v1"))
 
 
@@ -167,15 +230,41 @@ def separator_clean(spark, d):
     return _docs(spark, d).select("doc_id", F.regexp_count(t, F.lit(s)).cast("bigint").alias("n"), F.trim(F.regexp_replace(F.regexp_replace(t, s, " "), r"[ \t\n\r\f\x0B]+", " ")).alias("clean"))
 
 
-@query(f"SELECT doc_id, len(regexp_extract_all(text, '(?i)\\bko\\b'))::BIGINT AS ko, len(regexp_extract_all(text, '(?i)\\b0k\\b'))::BIGINT AS zero_k FROM documents")
-def leet_words(spark, d):
-    return _docs(spark, d).select("doc_id", F.regexp_count("text", F.lit(r"(?iU)\bko\b")).cast("bigint").alias("ko"), F.regexp_count("text", F.lit(r"(?iU)\b0k\b")).cast("bigint").alias("zero_k"))
+_LEET = ["ko co 0k nhe", "kh0ng co d!eu k!en", "KO ck 0KIE ba0 h0 tro", "s4l3 b1g 5a8le $ms + mjnh", "a0b0c!d!e 3x3"]
 
 
-@query()
+@query(f"SELECT doc_id, len(regexp_extract_all(text, '(?i)\\bko\\b'))::BIGINT AS ko, len(regexp_extract_all(text, '(?i)\\b0k\\b'))::BIGINT AS zero_k FROM {_planted(_LEET)}")
+def leet_words(spark, d):
+    return _docs(spark, d).withColumn("text", _plant(_LEET)).select("doc_id", F.regexp_count("text", F.lit(r"(?iU)\bko\b")).cast("bigint").alias("ko"), F.regexp_count("text", F.lit(r"(?iU)\b0k\b")).cast("bigint").alias("zero_k"))
+
+
+def _leet_sql() -> str:
+    """The rules one after the other, each a step that counts and replaces. Letters on both sides stand for look-around: such a rule is
+    applied twice, for neighbours that share a letter, and counts the characters that went."""
+    steps = [f"s0 AS (SELECT doc_id, length(text) - length(translate(text, '{K.LEET_COUNTED}', '')) AS leet, length(text) - length(translate(text, '@$', '')) AS chars, translate(text, '@$+j', 'asti') AS t FROM {_planted(_LEET)})"]
+    names: dict[str, list[str]] = {"teen": [], "visual": [], "bang": []}
+    letter = f"[a-zA-Z{K.VIETNAMESE}{K.VIETNAMESE.upper()}]"
+    rules = [("teen", p, r) for p, r in K.TEENCODE] + [("visual", p, r) for p, r in K.VISUAL_LEET] + [("bang", f"(?<={letter})!(?={letter})", "i")]
+    for i, (group, pattern, to) in enumerate(rules):
+        names[group].append(f"n{i}")
+        if pattern.startswith("(?<="):
+            side, c = pattern[4:].split(")", 1)[0], pattern.split(")", 1)[1][0]
+            once = lambda t, side=side, c=c, to=to: f"regexp_replace({t}, '({side}){c}({side})', '\\1{to}\\2', 'g')"
+            new = once(once("t"))
+            count = f"(length(t) - length(replace(t, '{c}', ''))) - (length({new}) - length(replace({new}, '{c}', '')))"
+        else:
+            new, count = f"regexp_replace(t, '(?i){pattern}', '{to.replace('$', chr(92))}', 'g')", f"len(regexp_extract_all(t, '(?i){pattern}'))"
+        steps.append(f"s{i + 1} AS (SELECT * EXCLUDE (t), {count} AS n{i}, {new} AS t FROM s{i})")
+    total = {k: " + ".join(v) for k, v in names.items()}
+    last = f"s{len(rules)}"
+    return f"WITH {', '.join(steps)} SELECT doc_id, leet::BIGINT AS leet_count, ({total['teen']})::BIGINT AS teencode_count, ({total['visual']})::BIGINT AS visual_leet_count, (chars + {total['bang']})::BIGINT AS symbol_leet_count, round(1.5 * chars + 0.3 * ({total['teen']}) + ({total['visual']}) + 1.2 * ({total['bang']}), 6)::DOUBLE AS weighted_leet_score FROM {last}"
+
+
+@query(_leet_sql())
 def leet_weighted_score(spark, d):
-    out = normalize.normalize(_docs(spark, d), "text")
-    return out.select("doc_id", "leet_count", "teencode_count", "visual_leet_count", "symbol_leet_count", "weighted_leet_score")
+    out = normalize.normalize(_docs(spark, d).withColumn("text", _plant(_LEET)), "text")
+    counts = [F.col(c).cast("bigint").alias(c) for c in ("leet_count", "teencode_count", "visual_leet_count", "symbol_leet_count")]
+    return out.select("doc_id", *counts, F.col("weighted_leet_score").cast("double").alias("weighted_leet_score"))
 
 
 @query(f"SELECT doc_id, array_to_string({_TOKENS}, ' ') AS tokens, len({_TOKENS})::BIGINT AS n FROM documents")
@@ -201,7 +290,7 @@ def first_brand(spark, d):
 
 
 def _dictionary(spark, d):
-    return spark.read.parquet(f"{d}/benchmark.parquet").select(F.explode(T.tokens(F.col("text"))).alias("word")).distinct()
+    return normalize.Dictionary.of(spark.read.parquet(f"{d}/benchmark.parquet").select(F.explode(T.tokens(F.col("text"))).alias("word")))
 
 
 def _doc_words(spark, d):
@@ -214,22 +303,21 @@ _ELIGIBLE = "length(word) >= 2 AND NOT regexp_full_match(word, '[0-9]+') AND NOT
 
 @query(f"WITH {_DICT} SELECT doc_id, count(*) AS n FROM words WHERE word IN (SELECT word FROM dict) GROUP BY doc_id")
 def dict_semi(spark, d):
-    return _doc_words(spark, d).join(_dictionary(spark, d), "word", "left_semi").groupBy("doc_id").agg(F.count("*").alias("n"))
+    dic = _dictionary(spark, d)
+    return _doc_words(spark, d).join(dic.sent(dic.full), "word", "left_semi").groupBy("doc_id").agg(F.count("*").alias("n"))
 
 
 @query(f"WITH {_DICT} SELECT doc_id, count(*) AS n FROM words WHERE word NOT IN (SELECT word FROM dict) AND strip_accents(word) NOT IN (SELECT word FROM shadow) GROUP BY doc_id")
 def dict_anti(spark, d):
-    words = _doc_words(spark, d)
-    known = normalize.known_words(words, _dictionary(spark, d)).filter("known").select("word")
-    return words.join(known, "word", "left_anti").groupBy("doc_id").agg(F.count("*").alias("n"))
+    words = normalize.with_known(_doc_words(spark, d), _dictionary(spark, d))
+    return words.filter(~F.col("known")).groupBy("doc_id").agg(F.count("*").alias("n"))
 
 
 @query(f"WITH {_DICT}, e AS (SELECT doc_id, word, word NOT IN (SELECT word FROM dict) AND strip_accents(word) NOT IN (SELECT word FROM shadow) AS oov FROM words WHERE {_ELIGIBLE}) SELECT doc_id, count(*) FILTER (oov) AS oov_count, round(count(*) FILTER (oov) / count(*)::DOUBLE, 6) AS oov_density, coalesce(max(length(word)) FILTER (oov), 0)::BIGINT AS longest FROM e GROUP BY doc_id")
 def oov_density(spark, d):
-    words = _doc_words(spark, d).filter(normalize.eligible(F.col("word")))
-    oov = normalize.known_words(words, _dictionary(spark, d)).filter(~F.col("known")).select("word", F.lit(1).alias("o"))
-    n = F.count("o")
-    return words.join(oov, "word", "left").groupBy("doc_id").agg(n.alias("oov_count"), F.round(n / F.count("*"), 6).alias("oov_density"), F.coalesce(F.max(F.when(F.col("o") == 1, F.length("word"))), F.lit(0)).cast("bigint").alias("longest"))
+    words = normalize.with_known(_doc_words(spark, d).filter(normalize.eligible(F.col("word"))), _dictionary(spark, d))
+    n = F.count(F.when(~F.col("known"), 1))
+    return words.groupBy("doc_id").agg(n.alias("oov_count"), F.round(n / F.count("*"), 6).alias("oov_density"), F.coalesce(F.max(F.when(~F.col("known"), F.length("word"))), F.lit(0)).cast("bigint").alias("longest"))
 
 
 @query(f"WITH {_DICT} SELECT word, NOT regexp_matches(strip_accents(word), '(?i)[aeiouy]') OR regexp_matches(strip_accents(word), '(?i)[bcdfghjklmnpqrstvwxyz]{{4,}}') AS gibberish, regexp_full_match(word, '[a-z]*(?:{'|'.join(K.TELEX)})[a-z]*') AS telex, ({' OR '.join(f"contains(word, '{c * 3}')" for c in 'abcdefghijklmnopqrstuvwxyz0123456789' + K.VIETNAMESE)}) AS repeated FROM (SELECT DISTINCT word FROM words)")
@@ -240,9 +328,46 @@ def word_flags(spark, d):
 
 @query(f"WITH {_DICT}, o AS (SELECT DISTINCT word, strip_accents(word) AS s FROM words WHERE regexp_full_match(word, '[{T.WORD}]{{4,}}') AND NOT regexp_matches(word, '[0-9]')), c AS (SELECT word, s, unnest(range(2, length(s) - 1)) AS i FROM o) SELECT DISTINCT word FROM c WHERE substr(s, 1, i) IN (SELECT word FROM shadow) AND substr(s, i + 1) IN (SELECT word FROM shadow)")
 def run_on_words(spark, d):
-    return normalize.run_on(_doc_words(spark, d).select("word").distinct(), normalize.shadow_of(_dictionary(spark, d)))
+    return normalize.run_on(_doc_words(spark, d).select("word"), _dictionary(spark, d))
+
+
+_KEYED = "CASE WHEN doc_id % 5 = 0 THEN NULL WHEN doc_id % 5 = 1 THEN 1 ELSE doc_id END"
+_FLAGS = f"""(NOT regexp_matches(strip_accents(word), '(?i)[aeiouy]') OR regexp_matches(strip_accents(word), '(?i)[bcdfghjklmnpqrstvwxyz]{{4,}}')) AS gib,
+    ({' OR '.join(f"contains(word, '{c * 3}')" for c in 'abcdefghijklmnopqrstuvwxyz0123456789' + K.VIETNAMESE)}) AS rep, regexp_full_match(word, '[a-z]*(?:{'|'.join(K.TELEX)})[a-z]*') AS tel"""
+
+
+@query(f"""WITH {_DICT.split(', words AS')[0]},
+    d AS (SELECT row_number() OVER () AS r, {_KEYED} AS id, {_TOKENS} AS t FROM documents),
+    p AS (SELECT r, unnest(t) AS word, unnest(range(len(t))) AS pos FROM d),
+    w AS (SELECT r, pos, word, list_contains({_sql_words(sorted({*K.BRANDS, *K.JARGON, *K.SLANG, *K.ENTITY_TOKENS}))}, word) OR regexp_full_match(word, '[0-9]+') OR length(word) <= 1 AS white FROM p),
+    e AS (SELECT r, pos, word, word NOT IN (SELECT word FROM dict) AND strip_accents(word) NOT IN (SELECT word FROM shadow) AS oov FROM w WHERE NOT white AND {_ELIGIBLE}),
+    c AS (SELECT word, strip_accents(word) AS s, unnest(range(2, length(word) - 1)) AS i FROM (SELECT DISTINCT word FROM e WHERE oov AND regexp_full_match(word, '[{T.WORD}]{{4,}}') AND NOT regexp_matches(word, '[0-9]'))),
+    runs AS (SELECT DISTINCT word FROM c WHERE substr(s, 1, i) IN (SELECT word FROM shadow) AND substr(s, i + 1) IN (SELECT word FROM shadow)),
+    f AS (SELECT r, pos, word, oov, {_FLAGS}, word IN (SELECT word FROM runs) AS run FROM e),
+    g AS (SELECT *, min(pos) FILTER (oov AND gib) OVER (PARTITION BY r) AS first FROM f),
+    s AS (SELECT r, count(*) FILTER (oov) AS oov_count, round(count(*) FILTER (oov) / count(*)::DOUBLE, 6) AS oov_density, count(*) FILTER (oov AND tel AND NOT rep) AS broken_telex_count, coalesce(max(length(word)) FILTER (oov), 0) AS longest_oov_length,
+        count(*) FILTER (oov AND gib) AS gibberish_count, count(*) FILTER (oov AND rep) AS repeated_char_count, count(*) FILTER (oov AND run AND (first IS NULL OR pos < first)) AS run_on_word_count FROM g GROUP BY r),
+    n AS (SELECT r, count(*) FILTER (white) AS whitelist_count FROM w GROUP BY r)
+    SELECT id, coalesce(whitelist_count, 0)::BIGINT AS whitelist_count, coalesce(oov_density, 0)::DOUBLE AS oov_density, {', '.join(f'coalesce({c}, 0)::BIGINT AS {c}' for c in ('oov_count', 'broken_telex_count', 'longest_oov_length', 'gibberish_count', 'repeated_char_count', 'run_on_word_count'))}
+    FROM d LEFT JOIN s USING (r) LEFT JOIN n USING (r)""")
+def misspell_features(spark, d):
+    """The dictionary features of texts as they are, under ids of which many are equal or null: a row for each row."""
+    key = F.when(F.pmod("doc_id", F.lit(5)) == 0, F.lit(None).cast("long")).when(F.pmod("doc_id", F.lit(5)) == 1, F.lit(1).cast("long")).otherwise(F.col("doc_id"))
+    none = F.array().cast("array<string>")
+    rows = _docs(spark, d).select(key.alias("id"), T.tokens(F.col("text")).alias("tokens"), none.alias("original_words"), none.alias("decoded_words"))
+    made = normalize.misspell(normalize.split_whitelist(rows), _dictionary(spark, d))
+    counts = ["whitelist_count", "oov_count", "broken_telex_count", "longest_oov_length", "gibberish_count", "repeated_char_count", "run_on_word_count"]
+    return made.select("id", F.col("oov_density").cast("double").alias("oov_density"), *(F.col(c).cast("bigint").alias(c) for c in counts))
 
 
+@query()
+def features_debug(spark, d):
+    """What every layer makes of a message, in one wide table: entities, masked and normalised text, tokens, and all features."""
+    made = normalize.featured(_docs(spark, d), _dictionary(spark, d), entities=True)
+    lists = [F.to_json(c).alias(c) for c in ("entities", "tokens", "to_check", "whitelisted_tokens")]
+    changed = corpus.changed(F.col("masked"), F.col("text")).alias("has_changes")
+    return made.select("doc_id", "masked", "normalized", *lists, changed, eda.any_count(K.ENTITY_COLUMNS).alias("has_entities"), F.size("tokens").alias("token_count"), *K.FEATURES)
+
 @query()
 def features_27(spark, d):
     return normalize.extract_features(_docs(spark, d), _dictionary(spark, d))
@@ -253,9 +378,14 @@ def features_27(spark, d):
 _HOST = r"(?:[\w_-]+(?:\.[\w_-]+)+)"
 
 
-@query(rf"SELECT page_id, regexp_matches(url, '(?i)(?:http|ftp|https)://{_HOST}|www\.{_HOST}|\b[a-zA-Z0-9-]+\.(?:{'|'.join(K.FLAG_TLDS)})(?:/\S*)?\b')::INT AS has_url, regexp_matches(url, '{K.FLAG_PHONE}')::INT AS has_phone FROM pages")
+_FLAGGED = ["vao viettel.vn ngay", "500.000d LH 18008168", "http://192.168.1.50/x", "goi 0912345678 hoac 197", "ftp://a.example.com/y 024 38251234"]
+
+
+@query(rf"SELECT doc_id, regexp_matches(text, '(?i)(?:http|ftp|https)://{_HOST}|www\.{_HOST}|\b[a-zA-Z0-9-]+\.(?:{'|'.join(K.FLAG_TLDS)})(?:/\S*)?\b')::INT AS has_url, regexp_matches(text, '{K.FLAG_PHONE}')::INT AS has_phone FROM (SELECT doc_id, ({_sql_words(_FLAGGED)})[(doc_id % 5) + 1] || ' ' || CASE WHEN doc_id % 3 = 0 THEN text ELSE '' END AS text FROM documents)")
 def message_flags(spark, d):
-    return spark.read.parquet(f"{d}/pages.parquet").select("page_id", T.has_url(F.col("url")).alias("has_url"), T.has_phone_number(F.col("url")).alias("has_phone"))
+    text = F.concat(_plant(_FLAGGED, "none"), F.lit(" "), F.when(F.pmod("doc_id", F.lit(3)) == 0, F.col("text")).otherwise(""))
+    docs = _docs(spark, d).withColumn("none", F.lit("")).withColumn("text", F.substr(text, F.lit(4)))
+    return docs.select("doc_id", T.has_url(F.col("text")).alias("has_url"), T.has_phone_number(F.col("text")).alias("has_phone"))
 
 
 @query("WITH s AS (SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN source WHEN 1 THEN (doc_id * 7919)::VARCHAR WHEN 2 THEN '09' || lpad((doc_id % 100000000)::VARCHAR, 8, '1') WHEN 3 THEN '+' || doc_id END AS sender FROM documents) SELECT doc_id, CASE WHEN regexp_matches(coalesce(sender, 'nan'), '[a-zA-Z]') THEN 'brandname' WHEN regexp_full_match(trim(sender), '\\d{3,8}') THEN 'shortcode' WHEN regexp_full_match(trim(sender), '(\\+84|84|0)\\d{9,10}') THEN 'personal_number' ELSE 'unknown' END AS sender_type FROM s")
@@ -323,7 +453,7 @@ def union_all_sources(spark, d):
 
 @query(f"SELECT DISTINCT word FROM (SELECT unnest({_TOKENS}) AS word FROM documents UNION ALL SELECT unnest({_TOKENS}) FROM benchmark)")
 def vocab_union(spark, d):
-    return _doc_words(spark, d).select("word").union(_dictionary(spark, d)).distinct()
+    return _doc_words(spark, d).select("word").union(_dictionary(spark, d).full).distinct()
 
 
 @query("WITH n AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS rn, count(*) OVER () AS c FROM documents) SELECT doc_id, least((rn - 1) // (c // 5), 4)::BIGINT AS part FROM n")
@@ -338,7 +468,17 @@ def split_reconcile(spark, d):
 
 @query(f"SELECT label, count(*) AS n, sum(length(text))::BIGINT AS chars FROM ({_LABELLED}) GROUP BY label")
 def partition_by_label(spark, d):
-    return _labelled(spark, d).groupBy("label").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars"))
+    """Written in a folder a label, and read from there."""
+    path = scratch_path(spark, "labels")
+    sinks.write_by_label(_labelled(spark, d), path)
+    return spark.read.parquet(path).groupBy("label").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars"))
+
+
+@query("SELECT doc_id, ntile AS part FROM (SELECT doc_id, least((row_number() OVER (ORDER BY doc_id) - 1) // (count(*) OVER () // 4), 3)::BIGINT AS ntile FROM documents)")
+def parts_written(spark, d):
+    path = scratch_path(spark, "parts")
+    sinks.write_parts(_docs(spark, d).select("doc_id"), path, 4, "doc_id")
+    return spark.read.parquet(path).select("doc_id", F.col("part").cast("bigint").alias("part"))
 
 
 @query("SELECT conv_id, max_by(role, turn) AS role, max(turn) AS turn, max_by(text, turn) AS text FROM conversations GROUP BY conv_id")
@@ -354,8 +494,6 @@ def annotation_progress(spark, d):
 
 @query("SELECT conv_id, turn, lag(text) OVER w AS before, lead(text) OVER w AS after FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn, text)")
 def navigation(spark, d):
-    from pyspark.sql import Window
-
     w = Window.partitionBy("conv_id").orderBy("turn", "text")
     return spark.read.parquet(f"{d}/conversations.parquet").select("conv_id", "turn", F.lag("text").over(w).alias("before"), F.lead("text").over(w).alias("after"))
 
@@ -437,6 +575,53 @@ def column_summary(spark, d):
     return eda.column_summary(_numbers(_labelled(spark, d)), _NUMBERS)
 
 
+@query(f"WITH {_NUMBERED} SELECT label, count(*) AS n, round(sum(digits) / nullif(sum(chars), 0)::DOUBLE, 6) AS digits_per_chars, round(sum(symbols) / nullif(sum(spaces), 0)::DOUBLE, 6) AS symbols_per_spaces FROM n GROUP BY label")
+def ratio_of_sums(spark, d):
+    return eda.ratio_of_sums(_numbers(_labelled(spark, d)), "label", [("digits", "chars"), ("symbols", "spaces")])
+
+
+@query(f"WITH {_NUMBERED}, c AS ({' UNION ALL '.join(f"SELECT '{a}' AS feature, round(corr({a}, label), 6) AS r FROM n" for a in _NUMBERS)}) SELECT feature, r, row_number() OVER (ORDER BY r DESC, feature) AS place FROM c")
+def label_correlations(spark, d):
+    """Of each feature the correlation with the label, the greatest first."""
+    found = eda.correlations(_numbers(_labelled(spark, d)), [*_NUMBERS, "label"]).filter("b = 'label' AND a <> 'label'")
+    return found.select(F.col("a").alias("feature"), "r", F.row_number().over(Window.orderBy(F.desc("r"), "a")).cast("bigint").alias("place"))  # a row a feature
+
+
+@query(f"WITH l AS ({_LABELLED}), c AS (SELECT word, count(*) FILTER (label = 1) AS spam_count, count(*) FILTER (label = 0) AS ham_count FROM (SELECT label, unnest({_TOKENS}) AS word FROM l) GROUP BY word), r AS (SELECT word, spam_count, ham_count, CASE WHEN ham_count > 0 THEN round((spam_count / (SELECT count(*) FROM l WHERE label = 1)::DOUBLE) / (ham_count / (SELECT count(*) FROM l WHERE label = 0)::DOUBLE), 6) ELSE 'inf'::DOUBLE END AS ratio FROM c WHERE spam_count >= 10) SELECT * FROM r ORDER BY ratio DESC, spam_count DESC, word LIMIT 50")
+def most_distinctive(spark, d):
+    """The fifty words that tell label 1 best."""
+    return eda.most_distinctive(_labelled(spark, d), "label", T.tokens(F.col("text")))
+
+
+@query("WITH t(theme, word) AS (VALUES " + ", ".join(f"('{k}', '{w}')" for k, ws in _EN_THEMES.items() for w in ws) + f"), c AS (SELECT word, count(*) AS n FROM (SELECT unnest({_TOKENS}) AS word FROM documents) GROUP BY word) SELECT theme, word, n FROM t JOIN c USING (word) WHERE n > 5")
+def frequent_keywords(spark, d):
+    return eda.frequent_keywords(_doc_words(spark, d).groupBy("word").agg(F.count("*").alias("n")), _EN_THEMES)
+
+
+@query(f"SELECT doc_id, array_to_string(list_filter({_TOKENS}, lambda w: regexp_matches(w, '\\p{{L}}')), ' ') AS words, trim(replace(regexp_replace(regexp_replace(' ' || array_to_string({_TOKENS}, '  ') || ' ', ' de  la ', ' de_la ', 'g'), ' en  el ', ' en_el ', 'g'), '  ', ' ')) AS joined FROM documents")
+def segmented_words(spark, d):
+    """Words that hold a letter; and all words, of which two that make a known compound become one."""
+    t = T.tokens(F.col("text"))
+    joined = F.transform(eda.compounds(F.col("t"), ["de la", "en el"]), lambda w: F.translate(w, " ", "_"))
+    return _docs(spark, d).withColumn("t", t).select("doc_id", F.array_join(eda.with_letters(F.col("t")), " ").alias("words"), F.array_join(joined, " ").alias("joined"))
+
+
+@query(" UNION ALL ".join(f"SELECT '{c}' AS \"column\", '{k}' AS type, count({c}) AS present, count(*) - count({c}) AS missing, min({c})::VARCHAR AS least, max({c})::VARCHAR AS greatest FROM documents" for c, k in (("doc_id", "bigint"), ("lang", "string"), ("n_chars", "bigint"))))
+def table_summary(spark, d):
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    return eda.summary(docs, ["doc_id", "lang", "n_chars"])
+
+
+@query("SELECT doc_id, CASE WHEN length(text) > 40 THEN substr(text, 1, 40) || '...' ELSE text END AS preview FROM documents ORDER BY doc_id LIMIT 5")
+def head_rows(spark, d):
+    return _docs(spark, d).select("doc_id", T.preview(F.col("text"), 40).alias("preview")).orderBy("doc_id").limit(5)
+
+
+@query("SELECT doc_id, coalesce(CASE WHEN doc_id % 3 = 0 THEN NULL ELSE source END, 'nan') AS content FROM documents")
+def nulls_as_text(spark, d):
+    return _docs(spark, d, "source").select("doc_id", readers.null_as_text(F.when(F.pmod("doc_id", F.lit(3)) != 0, F.col("source"))).alias("content"))
+
+
 # ---- domains -------------------------------------------------------------------------------------------------
 
 _SQL_HOST = "lower(regexp_extract(u, '^(?:[a-zA-Z][a-zA-Z0-9+.-]*://)?(?:[^/?#@]*@)?([^/?#:]*)', 1))"
@@ -459,10 +644,25 @@ def html_links(spark, d):
 
 
 def _fetched(spark, d):
-    return spark.read.parquet(f"{d}/pages.parquet").select("page_id", "url", F.lit(200).alias("status"), "html")
+    """The pages as if fetched; some link to themselves, some to a trusted domain, some are missing."""
+    n = F.pmod("page_id", F.lit(20))
+    more = F.when(n % 10 == 5, F.concat(F.lit('<a href="'), "url", F.lit('">x</a>'))).when(n == 17, '<a href="https://viettel.vn/x">x</a>').otherwise("")
+    return spark.read.parquet(f"{d}/pages.parquet").select("page_id", "url", F.when(n == 5, 404).otherwise(200).alias("status"), F.concat(F.coalesce("html", F.lit("")), more).alias("html"))
 
 
-@query()
+_SQL_FETCHED = """f AS (SELECT page_id, url, CASE WHEN page_id % 20 = 5 THEN 404 ELSE 200 END AS status, coalesce(html, '') || CASE WHEN page_id % 10 = 5 THEN '<a href="' || url || '">x</a>' WHEN page_id % 20 = 17 THEN '<a href="https://viettel.vn/x">x</a>' ELSE '' END AS html FROM pages)"""
+
+
+def _sql_domain(u: str) -> str:
+    """SQL for the registered domain of an address."""
+    return _SQL_DOMAIN.replace("h, '.'", f"{_SQL_HOST.replace('regexp_extract(u,', f"regexp_extract(regexp_replace({u}, '[.,;:]+$', ''),")}, '.'")
+
+
+_SQL_PASSES = rf"""p AS (SELECT f.page_id, f.url, f.status = 200 AND coalesce(bool_or(l.link = {_sql_domain("f.url")} OR list_contains({_sql_words(K.TRUSTED_DOMAINS)}, l.link)), false) AS passes
+    FROM f LEFT JOIN (SELECT page_id, {_sql_domain("link")} AS link FROM (SELECT page_id, unnest(regexp_extract_all(html, '(?is)<a\s[^>]*?href\s*=\s*["'']?([^"''\s>]+)', 1)) AS link FROM f)) l ON l.page_id = f.page_id GROUP BY f.page_id, f.url, f.status)"""
+
+
+@query(f"WITH {_SQL_FETCHED}, {_SQL_PASSES} SELECT url, passes FROM p")
 def source_link_check(spark, d):
     return domain.source_check(_fetched(spark, d))
 
@@ -474,28 +674,43 @@ def _page_messages(spark, d):
 
 
 def _search(spark, d):
-    pages = spark.read.parquet(f"{d}/pages.parquet").select(F.lit("momo").alias("brand"), domain.registered_domain(F.col("url")).alias("domain"), F.lit(1).alias("rank"))
-    return pages.filter("domain <> ''").distinct().withColumn("href", F.concat(F.lit("https://www."), F.col("domain"), F.lit("/about")))
+    """Hits of a search for a brand and a domain: the domain itself, one above it, or another; on the first ranks and beyond."""
+    n = lambda k: F.pmod("page_id", F.lit(k))
+    own = domain.registered_domain(F.col("url"))
+    asked = F.when(n(3) == 1, F.concat(F.lit("km."), own)).otherwise(own)
+    href = F.when(n(5) == 4, "https://elsewhere.net/a").otherwise(F.concat(F.lit("https://www."), own, F.lit("/about")))
+    pages = spark.read.parquet(f"{d}/pages.parquet").withColumn("own", own).filter("own <> ''")
+    return pages.select(F.when(n(2) == 0, "momo").otherwise("vcb").alias("brand"), asked.alias("domain"), (n(8) + 1).alias("rank"), href.alias("href"))
 
 
-@query()
+_SQL_SEARCH = f"""s AS (SELECT CASE WHEN page_id % 2 = 0 THEN 'momo' ELSE 'vcb' END AS brand, CASE WHEN page_id % 3 = 1 THEN 'km.' || own ELSE own END AS domain, page_id % 8 + 1 AS rank, CASE WHEN page_id % 5 = 4 THEN 'elsewhere.net' ELSE own END AS hit
+    FROM (SELECT page_id, {_sql_domain("url")} AS own FROM pages) WHERE own <> ''), found AS (SELECT DISTINCT brand, domain FROM s WHERE rank <= 5 AND (hit = domain OR ends_with(domain, '.' || hit)))"""
+
+
+@query(f"WITH {_SQL_SEARCH} SELECT brand, domain FROM found")
 def search_hit_match(spark, d):
     search = _search(spark, d)
     return domain.search_check(search.select("brand", "domain"), search)
 
 
-_CASE_URL = "CASE WHEN page_id % 6 = 0 THEN 'viettel.vn' WHEN page_id % 6 = 1 THEN '' ELSE 'own' END"
+@query(f"""WITH {_SQL_FETCHED}, {_SQL_PASSES}, {_SQL_SEARCH},
+    m AS (SELECT page_id, CASE WHEN page_id % 6 = 0 THEN 'https://www.viettel.vn/x' WHEN page_id % 6 = 1 THEN 'http://10.0.0.1/a' ELSE url END AS u, CASE WHEN page_id % 2 = 0 THEN 'momo' END AS brand FROM pages),
+    j AS (SELECT page_id, CASE WHEN page_id % 7 = 0 THEN 'No URL' WHEN dom = '' THEN 'Inconclusive' WHEN list_contains({_sql_words(K.TRUSTED_DOMAINS)}, dom) THEN 'Whitelisted Domain (' || dom || ')'
+        WHEN EXISTS (SELECT 1 FROM found x WHERE x.brand = q.brand AND x.domain = dom) THEN 'Found in Search Results' WHEN EXISTS (SELECT 1 FROM p WHERE p.url = u AND p.passes) THEN 'Source code contains verified internal/whitelist links'
+        ELSE 'URL Suspicious (Failed Search/Source Check)' END AS domain_reason FROM (SELECT *, {_sql_domain("u")} AS dom FROM m) q)
+    SELECT page_id, domain_reason, CASE WHEN domain_reason IN ('No URL', 'Inconclusive') THEN 'SKIP' WHEN domain_reason LIKE 'URL Suspicious%' THEN 'PHISHING' ELSE 'LEGIT' END AS status,
+        CASE WHEN domain_reason IN ('No URL', 'Inconclusive') THEN 0.0 WHEN domain_reason LIKE 'URL Suspicious%' THEN 1.0 ELSE -1.0 END::DOUBLE AS risk FROM j""")
+def domain_verdict(spark, d):
+    return domain.verdicts(_page_messages(spark, d), "page_id", _search(spark, d), _fetched(spark, d)).select("page_id", "status", "domain_reason", "risk")
 
 
-@query(f"SELECT page_id, CASE WHEN page_id % 7 = 0 THEN 'SKIP' WHEN page_id % 6 = 0 THEN 'LEGIT' WHEN page_id % 6 = 1 THEN 'SKIP' WHEN page_id % 2 = 0 THEN 'LEGIT' ELSE 'PHISHING' END AS status, CASE WHEN page_id % 7 = 0 THEN 0.0 WHEN page_id % 6 = 0 THEN -1.0 WHEN page_id % 6 = 1 THEN 0.0 WHEN page_id % 2 = 0 THEN -1.0 ELSE 1.0 END::DOUBLE AS risk FROM pages")
-def domain_verdict(spark, d):
-    return domain.verdicts(_page_messages(spark, d), "page_id", _search(spark, d), _fetched(spark, d)).select("page_id", "status", "risk")
+_ADDRESSED = ["xem https://a.example.com/x, va www.b.example.net.", "vao www.c.example.org/y;", "https://a.example.com/x https://a.example.com/x", "khong co"]
 
 
-@query("SELECT array_to_string(list_sort(list_distinct(list_concat(regexp_extract_all(text || ' http://a.example.com/x', 'https?://[a-z.]+'), ['http://b.example.com']))), ' ') AS urls, doc_id FROM documents")
+@query(f"SELECT doc_id, array_to_string(list_sort(list_distinct(list_concat(list_transform(regexp_extract_all(text, '{K.MESSAGE_URL}'), lambda u: regexp_replace(u, '[.,:;]+$', '')), CASE WHEN doc_id % 2 = 0 THEN ['https://a.example.com/x', 'kho.top'] ELSE [] END))), ' ') AS urls FROM {_planted(_ADDRESSED)}")
 def url_union(spark, d):
-    found = F.regexp_extract_all(F.concat("text", F.lit(" http://a.example.com/x")), F.lit("https?://[a-z.]+"), F.lit(0))
-    return _docs(spark, d).select(F.array_join(F.array_sort(F.array_union(found, F.array(F.lit("http://b.example.com")))), " ").alias("urls"), "doc_id")
+    masked = F.when(F.pmod("doc_id", F.lit(2)) == 0, F.array(F.lit("https://a.example.com/x"), F.lit("kho.top")))
+    return _docs(spark, d).withColumn("text", _plant(_ADDRESSED)).select("doc_id", F.array_join(F.array_sort(domain.message_urls(F.col("text"), masked)), " ").alias("urls"))
 
 
 # ---- decisions -----------------------------------------------------------------------------------------------
@@ -526,18 +741,21 @@ def _cases(spark, d):
 
 @query(f"""WITH c AS ({_CASES}), f AS (SELECT *, CASE WHEN risk >= 0.8 THEN 'Domain Risk' WHEN risk = -1 AND contains(reason, 'google') AND p > 0.65 THEN 'Hybrid Warning' WHEN risk = -1 AND contains(reason, 'google') THEN 'Hybrid Safe'
     WHEN risk = -1 THEN 'Authority Whitelist' WHEN p >= 0.46 AND chat AND NOT danger THEN 'Conversation Guard' WHEN p >= 0.46 THEN 'AI Detection' WHEN danger AND sender <> 'brandname' THEN 'Keyword Trigger' ELSE 'AI Model' END AS phase FROM c)
-    SELECT doc_id, phase IN ('Domain Risk', 'Hybrid Warning', 'AI Detection', 'Keyword Trigger') AS is_smishing, CASE phase WHEN 'Domain Risk' THEN 1.0 WHEN 'Hybrid Safe' THEN 0.2 WHEN 'Authority Whitelist' THEN 0.0 WHEN 'Conversation Guard' THEN 0.25 WHEN 'Keyword Trigger' THEN 0.6 ELSE p END::DOUBLE AS confidence, phase FROM f""")
+    SELECT doc_id, phase IN ('Domain Risk', 'Hybrid Warning', 'AI Detection', 'Keyword Trigger') AS is_smishing, CASE phase WHEN 'Domain Risk' THEN 1.0 WHEN 'Hybrid Safe' THEN 0.2 WHEN 'Authority Whitelist' THEN 0.0 WHEN 'Conversation Guard' THEN 0.25 WHEN 'Keyword Trigger' THEN 0.6 ELSE p END::DOUBLE AS confidence, phase,
+    replace(CASE phase {" ".join(f"WHEN '{k}' THEN '{v}'" for k, v in K.REASONS.items())} END, '%s', reason) AS reason FROM f""")
 def fusion_v2(spark, d):
     fused = policy.fuse(F.col("p"), F.col("risk"), F.col("reason"), F.col("sender"), F.col("text"))
     return _cases(spark, d).select("doc_id", fused.alias("r")).select("doc_id", "r.*")
 
 
-@query(f"""WITH c AS (SELECT doc_id, {_P} AS p, {_RISK} AS risk, CASE WHEN doc_id % 3 = 0 THEN 'brandname' ELSE 'personal_number' END AS sender, ({' OR '.join(f"contains(trim(regexp_replace(regexp_replace({_FOLD}, '[^a-z0-9\\s]', ' ', 'g'), '\\s+', ' ', 'g')), '{w}')" for w in K.DANGER_V1)}) AS danger FROM documents)
+@query(f"""WITH c AS (SELECT doc_id, {_P} AS p, {_RISK} AS risk, CASE WHEN doc_id % 5 = 1 THEN 'Whitelisted Domain (google.com)' ELSE 'x' END AS reason, CASE WHEN doc_id % 3 = 0 THEN 'brandname' ELSE 'personal_number' END AS sender, ({' OR '.join(f"contains(trim(regexp_replace(regexp_replace({_FOLD}, '[^a-z0-9\\s]', ' ', 'g'), '\\s+', ' ', 'g')), '{w}')" for w in K.DANGER_V1)}) AS danger FROM documents)
     SELECT doc_id, risk = 1 OR (risk = 0 AND p >= 0.46 AND NOT (sender = 'personal_number' AND p < 0.8 AND NOT danger)) AS is_smishing,
     CASE WHEN risk = 1 THEN 1.0 WHEN risk = -1 AND p > 0.95 THEN 0.45 WHEN risk = -1 THEN 0.0 WHEN p >= 0.46 AND sender = 'personal_number' AND p < 0.8 AND NOT danger THEN least(p, 0.3) ELSE p END::DOUBLE AS confidence,
-    CASE WHEN risk = 1 THEN 'Domain Check (Phishing Detected)' WHEN risk = -1 THEN 'Domain Check (Verified Safe)' WHEN p >= 0.46 AND sender = 'personal_number' AND p < 0.8 AND NOT danger THEN 'Safety Net (AI Override)' ELSE 'AI Model' END AS phase FROM c""")
+    CASE WHEN risk = 1 THEN 'Domain Check (Phishing Detected)' WHEN risk = -1 THEN 'Domain Check (Verified Safe)' WHEN p >= 0.46 AND sender = 'personal_number' AND p < 0.8 AND NOT danger THEN 'Safety Net (AI Override)' ELSE 'AI Model' END AS phase,
+    CASE WHEN risk = 1 THEN replace('{K.REASON_V1_PHISHING}', '%s', reason) WHEN risk = -1 AND p > 0.95 THEN replace('{K.REASON_V1_DOUBTFUL}', '%s', reason) WHEN risk = -1 THEN replace('{K.REASON_V1_VERIFIED}', '%s', reason)
+    WHEN p >= 0.46 AND sender = 'personal_number' AND p < 0.8 AND NOT danger THEN '{K.REASON_V1_CHAT}' WHEN p >= 0.46 THEN '{K.REASON_V1_DETECTED}' ELSE '{K.REASON_V1_SAFE}' END AS reason FROM c""")
 def fusion_v1(spark, d):
-    return _cases(spark, d).select("doc_id", policy.fuse_v1(F.col("p"), F.col("risk"), F.col("sender"), F.col("text")).alias("r")).select("doc_id", "r.*")
+    return _cases(spark, d).select("doc_id", policy.fuse_v1(F.col("p"), F.col("risk"), F.col("reason"), F.col("sender"), F.col("text")).alias("r")).select("doc_id", "r.*")
 
 
 @query("SELECT doc_id, CASE lang WHEN 'de' THEN 0 WHEN 'en' THEN 1 WHEN 'es' THEN 2 ELSE 0 END::BIGINT AS code FROM documents")
@@ -608,7 +826,7 @@ def _training(spark, d):
 
 def _fit(kind):
     def run(spark, d):
-        split = ml.stratified_split(_training(spark, d), "doc_id", "label").cache()
+        split = written(ml.stratified_split(_training(spark, d), "doc_id", "label"), "split")
         model = ml.train(split.filter(~F.col("is_test")), kind)
         return ml.predict(model, split.filter("is_test"), K.THRESHOLD if kind == "boosted" else 0.5).select("doc_id", "label", "p", "predicted")
 
@@ -621,22 +839,175 @@ for _name, _kind in (("model_gbt", "boosted"), ("model_rf", "forest"), ("model_d
 
 @query()
 def model_compare(spark, d):
-    return ml.compare(_training(spark, d).cache())
+    return ml.compare(written(_training(spark, d), "training"))
 
 
-#: 144 combinations; gamma and the share of columns have analogues only.
-GRID = {"maxDepth": [3, 4, 5, 6], "minInstancesPerNode": [1, 3, 5], "minInfoGain": [0.0, 0.1, 0.2], "subsamplingRate": [0.8, 1.0], "featureSubsetStrategy": ["0.8", "all"]}
+@query()
+def model_saved(spark, d):
+    """The probabilities of a model that was saved and loaded."""
+    rows = written(_training(spark, d), "training")
+    path = scratch_path(spark, "model")
+    ml.save(spark, ml.train(rows), path)
+    return ml.predict(ml.load(spark, path), rows).select("doc_id", "p", "predicted")
+
+
+@query()
+def cross_validation(spark, d):
+    """Mean and population deviation of the AUC over five folds."""
+    return ml.fold_summary(ml.cross_validate(written(_training(spark, d), "training")))
 
 
 @query()
 def grid_search(spark, d):
-    """The mean AUC over five folds of each combination of GRID."""
-    fitted = ml.cross_validate(_training(spark, d).cache(), grid=GRID)
-    rows = [(*({p.name: v for p, v in m.items()}[name] for name in GRID), float(auc)) for m, auc in zip(fitted.getEstimatorParamMaps(), fitted.avgMetrics, strict=True)]
-    return spark.createDataFrame(rows, "maxDepth int, minInstancesPerNode int, minInfoGain double, subsamplingRate double, featureSubsetStrategy string, auc double")
+    """The mean AUC over five folds of each combination of the grid."""
+    return ml.grid_search(written(_training(spark, d), "training"))
 
 
 @query()
 def feature_importance(spark, d):
-    model = ml.train(_training(spark, d).cache(), "forest")
-    return spark.createDataFrame(ml.importances(model, [*K.FEATURES, "sender_type"]), "feature string, importance double")
+    """The twenty inputs that the forest's splits gain most by."""
+    model = ml.train(_training(spark, d), "forest")
+    return spark.createDataFrame(ml.importances(model, 20), "feature string, importance double")
+
+
+# ---- from messages to decisions ------------------------------------------------------------------------------
+
+
+def _messages(spark, d):
+    return _docs(spark, d, "source").select("doc_id", "text", T.classify_sender(F.col("source")).alias("sender"))
+
+
+def _lookups(spark, d):
+    return _search(spark, d).distinct(), _fetched(spark, d)
+
+
+@query()
+def predict_messages(spark, d):
+    """The record of each message's decision, by a model trained on the labelled ones."""
+    model = ml.train(_training(spark, d))
+    return predict.predictions(_messages(spark, d), model, _dictionary(spark, d), *_lookups(spark, d))
+
+
+@query()
+def result_table(spark, d):
+    """The same as it is shown."""
+    model = ml.train(_training(spark, d))
+    return predict.result_table(predict.predictions(_messages(spark, d), model, _dictionary(spark, d), *_lookups(spark, d)))
+
+
+@query()
+def two_models(spark, d):
+    """Whether two models decide alike, and how far their confidences are apart."""
+    rows = written(_training(spark, d), "training")
+    known = written(predict.evidence(_messages(spark, d), _dictionary(spark, d), *_lookups(spark, d)), "evidence")
+    return predict.two_models(known, ml.train(rows), ml.train(rows, "forest")).select("doc_id", "one", "other", "confidence_one", "confidence_other", "agree", "gap")
+
+
+# ---- sources and sinks ---------------------------------------------------------------------------------------
+
+
+def _rows_to_write(spark, d):
+    n = F.pmod("doc_id", F.lit(2)).cast("int")
+    return _docs(spark, d, "source").select(F.concat(F.lit("m "), F.coalesce("text", F.lit(""))).alias("content"), n.alias("label"), F.lit(0).alias("has_url"), F.lit(1).alias("has_phone_number"), F.col("source").alias("sender_type"))
+
+
+_SQL_ROWS = "SELECT 'm ' || coalesce(text, '') AS content, (doc_id % 2)::INT AS label, 0 AS has_url, 1 AS has_phone_number, source AS sender_type FROM documents"
+
+
+@query(_SQL_ROWS)
+def csv_round_trip(spark, d):
+    """Written as CSV with a byte-order mark, quotes and line ends inside, and read again."""
+    path = scratch_path(spark, "csv")
+    sinks.write_csv(_rows_to_write(spark, d), path, mark=True)
+    return readers.load(spark, path)[0]
+
+
+@query("SELECT source_file, count(*) AS n, sum(label)::BIGINT AS positives FROM (SELECT CASE WHEN doc_id % 3 = 0 THEN 'one' ELSE 'two' END AS source_file, doc_id % 2 AS label FROM documents) GROUP BY source_file")
+def multi_file_provenance(spark, d):
+    path = scratch_path(spark, "files")
+    part = _docs(spark, d, "source").withColumn("f", F.when(F.pmod("doc_id", F.lit(3)) == 0, "one").otherwise("two"))
+    for f in ("one", "two"):
+        own = part.filter(F.col("f") == f)
+        sinks.write_csv(own.select(F.concat(F.lit("m "), F.col("doc_id").cast("string")).alias("content"), F.pmod("doc_id", F.lit(2)).cast("int").alias("label"), F.lit(0).alias("has_url"), F.lit(1).alias("has_phone_number"), F.col("source").alias("sender_type")), f"{path}/{f}")
+    read = readers.load_many(spark, [f"{path}/one", f"{path}/two"])
+    return read.groupBy(F.col("_source_file").alias("source_file")).agg(F.count("*").alias("n"), F.sum("label").alias("positives"))
+
+
+@query("SELECT kind, count(*) AS n, sum(length(content))::BIGINT AS chars FROM (SELECT CASE WHEN doc_id % 9 = 0 THEN 'rejected' ELSE 'read' END AS kind, CASE WHEN doc_id % 9 = 0 THEN 'line ' || doc_id || ',broken' ELSE 'he said ''hi'', no ' || doc_id END AS content FROM documents) GROUP BY kind")
+def quarantine(spark, d):
+    """Lines with quotes and commas inside are read from the right; those with too few parts are kept apart."""
+    path = scratch_path(spark, "lines")
+    number = F.col("doc_id").cast("string")
+    broken = F.concat(F.lit("line "), number, F.lit(",broken"))
+    line = F.when(F.pmod("doc_id", F.lit(9)) == 0, broken).otherwise(F.concat(F.lit('he said "hi", no '), number, F.lit(",1,0,1,unknown")))
+    _docs(spark, d).select(line.alias("value")).write.text(path)
+    rows, bad = readers.load(spark, path)
+    both = rows.select(F.lit("read").alias("kind"), "content").union(bad.select(F.lit("rejected"), "value"))
+    return both.groupBy("kind").agg(F.count("*").alias("n"), F.sum(F.length("content")).alias("chars"))
+
+
+@query("SELECT text AS \"Content\", CASE WHEN doc_id % 2 = 0 THEN source END AS \"Sender\", CASE WHEN doc_id % 2 = 0 THEN 'Received' ELSE 'Sent' END AS \"Type\" FROM documents WHERE text <> ''")
+def folder_scan(spark, d):
+    """A folder of exports, each with a byte-order mark, but for one file that was made from the others."""
+    path = scratch_path(spark, "folder")
+    raw = _docs(spark, d, "source").filter("text <> ''").select(F.col("text").alias("Content"), F.when(F.pmod("doc_id", F.lit(2)) == 0, F.col("source")).alias("Sender"), F.when(F.pmod("doc_id", F.lit(2)) == 0, "Received").otherwise("Sent").alias("Type"))
+    sinks.write_csv(raw, path, mark=True)
+    before = {r[0] for r in spark.read.text(path).select("_metadata.file_name").distinct().collect()}
+    raw.coalesce(1).write.mode("append").csv(path, header=True, quote='"', escape='"')
+    made = {r[0] for r in spark.read.text(path).select("_metadata.file_name").distinct().collect()} - before
+    return readers.read_folder(spark, path, exclude=made.pop())
+
+
+@query(f"SELECT doc_id, len(list_filter({_TOKENS}, lambda w: w IN ('de', 'the', 'und') OR list_contains({_sql_words(_WHITE)}, w) OR regexp_full_match(w, '[0-9]+') OR length(w) <= 1))::BIGINT AS n FROM documents")
+def whitelist_file(spark, d):
+    """A whitelist of the user's own: a token a line, with comments and blank lines."""
+    path = scratch_path(spark, "whitelist")
+    spark.createDataFrame([("# own words",), ("De",), ("",), (" the ",), ("und",), ("#no",)], "value string").write.text(path)
+    custom = sorted(r.token for r in readers.read_whitelist(spark, path).collect())
+    out = normalize.split_whitelist(_docs(spark, d).withColumn("tokens", T.tokens(F.col("text"))), custom=custom)
+    return out.select("doc_id", F.col("whitelist_count").cast("bigint").alias("n"))
+
+
+@query(f"WITH w AS (SELECT DISTINCT unnest({_TOKENS}) AS word FROM benchmark) SELECT 'full' AS kind, word FROM w UNION ALL SELECT DISTINCT 'shadow', strip_accents(word) FROM w")
+def dictionary_export(spark, d):
+    """Words written sorted, one a line, and read again, as they are and without diacritics."""
+    path = scratch_path(spark, "dictionary")
+    sinks.write_dictionary(_dictionary(spark, d).full, path)
+    full, shadow = readers.read_dictionary(spark, path)
+    return full.select(F.lit("full").alias("kind"), "word").union(shadow.select(F.lit("shadow"), "word"))
+
+
+@query("SELECT 'com.vn' AS suffix UNION ALL SELECT 'vn' UNION ALL SELECT 'example'")
+def suffix_list(spark, d):
+    lines = spark.createDataFrame([("// comment",), ("vn",), ("com.vn",), ("",), ("*.ck",), ("!www.ck",), ("Example",)], "value string")
+    return spark.createDataFrame([(x,) for x in readers.public_suffixes(lines)], "suffix string")
+
+
+# ---- streams -------------------------------------------------------------------------------------------------
+
+
+def _stream_of(spark, d, table):
+    schema = spark.read.parquet(f"{d}/{table}.parquet").schema
+    return spark.readStream.schema(schema).option("pathGlobFilter", f"{table}.parquet*").parquet(d)
+
+
+@query(f"SELECT doc_id, len(regexp_extract_all(text, '(?i){K.EMAIL}'))::BIGINT AS n FROM documents")
+def stream_masked(spark, d):
+    """Documents as a stream, masked by the email rule, into a table."""
+    docs = _stream_of(spark, d, "documents").select("doc_id", "text")
+    made = mask.mask(docs, registry=[r for r in mask.REGISTRY if r.label == "email"], entities=False)
+    return stream.drained(made.select("doc_id", F.col("email_count").cast("bigint").alias("n")), "masked")
+
+
+@query("WITH w AS (SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n FROM events GROUP BY ALL) SELECT * FROM w WHERE start + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 2 HOUR")
+def stream_windows(spark, d):
+    """Events a type and hour; a window is given out once the watermark has passed it."""
+    events = _stream_of(spark, d, "events").select(F.col("ts").cast("timestamp").alias("ts"), "event_type")
+    return stream.drained(stream.window_counts(events, "ts", "event_type"), "windows").withColumn("start", F.col("start").cast("timestamp_ntz"))
+
+
+@query("SELECT DISTINCT event_type FROM events WHERE event_type IS NOT NULL")
+def stream_deduplicated(spark, d):
+    """The first event of each type, within a watermark that is wider than the table."""
+    events = _stream_of(spark, d, "events").select(F.col("ts").cast("timestamp").alias("ts"), "event_type").filter("event_type IS NOT NULL")
+    return stream.drained(stream.deduplicated(events, "ts", "9000 days", ("event_type",)).select("event_type"), "distinct")
