@@ -2,15 +2,22 @@
 
 import math
 import os
+import random
+import unicodedata
 
+import numpy as np
 import pytest
+import regex
 from pyspark.sql import functions as F
 
 from smsward import constants as K
 from smsward.functions import text as T
-from smsward.operators import corpus, mask, ml, normalize, policy
-from smsward.plans import queries
+from smsward.operators import corpus, mask, ml, normalize, policy, trees
+from smsward.plans import predict, queries
 from smsward.sources import readers
+from smsward.streaming import stream
+
+SF = "/root/testdata/sf0.001"
 
 MASKED = [
     ("Lien he a.b@mail.example.com ngay", "Lien he <EMAIL> ngay", {"email": 1}),
@@ -76,7 +83,7 @@ def test_misspelling(spark, words, run_on):
     df = spark.createDataFrame([(1, words, [], [])], "id int, to_check array<string>, original_words array<string>, decoded_words array<string>")
     full = spark.createDataFrame([(w,) for w in ("xin", "chào", "bạn", "thông", "báo", "ăn", "cơm")], "word string")
     shadow = spark.createDataFrame([(w,) for w in ("xin", "chao", "ban", "thong", "bao", "an", "com")], "word string")
-    r = normalize.misspell(df, "id", full, shadow).first()
+    r = normalize.misspell(df, normalize.Dictionary.of(full, shadow)).first()
     assert (r.oov_count, r.longest_oov_length, r.gibberish_count, r.repeated_char_count, r.broken_telex_count, r.run_on_word_count) == (5, 7, 1, 1, 1, run_on)
     assert r.oov_density == pytest.approx(5 / 6, abs=1e-6)
 
@@ -118,7 +125,8 @@ FUSION = [
 def test_fusion(spark):
     df = spark.createDataFrame([r[:5] for r in FUSION], "p double, risk double, reason string, sender string, text string")
     got = df.select(policy.fuse(*(F.col(c) for c in ("p", "risk", "reason", "sender", "text"))).alias("r")).select("r.*").collect()
-    assert [tuple(r) for r in got] == [r[5:] for r in FUSION]
+    assert [tuple(r)[:3] for r in got] == [r[5:] for r in FUSION]
+    assert [r.reason for r in got] == [K.REASONS[r.phase].replace("%s", f[2]) for r, f in zip(got, FUSION, strict=True)]
 
 
 def test_diacritics_keep_d(spark):
@@ -140,22 +148,86 @@ def test_metrics(spark):
 
 
 def test_models_train_on_the_whole_job(spark, monkeypatch):
-    """200 trees over the 27 features and the sender's type; fewer trees are grown here only."""
-    if not os.path.isdir("/root/testdata/sf0.001"):
+    """200 trees over the 27 features and the sender's type; the grid has 144 combinations of five folds."""
+    if not os.path.isdir(SF):
         pytest.skip("no test tables")
-    made, real = [], ml.estimator
-    training = queries._training(spark, "/root/testdata/sf0.001").cache()
+    training = queries._training(spark, SF).cache()
     assert training.columns == ["doc_id", "label", "sender_type", *K.FEATURES]
     monkeypatch.setattr(queries, "_training", lambda spark, d: training)
-    monkeypatch.setattr(ml, "estimator", lambda kind, trees=200: made.append((kind, trees)) or real(kind, 2))
-    found = {name: queries.QUERIES[name](spark, "").collect() for name in ("model_gbt", "model_rf", "model_dt", "feature_importance", "model_compare")}
-    assert made[:4] == [("boosted", 200), ("forest", 200), ("tree", 200), ("forest", 200)] and made[4:] == [("boosted", 200), ("forest", 200), ("tree", 200)]
-    assert sorted(r.feature for r in found["feature_importance"]) == sorted([*K.FEATURES, "sender_type"])
-    assert [r.model for r in found["model_compare"]] == ["boosted", "forest", "tree"]
-    assert math.prod(map(len, queries.GRID.values())) == 144
-    monkeypatch.setattr(queries, "GRID", {k: v[-1:] for k, v in queries.GRID.items()})
-    one = queries.QUERIES["grid_search"](spark, "").collect()
-    assert made[7:] == [("boosted", 200)] and len(one) == 1 and one[0].maxDepth == 6 and 0 <= one[0].auc <= 1
+    model = ml.train(training)
+    assert len(model.trees) == 200 and model.names() == [*K.FEATURES, "sender_type"]
+    assert len(ml.train(training, "forest").trees) == 200 and len(ml.train(training, "tree").trees) == 1
+    assert len(queries.QUERIES["feature_importance"](spark, "").collect()) == 20
+    compared = queries.QUERIES["model_compare"](spark, "").collect()
+    assert [r.model for r in compared] == ["boosted", "forest", "tree"] and [r.model for r in compared if r.best] == [max(compared, key=lambda r: r.f1).model]
+    saved = {r.doc_id: r.p for r in queries.QUERIES["model_saved"](spark, "").collect()}
+    assert saved == pytest.approx({r.doc_id: r.p for r in ml.predict(model, training).collect()})
+    assert math.prod(map(len, ml.GRID.values())) == 144
+    monkeypatch.setattr(ml, "GRID", {k: v[-1:] for k, v in ml.GRID.items()} | {"gamma": [0.0, 50.0]})
+    grid = queries.QUERIES["grid_search"](spark, "").collect()
+    assert len(grid) == 2 and all(r.folds == 5 for r in grid) and {r["rank"] for r in grid} == {1, 2}
+    assert next(r for r in grid if r.gamma == 50.0).mean_auc <= 0.65  # hardly a split is worth so much
+
+
+def test_model_inputs(spark):
+    """Senders that a model hasn't seen, and null ones, have the first code; null labels aren't learnt from; a sample is drawn beyond the bound."""
+    rng = random.Random(3)
+    rows = [(i, None if i % 40 == 0 else int(i % 3 == 0), "b" if i % 3 else "a", float(i % 3 == 0) + rng.random()) for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, label int, sender_type string, x double")
+    model = ml.train(df, "tree", features=["x"])
+    assert model.senders == ["a", "b"]
+    new = spark.createDataFrame([(s, 1.2) for s in ("a", "c", None)], "sender_type string, x double")
+    assert len({r.p for r in ml.predict(model, new).collect()}) == 1
+    assert len(ml.training_table(df, ["x"], most=100)[2]) < 200
+    assert ml.predict(model, new.limit(0)).count() == 0
+
+
+def _best_split(x, g, h, ridge):
+    """Over every feature and every threshold, by the definition of the gain."""
+    score = lambda rows: g[rows].sum() ** 2 / (h[rows].sum() + ridge)
+    every = np.ones(len(x), bool)
+    best = (0.0, None, None)
+    for f in range(x.shape[1]):
+        for t in (np.unique(x[:, f])[1:] + np.unique(x[:, f])[:-1]) / 2:
+            low = x[:, f] <= t
+            gain = 0.5 * (score(low) + score(~low) - score(every))
+            if gain > best[0] + 1e-9:
+                best = (gain, f, t)
+    return best
+
+
+def test_trees_against_all_splits():
+    rng = np.random.default_rng(5)
+    for ridge in (0.0, 1.0):
+        x = np.round(rng.normal(size=(80, 4)), 1)
+        y = (x[:, 1] + 0.3 * rng.normal(size=80) > 0.2).astype(int)
+        g, h = 0.5 - y, np.full(80, 0.25)
+        edges = trees.edges_of(x)
+        tree = trees.grow(trees.codes_of(x, edges), edges, g, h, trees.Growth(depth=2, ridge=ridge), np.arange(4), rng)
+        gain, f, _ = _best_split(x, g, h, ridge)
+        t = tree.threshold[0]
+        assert (tree.feature[0], tree.gain[0]) == (f, pytest.approx(gain))
+        for child, rows in ((tree.left[0], x[:, f] <= t), (tree.right[0], x[:, f] > t)):
+            gain, f2, _ = _best_split(x[rows], g[rows], h[rows], ridge)
+            assert (tree.feature[child] < 0) == (f2 is None) and (f2 is None or tree.gain[child] == pytest.approx(gain))
+        leaf = np.array([tree.value[i] for i in range(len(tree.value))])
+        assert np.isin(tree.values(x), leaf).all()
+    boosted = trees.Model("boosted", list("abcd"), None, trees.fit_boosted(x, y, trees.BOOSTED | {"trees": 30}), 0.05)
+    assert trees.auc(boosted.probabilities(x), y) > 0.95 and boosted.importances()[0][0] == "b"
+    pairs = [(p > q) + 0.5 * (p == q) for p, a in zip(boosted.probabilities(x), y, strict=True) if a for q, b in zip(boosted.probabilities(x), y, strict=True) if not b]
+    assert trees.auc(boosted.probabilities(x), y) == pytest.approx(np.mean(pairs)) and trees.auc(np.ones(3), np.ones(3, int)) is None
+
+
+def test_ranks_and_curves_by_ranges(spark):
+    rng = random.Random(8)
+    rows = [(i if i % 50 else None, i % 2, round(rng.random(), 2)) for i in range(1000)]
+    df = spark.createDataFrame(rows, "id long, label int, p double").repartition(3)
+    split = ml.stratified_split(df.filter("id is not null"), "id", "label").groupBy("label", "is_test").count().collect()
+    assert {(r.label, r.is_test): r["count"] for r in split} == {(0, True): 96, (0, False): 384, (1, True): 100, (1, False): 400}
+    assert sorted(r["count"] for r in ml.folds(df, "id", "label").groupBy("label", "fold").count().collect()) == [100] * 10
+    got = {r.threshold: (r.n, r.pos, r.above, r.hits) for r in ml.threshold_counts(df).collect()}
+    for t in got:
+        assert got[t] == (sum(p == t for *_, p in rows), sum(y for _, y, p in rows if p == t), sum(p >= t for *_, p in rows), sum(y for _, y, p in rows if p >= t))
 
 
 def test_domain_verdict_reads_pages(spark, tmp_path):
@@ -168,3 +240,140 @@ def test_domain_verdict_reads_pages(spark, tmp_path):
     pages.withColumn("html", F.col("html").cast(spark.read.parquet("/root/testdata/sf0.001/pages.parquet").schema["html"].dataType)).write.parquet(str(tmp_path / "pages.parquet"))
     got = {r.page_id: (r.status, r.risk) for r in queries.QUERIES["domain_verdict"](spark, str(tmp_path)).collect()}
     assert got == {3: ("LEGIT", -1.0), 9: ("PHISHING", 1.0), 15: ("LEGIT", -1.0), 27: ("PHISHING", 1.0)}
+
+
+def plain_mask(text):
+    """Masking by Python's own patterns, rule by rule."""
+    text, found = unicodedata.normalize("NFC", text or ""), dict.fromkeys(K.ENTITY_TAGS, 0)
+    i = regex.IGNORECASE
+
+    def rule(label, pattern, tag, flags=0, keyword=False):
+        nonlocal text
+        p = regex.compile(regex.sub(r"^\(\?i?U\)", "", pattern), flags)
+        found[label] += len(p.findall(text))
+        text = p.sub(lambda m: f"{m[1]} {tag}" if keyword else tag, text)
+
+    rule("zalo", K.ZALO, "<APP_LINK>", i)
+    rule("telegram", K.TELEGRAM, "<APP_LINK>", i)
+    rule("email", K.EMAIL, "<EMAIL>", i)
+    rule("url", mask.SHORTENER, "<URL>", i)
+    spaced = regex.compile(mask.OBFUSCATED.removeprefix("(?iU)"), i)
+
+    def odd(m):
+        s = m[0]
+        bad = s.count(" ") / len(s) >= 0.05 and not any(w in s.lower() for w in K.OBFUSCATION_EXEMPT) and len(s) >= 8
+        return bad and (" " in s.split(".")[0] or "(.)" in s or " . " in s or "( . )" in s)
+
+    found["url"] += sum(map(odd, spaced.finditer(text)))
+    text = spaced.sub(lambda m: "<URL>" if odd(m) else m[0], text)
+    for p in (mask.PROTOCOL, mask.SCHEMELESS_SAFE, mask.SCHEMELESS_RISKY):
+        rule("url", p, "<URL>", i)
+    text = regex.sub(r"\s+", " ", regex.sub(r"<URL>[\w.\-/]+", "<URL>", text)).strip()
+    rule("bank_acc", mask.BANK, "<BANK_ACC>", i, True)
+    for label, p in (("hotline", K.HOTLINE), ("landline", K.LANDLINE), ("mobile", K.MOBILE), ("shortcode", mask.KNOWN_SHORTCODE)):
+        rule(label, p, "<PHONE>")
+    rule("shortcode", mask.CONTEXT_SHORTCODE, "<PHONE>", i, True)
+    rule("datetime", K.DATETIME, "<TIME>", i)
+    rule("money", mask.MONEY, "<MONEY>", i)
+    rule("code", mask.CODE, "<CODE>")
+    rule("code", mask.OTP, "<CODE>")
+    return text, found
+
+
+def test_full_mask_against_plain_python(spark):
+    """All rules in their order, over texts of the tables and over made ones that hold every entity."""
+    rng = random.Random(4)
+    pieces = [*queries._APPS, *queries._SHORT, *queries._RISKY, *queries._LINKS, *queries._SPACED, *queries._ENTITIES, *(m[0] for m in MASKED if m[0]), "a.b@mail.example.com", "giờ tỷ đồng", "\n\t", "e\u0301"]
+    texts = [" ".join(rng.choice(pieces) for _ in range(rng.randrange(1, 6))) for _ in range(400)] + ["", None]
+    if os.path.isdir(SF):
+        texts += [r.text for r in spark.read.parquet(f"{SF}/documents.parquet").limit(60).collect()]
+    got = mask.mask(spark.createDataFrame(list(enumerate(texts)), "id int, text string"), entities=False).collect()
+    for r in got:
+        masked, found = plain_mask(texts[r.id])
+        assert r.masked == masked, texts[r.id]
+        assert {k: r[f"{k}_count"] for k in K.ENTITY_TAGS} == found, texts[r.id]
+
+
+def test_rows_of_equal_and_null_keys(spark):
+    """Features belong to rows: equal and null keys neither merge nor lose theirs; and a large dictionary gives what a small one gives."""
+    full = spark.createDataFrame([(w,) for w in ("xin", "chào", "không", "cơm")], "word string")
+    texts = [(1, "xkqz hottt abcdx kh0ng"), (1, "xkqz hottt abcdx kh0ng"), (None, "xkqz hottt abcdx kh0ng"), (None, "xin chào"), (2, ""), (2, None)]
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    dic = normalize.Dictionary.of(full)
+    large = normalize.Dictionary(dic.full, dic.shadow, False)
+    want = None
+    for d in (dic, large):
+        rows = sorted(map(tuple, normalize.extract_features(df, d).collect()), key=str)
+        assert len(rows) == len(texts) and len({r[1:] for r in rows if r[0] == 1}) == 1
+        assert {r[1:] for r in rows if r[0] == 1} < {r[1:] for r in rows if r[0] is None}
+        assert want is None or rows == want
+        want = rows
+    r = normalize.extract_features(df.limit(1), dic).first()
+    assert (r.oov_count, r.validated_leet_count, r.gibberish_count) == (3, 1, 2)
+    none = normalize.extract_features(df.limit(1), normalize.Dictionary.empty(spark)).first()
+    assert (none.oov_count, none.oov_density, none.validated_leet_count) == (4, 1.0, 0)
+
+
+FOLDS = [("ｖａｙ nhanh", "vay nhanh"), ("𝐯𝐚𝐲", "vay"), ("ﬁn ① ²", "fin 1 2"), ("йог Ё", "иог е"), ("Điều tra", "đieu tra"), ("e\u0301\u034fx", "e\u034fx"), ("한글", unicodedata.normalize("NFKD", "한글")), (None, None), ("", "")]
+
+
+def test_folding_of_any_script(spark):
+    texts = [t for t, _ in FOLDS] + ["".join(map(chr, range(a, a + 64))) for a in (*range(0x20, 0x600, 64), *range(0x1E00, 0x2200, 64), *range(0xFB00, 0xFFC0, 64)) if not 0xD800 <= a < 0xE000]
+    got = spark.createDataFrame(list(enumerate(texts)), "id int, t string").select("id", T.keyword_fold(F.col("t")).alias("f"), T.strip_diacritics(F.col("t")).alias("s")).collect()
+    lower = lambda s: s.replace("İ", "i̇")
+    for r in got:
+        t = texts[r.id]
+        if t is not None:
+            folded = "".join(c for c in unicodedata.normalize("NFKD", t) if not unicodedata.combining(c))
+            assert r.f.lower() == lower(folded).lower(), t
+            assert r.s == "".join(c for c in unicodedata.normalize("NFD", t) if unicodedata.category(c) != "Mn"), t
+    assert [next(r.f for r in got if r.id == i) for i in range(len(FOLDS))] == [f for _, f in FOLDS]
+
+
+def test_predictions(spark):
+    """The record of 8 fields, each phase by its evidence; both policies; the result table."""
+    dic = normalize.Dictionary.of(spark.createDataFrame([("xin",), ("vay",)], "word string"))
+    stump = trees.Model("tree", ["oov_count"], ["personal_number"], [trees.Tree([0, -1, -1], [2.5, 0.0, 0.0], [1, -1, -1], [2, -1, -1], [0.5, 0.1, 0.9], [1.0, 0.0, 0.0])])
+    cases = [
+        (1, "vao https://www.viettel.vn/km ngay", "brandname", "Authority Whitelist"), (2, "xem http://bad.example.com/x", "unknown", "Domain Risk"), (3, "docs https://docs.google.com/a va 1", "unknown", "Hybrid Safe"),
+        (4, "xin qwert zxcvb asdfg hjklm", "personal_number", "AI Detection"), (4, "anh oi qwert zxcvb asdfg hjklm", "personal_number", "Conversation Guard"), (None, "xin vay", "unknown", "Keyword Trigger"),
+        (6, "xin vay", "brandname", "AI Model"), (7, None, None, "AI Model"), (8, "momo http://good.example.com/y", "unknown", "Authority Whitelist"), (9, "http://10.0.0.1/x", "unknown", "AI Model"), (10, "xem http://own.example.net/p", "unknown", "Authority Whitelist"),
+    ]
+    messages = spark.createDataFrame([c[:3] for c in cases], "doc_id long, text string, sender string")
+    search = spark.createDataFrame([("momo", "example.com", 1, "https://www.example.com")], "brand string, domain string, rank int, href string")
+    fetched = spark.createDataFrame([("http://own.example.net/p", 200, '<a href="https://example.net/q">x</a>')], "url string, status int, html string")
+    got = predict.predictions(messages, stump, dic, search, fetched).collect()
+    assert got[0].__fields__ == ["doc_id", *predict.RECORD] and len(got) == len(cases)
+    phases = {(r.doc_id, r.text): r.phase for r in got}
+    assert phases == {c[:2]: c[3] for c in cases}
+    assert all(r.reason and r.is_smishing == (r.phase in ("Domain Risk", "Hybrid Warning", "AI Detection", "Keyword Trigger")) for r in got)
+    first = predict.predictions(messages, stump, dic, search, fetched, first_policy=True).collect()
+    assert {r.phase for r in first} == {"Domain Check (Phishing Detected)", "Domain Check (Verified Safe)", "AI Model"}
+    shown = predict.result_table(predict.predictions(messages, stump, dic, search, fetched)).collect()
+    assert {r.status for r in shown} == {K.STATUS_BAD, K.STATUS_CLEAN} and all(len(r.preview or "") <= 50 for r in shown)
+
+
+def test_labels_and_missing_files(spark):
+    rows = spark.createDataFrame([("1",), ("0",)], "label string")
+    assert [r[0] for r in rows.select(readers.strict_label(F.col("label"))).collect()] == [1, 0]
+    for bad in ("x", None):
+        with pytest.raises(Exception):  # noqa: B017
+            spark.createDataFrame([(bad,)], "label string").select(readers.strict_label(F.col("label"))).collect()
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        readers.load(spark, "/no/such/file.csv")
+
+
+def test_stream_goes_on_where_it_was(spark, tmp_path):
+    """Files that come later are masked by the same query, and no row comes twice."""
+    made = lambda i: spark.createDataFrame([(i, "mail a.b@mail.example.com")], "id long, text string").write.mode("append").parquet(str(tmp_path / "in"))
+    made(1)
+    schema = spark.read.parquet(str(tmp_path / "in")).schema
+
+    def run():
+        source = stream.masked_stream(spark.readStream.schema(schema).parquet(str(tmp_path / "in"))).select("id", "masked", "email_count")
+        source.writeStream.option("checkpointLocation", str(tmp_path / "state")).option("path", str(tmp_path / "out")).format("parquet").trigger(availableNow=True).start().awaitTermination()
+
+    run()
+    made(2)
+    run()
+    assert sorted(map(tuple, spark.read.parquet(str(tmp_path / "out")).collect())) == [(1, "mail <EMAIL>", 1), (2, "mail <EMAIL>", 1)]
