@@ -15,8 +15,14 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+#: Paths that this process has made and not yet discarded, in order.
+_made: list[str] = []
+
+
 def scratch_path(spark: SparkSession, what: str) -> str:
-    return f"{shared_dir(spark)}/smsward-{what}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/smsward-{what}-{uuid.uuid4().hex}"
+    _made.append(path)
+    return path
 
 
 def written(df: DataFrame, what: str) -> DataFrame:
@@ -24,3 +30,18 @@ def written(df: DataFrame, what: str) -> DataFrame:
     path = scratch_path(df.sparkSession, what)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def mark() -> int:
+    """A point to which discard() may go back."""
+    return len(_made)
+
+
+def discard(spark: SparkSession, since: int = 0, keep: int = 0) -> None:
+    """Deletes the tables made since a mark, but for the last `keep` of them: when all that is read from them has been written or consumed."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    stop = len(_made) - keep
+    for path in _made[since:stop]:
+        target = jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(conf).delete(target, True)
+    del _made[since:stop]
