@@ -499,6 +499,170 @@ def test_language(spark):
     assert language.identify(pages, docs.limit(0)).filter("lang is not null").count() == 0
 
 
+def test_convolution_is_the_naive_one(spark):
+    """Scores against word by word sums, every filter at every place; texts of no words, of fewer than a filter's width, and a long one."""
+    model = toxicity.TextCNN(seed=4)
+    rng = np.random.default_rng(2)
+    model.E = rng.normal(0, 0.5, model.E.shape).astype(np.float32)
+    model.b = [rng.normal(0, 0.2, b.shape).astype(np.float32) for b in model.b]
+    model.v, model.scale, model.shift = rng.normal(0, 0.4, model.v.shape).astype(np.float32), 0.8, -0.3
+    pick = random.Random(4)
+    docs = [(1, None), (2, ""), (3, "ban"), (4, "Ban, LOR?"), (5, sentence(pick, 30)), (5, sentence(pick, 7)), (None, sentence(pick, 30000)), (7, "ñandú 日本 x")]
+    df = spark.createDataFrame([(k, t, 0.5, 7) for k, t in docs], DOCS + ", toxicity double, score long")
+    got = toxicity.score(df, model).collect()
+    assert got[0].__fields__ == ["doc_id", "text", "score", "toxicity"] and len(got) == len(docs)
+    import pyarrow as pa
+
+    for r in got:
+        ((_, ids, _),) = toxicity._word_ids([pa.record_batch([pa.array([r.text], pa.string())], ["text"])])
+        if len(ids) > 1000:
+            assert 0 < r.toxicity < 1
+            continue
+        tops = []
+        for w, c, b in zip(toxicity.WIDTHS, model.C, model.b, strict=True):
+            for f in range(toxicity.FILTERS):
+                sums = [sum(float(model.E[ids[at + j]] @ c[j][:, f]) for j in range(w)) for at in range(len(ids) - w + 1)]
+                tops.append(max(0.0, max(sums) + float(b[f])))
+        z = sum(t * float(v) for t, v in zip(tops, model.v, strict=True)) + float(model.c)
+        assert r.toxicity == pytest.approx(1 / (1 + np.exp(-(0.8 * z - 0.3))), abs=1e-4)
+
+
+def test_training_is_bounded_where_ids_repeat(spark, monkeypatch):
+    """An id of many rows gives one text to the training, and texts beyond the bound of words none; long texts are scored all the same."""
+    monkeypatch.setattr(toxicity, "WORDS", 50)
+    rows = [(i, ("vile " if i % 2 else "") + sentence(random.Random(i), 20)) for i in range(200)]
+    rows += [(1, f"vile {i}") for i in range(300)] + [(900, "vile " * 60), (901, sentence(random.Random(3), 60))]
+    docs = spark.createDataFrame(rows, DOCS).withColumn("lang", F.lit("en"))
+    labels = spark.createDataFrame([(i, i % 2) for i in range(200)] + [(900, 1), (901, 0)], "doc_id long, label int")
+    seen = []
+    real = toxicity._train
+    monkeypatch.setattr(toxicity, "_train", lambda model, docs, y, weight: (seen.extend(len(d) for d in docs), real(model, docs, y, weight)))
+    model = toxicity.fit(docs, labels)
+    assert seen and max(seen) <= 52 and model is not None
+    got = [r.toxicity for r in toxicity.score(docs.filter("doc_id = 900"), model).collect()]
+    assert got[0] > 0.5
+    assert quality.fit(docs, labels) is not None and quality.fit(docs, labels.filter("label = 0")) is None
+
+
+def test_quality_is_the_dense_solution(spark):
+    """The partitions' sums against one solution over all training rows, and the statistics against plain counts."""
+    rng = random.Random(8)
+    texts = [sentence(rng, rng.randrange(1, 80)) + rng.choice(["", ".", "\nA b.\nA b.", " ### $$", " 123"]) for _ in range(300)]
+    docs = spark.createDataFrame(list(enumerate(texts)), DOCS)
+    labels = spark.createDataFrame([(i, i % 3 % 2) for i in range(300)], "doc_id long, label int")
+    model = quality.fit(docs, labels)
+    import pyarrow as pa
+
+    ((_, x),) = list(quality.statistics([pa.record_batch([pa.array(texts)], ["text"])]))
+    part = {r.doc_id: r.p for r in docs.select("doc_id", F.pmod(F.xxhash64("doc_id", F.lit(29)), F.lit(4)).alias("p")).collect()}
+    rows = np.array([i for i in range(300) if part[i] != 0])
+    y = np.array([i % 3 % 2 for i in range(300)])
+    assert model.mean == pytest.approx(x[rows].mean(0)) and model.spread == pytest.approx(x[rows].std(0) + 1e-3, abs=1e-6)
+    z = model.map(x[rows])
+    beta = np.linalg.solve(z.T @ z + quality.RIDGE * np.eye(z.shape[1]) * max(1.0, len(rows) * 1e-4), z.T @ y[rows])
+    assert model.beta == pytest.approx(beta, abs=1e-6)
+    for t, own in zip(texts, x, strict=True):
+        words, lines = t.split(), [line for line in t.split("\n") if line]
+        want = {"log_words": np.log1p(len(words)), "log_chars": np.log1p(len(t.encode())), "word_length": np.mean([len(w.encode()) for w in words]), "digit": sum(c.isdigit() for c in t) / len(t),
+                "repeated_lines": 1 - len(set(lines)) / len(lines), "distinct_words": len(set(words)) / len(words), "top_word": max(collections.Counter(words).values()) / len(words), "single_char_words": sum(len(w) == 1 for w in words) / len(words)}
+        assert {k: own[quality.NAMES.index(k)] for k in want} == pytest.approx(want)
+    ties = quality.isotonic(np.array([1.0, 1.0, 1.0, 2.0]), np.array([0.0, 1.0, 0.0, 1.0]))
+    assert (np.diff(ties[1]) >= 0).all()
+
+
+def test_language_fusion_recomputed(spark):
+    """Posteriors and priors page by page, from every other page, by plain sums."""
+    rng = random.Random(6)
+    words = {"aa": ["ouai", "elle", "tion", "queau"], "bb": ["schen", "keit", "unge", "stich"], "cc": ["zione", "gli", "mente", "degli"]}
+    text = lambda k, n: " ".join(rng.choice(words[k]) for _ in range(n))
+    docs = spark.createDataFrame([(text(k, 60), k) for k in words for _ in range(10)], "text string, lang string")
+    rows = []
+    for i in range(60):
+        k, n = rng.choice(list(words)), rng.choice([0, 1, 2, 20])
+        declared = rng.choice([k, "aa", "xx", ""])
+        html = f"<html lang='{declared}'><nav>{text('bb', 9)}</nav><p>{text(k, n)} &amp;</p>" if declared else f"<p>{text(k, n)}</p>"
+        rows.append((i, rng.choice(["http://a.example.org/fr/x", "http://b.example.org/y", f"http://{k}.example.net/", None]), None if i % 17 == 0 else html, "clash"))
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, lang string")
+    got = {r.page_id: r for r in language.identify(pages, docs).collect()}
+    model = language.fit(docs)
+    assert model.langs == list(words)
+    import pyarrow as pa
+
+    post, score, keys = {}, {}, {}
+    for i, url, html, _ in rows:
+        batch = pa.record_batch([pa.array([language.main_text(html or "")])], ["text"])
+        ((_, gram, row),) = list(language._grams([batch]))
+        counts = np.zeros((3, language.BUCKETS))
+        for g in range(language.BUCKETS):
+            for e in range(model.first[g], model.first[g + 1]):
+                counts[model.lang[e], g] = np.exp(model.gain[e]) * language.FLOOR - language.FLOOR
+        like = np.log((counts + language.FLOOR) / (counts + language.FLOOR).sum(1, keepdims=True))
+        own = like[:, gram].mean(1) * min(len(gram), language.WEIGHT) if len(gram) else np.zeros(3)
+        own = own - own.max()
+        p = np.exp(own) / np.exp(own).sum()
+        post[i] = np.where(p >= language.LEAST, p, 0) if len(gram) else np.zeros(3)
+        score[i] = np.where(p >= language.LEAST, own, np.log(language.LEAST)) if len(gram) else np.zeros(3)
+        host = re.match(r"[^/?#]*", url.split("://", 1)[1])[0] if url else ""
+        path = url.split("://", 1)[1][len(host) :] if url else ""
+        lang = re.match(r"/([a-z]{2})(?:/|$)", path)
+        claim = re.search(r"<html\b[^<>]*?\blang='([a-z]{2})", html or "")
+        keys[i] = (host, host.rsplit(".", 1)[-1] + "/" + (lang[1] if lang else ""), claim[1] if claim else "")
+    world = 1 + sum(post.values())
+    world = world / world.sum()
+    share = lambda own, up: (own + language.SMOOTH * up) / (own + language.SMOOTH * up).sum()
+    others = lambda i, fits: sum((post[j] for j in post if j != i and fits(keys[j])), np.zeros(3))
+    for i, (host, suffix, claim) in keys.items():
+        by_host = share(others(i, lambda k: k[:2] == (host, suffix)), share(others(i, lambda k: k[1] == suffix), world))
+        by_claim = share(others(i, lambda k: k[2] == claim), world)
+        logit = score[i] + np.log(by_host) + (np.log(by_claim) - np.log(world) if claim else 0)
+        p = np.exp(logit - logit.max()) / np.exp(logit - logit.max()).sum()
+        assert got[i].confidence == pytest.approx(p.max(), abs=2e-3) and (p[list(words).index(got[i].lang)] == pytest.approx(p.max(), abs=1e-3))
+        assert got[i].text_lang == (list(words)[int(post[i].argmax())] if post[i].any() else None)
+
+
+def test_language_of_many_languages(spark):
+    """Rare languages beyond any former bound are models too; and pages that are made to be slow are not."""
+    rng = random.Random(2)
+    words = {f"q{chr(97 + i // 26)}{chr(97 + i % 26)}": ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(8)] for i in range(230)}
+    docs = spark.createDataFrame([(" ".join(rng.choice(w) for _ in range(40)), k) for k, w in words.items()] + [("the of and " * 30, "en")] * 400, "text string, lang string")
+    pages = [(i, None, "<p>" + " ".join(rng.choice(words[k]) for _ in range(60))) for i, k in enumerate(words)]
+    pages += [(900, None, "<script>" * 20000), (901, None, "<html " * 20000), (902, None, "<!-- " * 20000 + "<article>" * 20000), (903, None, "x " * 200000)]
+    got = {r.page_id: r.text_lang for r in language.identify(spark.createDataFrame(pages, "page_id long, url string, html string"), docs).collect()}
+    assert sum(got[i] == k for i, k in enumerate(words)) >= 225 and len(got) == len(pages)
+    assert language.identify(spark.createDataFrame([], "page_id long, url string, html string"), docs).count() == 0
+
+
+@pytest.mark.parametrize("html, text", [
+    ("<p>a</p><nav>b</nav>c", "a c"), ("x<article>in</article>y", "in"), ("<main> </main>y", "y"), ("a<!-- <p>b -->c", "a c"), ("a<script>if (a<b) x</script>c", "a c"), ("a<script>b", "a"), ("<div class=\"ad\">b</div>c &amp; d", "c d"), ("<ARTICLE>in<Style>b</STYLE>side</ARTICLE>", "in side"),
+])
+def test_main_text(html, text):
+    assert language.main_text(html).split() == text.split()
+
+
+def test_near_duplicate_recall(spark):
+    """Every text whose id is divisible by 50 against all others: links by plain or probability Jaccard of 0.8 or more are in one group."""
+    rng = random.Random(21)
+    rows = []
+    for i in range(0, 3000, 50):
+        words = sentence(rng, rng.randrange(30, 200)).split()
+        words = [w + str(rng.randrange(30)) for w in words]
+        rows.append((i, " ".join(words)))
+        for j in range(1, 5):
+            own = [w if rng.random() > 0.012 * j else "changed" for w in words] + words[:5] * rng.randrange(3)
+            rows.append((i + j, " ".join(own)))
+    sets = {k: collections.Counter(tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)) for k, t in rows}
+    group = {r.doc_id: r.group_id for r in minhash.near_duplicates(spark.createDataFrame(rows, DOCS)).collect()}
+    links = found = 0
+    for a in range(0, 3000, 50):
+        for b in sets:
+            if a != b:
+                plain = len(sets[a].keys() & sets[b].keys()) / len(sets[a].keys() | sets[b].keys())
+                if plain >= 0.8:
+                    links += 1
+                    found += group[a] == group[b]
+    assert links > 80 and found >= 0.98 * links
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 
@@ -521,6 +685,92 @@ def test_pipeline(spark, tmp_path):
     assert out.keys() == kept.keys() and out[303] == 0
 
 
+def test_pipeline_run_against_brute_force(spark, tmp_path):
+    """run() against each stage done plainly: naive scores, all pairs of shingle sets, all alignments, text by text spans, the tokenizers library."""
+    tokenizers, P = pytest.importorskip("tokenizers"), pytest.importorskip("public_tokenizers")
+    import corpus_pipeline
+
+    rng = random.Random(13)
+    long = lambda n: " ".join(f"{rng.choice(WORDS)}{rng.randrange(40)}" for _ in range(n))
+    items = [(i, long(n)) for i, n in enumerate((14, 25, 40, 7, 3))]
+    rows = [(i, long(60) + (" vile awful" if i % 5 == 0 else "")) for i in range(120)]
+    for i in range(1, 40, 3):
+        own = rows[i][1].split()
+        for j in rng.sample(range(len(own)), 1):
+            own[j] = "other"
+        rows.append((200 + i, " ".join(own)))
+    rows += [(300 + i, f"{long(9)} {t} {long(9)}") for i, (_, t) in enumerate(items)] + [(310, items[4][1]), (311, " ".join(w if j % 9 else "sub" for j, w in enumerate(items[2][1].split())))]
+    rows += [(320, "write to a.b@mail.example.org or +1 (202) 555-0101 " + long(20)), (321, "card 4111111111111111 " + long(20)), (322, None), (323, ""), (324, "a<|endoftext|>b"), (325, rows[3][1]), (None, long(30))]
+    full = [(k, t, "en" if j % 2 else None, "s", len(t or "")) for j, (k, t) in enumerate(rows)]
+    spark.createDataFrame(full, DOCS + ", lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, 1, int(i % 5 == 0)) for i in range(120)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = sorted((str(r.doc_id), r.lang, r.source, r.n_tokens, bytes(r.ids)) for r in corpus_pipeline.run(spark, str(tmp_path)).collect())
+
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    labels = spark.read.parquet(f"{tmp_path}/labels.parquet").filter(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 != 2).select("doc_id", F.col("toxic").alias("label"))
+    model = toxicity.fit(docs, labels)
+    scores = {(str(r.doc_id), r.text): r.toxicity for r in toxicity.score(docs, model).collect()}
+    kept = [(k, t, lang) for k, t, lang, *_ in full if scores[str(k), t] < model.cuts.get(lang, model.cuts[""])]
+    assert 60 < len(kept) < len(full)
+
+    def shingles(t):
+        w = re.findall(r"[^\W_]+", (t or "").lower())
+        return frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else (t or "",)
+
+    sets, root = [shingles(t) for _, t, _ in kept], list(range(len(kept)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(kept)):
+        for j in range(i):
+            a, b = sets[i], sets[j]
+            if (kept[i][1] or "") == (kept[j][1] or "") or isinstance(a, frozenset) and isinstance(b, frozenset) and len(a & b) >= 0.8 * len(a | b):
+                root[find(i)] = find(j)
+    groups = collections.defaultdict(list)
+    for i, (k, *_) in enumerate(kept):
+        groups[find(i)].append((k is None, k or 0, i))
+    kept = [kept[min(g)[2]] for g in groups.values()]
+
+    def dirty(t):
+        doc = re.findall(r"[^\W_]+", (t or "").lower())
+        for _, item in items:
+            it = re.findall(r"[^\W_]+", item.lower())
+            if len(it) < 5:
+                if doc == it:
+                    return True
+                continue
+            for s in range(-len(it) + 1, len(doc)):
+                same = [0 <= k + s < len(doc) and doc[k + s] == w for k, w in enumerate(it)]
+                a, b = max(0, -s), min(len(it), len(doc) - s)
+                if any(5 * sum(same[x:y]) >= 4 * (y - x) for x in range(a, b) for y in range(x + min(12, len(it)), b + 1)):
+                    return True
+        return False
+
+    kept = [(k, t, lang) for k, t, lang in kept if not dirty(t)]
+    assert 310 not in {k for k, *_ in kept} and 311 not in {k for k, *_ in kept} and {320, 321, 324} <= {k for k, *_ in kept}
+    frame_ = spark.createDataFrame([(k, t) for k, t, _ in kept], DOCS)
+    field, own = pii.fit(frame_), tokenizers.Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    want = []
+    for k, t, lang in kept:
+        ids = own.encode(pii.redact(t, pii.find(t, field)[1]) if t else "", add_special_tokens=False).ids
+        want.append((str(k), lang, "s", len(ids), np.array(ids, "<u4").tobytes()))
+    key = lambda x: (x[0], str(x[1]), x[4])
+    assert sorted(got, key=key) == sorted(want, key=key)
+
+
+def test_pipeline_of_empty_tables(spark, tmp_path):
+    import corpus_pipeline
+
+    spark.createDataFrame([], DOCS + ", lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
+
+
 @pytest.mark.parametrize("share", [0.0, 0.2, 1.0])
 def test_join_groups(spark, monkeypatch, share):
     """All groups broadcast, the hot one only, and none: the same rows, each once."""
