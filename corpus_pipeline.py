@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from smsward.llm import bpe, decontaminate, minhash, pii, toxicity
 from smsward.llm.common import table, written
+from smsward.scratch import discard, mark
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,12 +50,13 @@ STAGES = [
     ("bpe", encode),
 ]
 
-#: SQL can express neither the classifier nor the sketches; tests/llm compares run() with brute force.
+#: SQL can express neither the classifier nor the sketches; tests/llm compares run() with each stage done plainly.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, since = table(spark, sf_dir, "documents"), mark()
     for name, stage in STAGES:
         docs = written(stage(spark, docs, sf_dir), name)
+        discard(spark, since, keep=1)  # what the stage and its predecessor wrote
     return docs
