@@ -38,6 +38,8 @@ def _class(letters: list[str]) -> str:
     return "[" + "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in parts) + "]"
 
 
+#: The letters of words in both cases, with those that fold to them, as ranges: Java tests a few ranges much faster than a list or the case flag.
+LETTERS = _class([*"abcdefghijklmnopqrstuvwxyz", *"ABCDEFGHIJKLMNOPQRSTUVWXYZ", *K.VIETNAMESE, *K.VIETNAMESE.upper(), *"ſıİ"])[1:-1]
 #: As _BY_TABLE, less the letters that have a compatibility form.
 _BY_TABLE_K = "^" + _class([c for c in map(chr, [*range(0x370), *range(0x1E00, 0x1F00)]) if _without_marks(c, "NFKD") == ("" if unicodedata.category(c) == "Mn" else _FOLDED.get(c, c))]) + "*+$"
 
@@ -114,7 +116,7 @@ def classify_sender(sender: Column) -> Column:
 
 def tokens(text: Column) -> Column:
     """Tags as they are; runs of letters and digits, lower-cased."""
-    found = F.regexp_extract_all(text, F.lit(rf"(?iu)<[A-Z_]+>|[{WORD}]+"), F.lit(0))
+    found = F.regexp_extract_all(text, F.lit(rf"<[A-Za-z_]+>|[0-9{LETTERS}]+"), F.lit(0))
     return F.transform(found, lambda t: F.when(t.startswith("<"), t).otherwise(F.lower(t)))
 
 

@@ -13,12 +13,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from smsward import constants as K
-from smsward.functions.text import char_count, fold_letters, nfc, strip_diacritics, tokens
+from smsward.functions.text import LETTERS, char_count, fold_letters, nfc, strip_diacritics, tokens
 from smsward.operators.mask import mask
 from smsward.scratch import written
 
-_WORDS = rf"(?iU)\b[a-zA-Z{K.VIETNAMESE}]+\b"
-_BANG = rf"(?iU)(?<=[a-zA-Z{K.VIETNAMESE}])!(?=[a-zA-Z{K.VIETNAMESE}])"
+_WORDS = rf"(?U)\b[{LETTERS}]+\b"
+_BANG = rf"(?iU)(?<=[{LETTERS}])!(?=[{LETTERS}])"
 SMALL = 64 << 20
 _SEPARATOR = r"['\-~:;,.\"*^{}\[\]()/|\\!]"
 #: A tag becomes letters, so that a digit beside it counts as it would beside a word; no text is lost whatever their number.
@@ -26,12 +26,12 @@ _HIDE, _SHOW = (r"<([A-Z_]+)>", "ZQXTAG$1GATXQZ"), (r"(?i)ZQXTAG([A-Z_]+?)GATXQZ
 
 
 def normalize(df: DataFrame, text: str = "masked") -> DataFrame:
-    """df with leet and separator counts, original_words, decoded_words, normalized and tokens."""
+    """df with leet and separator counts, normalized and tokens; and of texts that decoding changed, original_words and decoded_words."""
     keep = df.columns
     out = df.withColumn("_t", F.regexp_replace(nfc(F.coalesce(F.col(text), F.lit(""))), *_HIDE))
     out = out.withColumns({
         "leet_count": char_count(F.col("_t"), K.LEET_COUNTED), "_char": char_count(F.col("_t"), "@$"),
-        "original_words": F.transform(F.regexp_extract_all("_t", F.lit(_WORDS), F.lit(0)), lambda w: F.lower(w)),
+        "_o": F.col("_t"),
     })
     out = out.withColumn("_t", F.translate("_t", *K.LEET_MAP))
     groups: dict[str, list[str]] = {"teencode": [], "visual": [], "symbol": []}
@@ -44,11 +44,13 @@ def normalize(df: DataFrame, text: str = "masked") -> DataFrame:
         count, text_ = F.when(hit, F.regexp_count("_t", F.lit(p))).otherwise(0), F.when(hit, F.regexp_replace("_t", p, to)).otherwise(F.col("_t"))
         out = out.select(*[c for c in out.columns if c != "_t"], count.alias(f"_n{i}"), text_.alias("_t"))
     total = lambda cols: sum((F.col(c) for c in cols[1:]), F.col(cols[0]))
+    decoded, none = F.col("_t") != F.col("_o"), F.array().cast("array<string>")
     out = out.withColumns({"teencode_count": total(groups["teencode"]), "visual_leet_count": total(groups["visual"]), "_bang": total(groups["symbol"])})
     out = out.withColumns({
         "symbol_leet_count": F.col("_char") + F.col("_bang"),
         "weighted_leet_score": F.round(1.5 * F.col("_char") + 0.3 * F.col("teencode_count") + F.col("visual_leet_count") + 1.2 * F.col("_bang"), 6),
-        "decoded_words": F.regexp_extract_all(F.regexp_replace("_t", *_SHOW), F.lit(_WORDS), F.lit(0)),
+        "original_words": F.when(decoded, F.transform(F.regexp_extract_all("_o", F.lit(_WORDS), F.lit(0)), lambda w: F.lower(w))).otherwise(none),
+        "decoded_words": F.when(decoded, F.regexp_extract_all(F.regexp_replace("_t", *_SHOW), F.lit(_WORDS), F.lit(0))).otherwise(none),
         "separator_count": F.regexp_count("_t", F.lit(_SEPARATOR)),
         "_t": F.trim(F.regexp_replace(F.regexp_replace("_t", _SEPARATOR, " "), r"(?U)\s+", " ")),
     })
