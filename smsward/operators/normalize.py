@@ -39,7 +39,7 @@ def normalize(df: DataFrame, text: str = "masked") -> DataFrame:
     for i, (group, pattern, to) in enumerate(steps):
         groups[group].append(f"_n{i}")
         p = pattern if pattern.startswith("(?iU)") else f"(?iU){pattern}"
-        held = next((c for c in "013458!" if c in pattern.replace("[a-zA-Z0-9", "")), None)  # what all matches hold
+        held = "!" if pattern is _BANG else next((c for c in "013458" if c in pattern), None)  # what all matches hold
         hit = F.contains("_t", F.lit(held)) if held else F.col("_t").rlike("(?iu)[ck][ko]")
         count, text_ = F.when(hit, F.regexp_count("_t", F.lit(p))).otherwise(0), F.when(hit, F.regexp_replace("_t", p, to)).otherwise(F.col("_t"))
         out = out.select(*[c for c in out.columns if c != "_t"], count.alias(f"_n{i}"), text_.alias("_t"))
