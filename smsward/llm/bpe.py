@@ -24,8 +24,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-STORE, OVERHEAD = 96 << 20, 200
-PAIRS = 400_000
+STORE, OVERHEAD = 64 << 20, 200
+PAIRS = 300_000
 _SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 _READY: dict[int, Codec] = {}
 
