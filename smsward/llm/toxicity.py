@@ -1,6 +1,7 @@
 """Toxic texts: a convolutional classifier over hashed word embeddings, trained in numpy.
 
-Words fall into BUCKETS hash buckets, each with a small embedding; filters of widths 1 to 3 slide over the
+Words, and their beginnings of STEM bytes, fall into BUCKETS hash buckets, each with a small embedding, and a word's vector is the
+sum of both, so an inflected form that was never seen has its stem's; filters of widths 1 to 3 slide over the
 words, each filter's maximum over the whole text is taken, and a logistic layer scores the maxima. After
 training, embedding times filter is tabulated, so a text costs a few table look-ups a word.
 
@@ -26,26 +27,32 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from smsward.llm.common import LETTERS, U64, blocks, within
+from smsward.llm.common import LETTERS, U64, blocks, mix, within
 
 BUCKETS = 1 << 16
+STEM = 5
 WIDTHS = (1, 2, 3)
 DIM, FILTERS = 8, 6
 SAMPLE, WORDS = 5000, 20_000
 THRESHOLD = 0.3
+#: Of the log odds that a word and its beginning start with, as they add up.
+SHARE = 0.6
 
 
 def _word_ids(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
-    """Rows, bucket of each word, and first word of each row; each row is led and followed by padding (bucket 0)."""
+    """Rows; buckets of each word (first line) and of its beginning (second); and first word of each row; each row is led and followed by padding (bucket 0)."""
     for block in blocks(batches, "text", lower=True):
         block.words(LETTERS)
-        ids = (block.hashes() % U64(BUCKETS - 1)).astype(np.int32) + 1
+        whole = block.hashes()
+        block.end = np.minimum(block.end, block.start + STEM)
         n = np.diff(block.first)
         size = np.maximum(n, 1) + 2
         first = np.concatenate([[0], np.cumsum(size)])
-        out = np.zeros(first[-1], np.int32)
+        out = np.zeros((2, first[-1]), np.int32)
         doc, place = within(n)
-        out[first[doc] + 1 + place] = ids
+        spot = first[doc] + 1 + place
+        out[0, spot] = (whole % U64(BUCKETS - 1)).astype(np.int32) + 1
+        out[1, spot] = (mix(block.hashes() + U64(1)) % U64(BUCKETS - 1)).astype(np.int32) + 1
         yield block.rows, out, first
 
 
@@ -72,10 +79,12 @@ class TextCNN:
         """Maxima of each filter over each text; with arg, also the places they stand at."""
         tops, places = [], []
         for w, parts, b in zip(WIDTHS, tables, self.b, strict=True):
-            n = len(ids) - w + 1
-            a = parts[0][ids[:n]]
+            n = ids.shape[1] - w + 1
+            a = parts[0][ids[0, :n]]
+            a += parts[0][ids[1, :n]]
             for j in range(1, w):
-                a += parts[j][ids[j : n + j]]
+                a += parts[j][ids[0, j : n + j]]
+                a += parts[j][ids[1, j : n + j]]
             last = np.minimum(first[1:] - w + 1, n)
             stop = np.stack([first[:-1], last], 1).ravel()
             stop[1::2] = np.maximum(stop[1::2], stop[::2] + 1)
@@ -117,9 +126,10 @@ def _train(model: TextCNN, docs: list[np.ndarray], y: np.ndarray, weight: np.nda
         for k in range(0, len(order), batch):
             part = order[k : k + batch]
             adam.t += 1
-            ids = np.concatenate([docs[i] for i in part])
-            first = np.concatenate([[0], np.cumsum([len(docs[i]) for i in part])])
+            ids = np.concatenate([docs[i] for i in part], 1)
+            first = np.concatenate([[0], np.cumsum([docs[i].shape[1] for i in part])])
             used, local = np.unique(ids, return_inverse=True)
+            local = local.reshape(ids.shape)
             tables = [[model.E[used] @ c[j] for j in range(w)] for w, c in zip(WIDTHS, model.C, strict=True)]
             h, places = model.pooled(local, first, tables, arg=True)
             p = 1 / (1 + np.exp(-np.clip(h @ model.v + model.c, -30, 30)))
@@ -131,9 +141,10 @@ def _train(model: TextCNN, docs: list[np.ndarray], y: np.ndarray, weight: np.nda
                 for f in range(FILTERS):
                     d, at = dh[:, k2 * FILTERS + f], places[k2 * FILTERS + f]
                     for j in range(w):
-                        word = local[np.minimum(at + j, len(local) - 1)]
-                        dC[j, :, f] = d @ model.E[used[word]]
-                        np.add.at(moves, word, d[:, None] * model.C[k2][j, :, f])
+                        for line in local:
+                            word = line[np.minimum(at + j, len(line) - 1)]
+                            dC[j, :, f] += d @ model.E[used[word]]
+                            np.add.at(moves, word, d[:, None] * model.C[k2][j, :, f])
                 adam.step(("b", k2), model.b[k2], dh[:, k2 * FILTERS : (k2 + 1) * FILTERS].sum(0))
                 adam.step(("C", k2), model.C[k2], dC)
             adam.step("v", model.v, h.T @ g)
@@ -160,7 +171,7 @@ def fit(documents: DataFrame, labelled: DataFrame, sample: int = SAMPLE) -> Text
     def ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, out, first in _word_ids(batches):
             short = np.diff(first) <= WORDS + 2
-            flat = [out[a:b].astype("<i4").tobytes() for a, b in zip(first[:-1][short], first[1:][short], strict=True)]
+            flat = [out[:, a:b].astype("<i4").tobytes() for a, b in zip(first[:-1][short], first[1:][short], strict=True)]
             part = part.filter(pa.array(short))
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("label"), part.column("lang"), pa.array(flat, pa.binary())], ["doc_id", "label", "lang", "ids"])
 
@@ -169,7 +180,7 @@ def fit(documents: DataFrame, labelled: DataFrame, sample: int = SAMPLE) -> Text
     got = sorted((r.doc_id, r.label, r.lang or "", bytes(r.ids)) for r in one.toLocalIterator())
     if len({r[1] for r in got}) < 2:
         return None
-    docs, y = [np.frombuffer(r[3], "<i4") for r in got], np.array([r[1] for r in got])
+    docs, y = [np.frombuffer(r[3], "<i4").reshape(2, -1) for r in got], np.array([r[1] for r in got])
     weight = np.where(y == 1, 1 / share[1], 1 / share[0])
     part = np.array([zlib.crc32(b"part %d" % r[0]) % 20 for r in got])
     start, learn, rest = part < 9, (part >= 9) & (part < 16), part >= 16
@@ -181,7 +192,7 @@ def fit(documents: DataFrame, labelled: DataFrame, sample: int = SAMPLE) -> Text
     base = (y * weight).sum() / weight.sum()
     seen, pos = present[0] + present[1], present[1]
     rate = (pos + 3 * base) / (seen + 3)
-    model.E[:, 0] = np.clip(np.log(rate / (1 - rate + 1e-3)) - np.log(base / (1 - base)), -3, 4)
+    model.E[:, 0] = SHARE * np.clip(np.log(rate / (1 - rate + 1e-3)) - np.log(base / (1 - base)), -3, 4)
     model.E[0] = 0
     chosen = np.flatnonzero(learn)
     if len(set(y[chosen])) == 2:
@@ -189,8 +200,8 @@ def fit(documents: DataFrame, labelled: DataFrame, sample: int = SAMPLE) -> Text
         _train(model, [docs[i] for i in chosen], y[chosen], (balance / balance.mean())[chosen])
     tables = model.tables()
     held = np.flatnonzero(rest) if len(set(y[rest])) == 2 else np.arange(len(y))
-    first = np.concatenate([[0], np.cumsum([len(docs[i]) for i in held])])
-    z = model.logits(np.concatenate([docs[i] for i in held]), first, tables).astype(float)
+    first = np.concatenate([[0], np.cumsum([docs[i].shape[1] for i in held])])
+    z = model.logits(np.concatenate([docs[i] for i in held], 1), first, tables).astype(float)
     _calibrate(model, z, y[held], weight[held])
     p = 1 / (1 + np.exp(-np.clip(model.scale * z + model.shift, -30, 30)))
     langs, y, weight = np.array([got[i][2] for i in held]), y[held], weight[held]
