@@ -24,9 +24,13 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-STORE, OVERHEAD = 64 << 20, 200
+STORE, OVERHEAD = 96 << 20, 200
 PAIRS = 300_000
 _SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+#: For text of ASCII and Latin letters only, the same split by the standard library, which is faster.
+_LATIN = "A-Za-zÀ-ÖØ-öø-ɏ"
+_PLAIN = re.compile(rf"[\t\n\v\f\r -~{_LATIN}]*")
+_SPLIT_PLAIN = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LATIN}]+| ?[0-9]+| ?[^\s{_LATIN}0-9]+|\s+(?!\S)|\s+")
 _READY: dict[int, Codec] = {}
 
 
@@ -51,6 +55,10 @@ def _shared(a: bytes, b: bytes) -> int:
     return low
 
 
+def words_of(text: str) -> list[str]:
+    return _SPLIT_PLAIN.findall(text) if _PLAIN.fullmatch(text) else _SPLIT.findall(text)
+
+
 class Codec:
     """Encoder and decoder of a tokenizers file with a ByteLevel pre-tokenizer and a BPE model."""
 
@@ -68,9 +76,22 @@ class Codec:
         self.special = {t["content"]: t["id"] for t in special}
         self.cut = re.compile("(" + "|".join(re.escape(t) for t in sorted(self.special, key=len, reverse=True)) + ")") if special else None
         self.ids = {raw(t): i for t, i in model["vocab"].items() if t not in self.special}
-        self.longest = max(map(len, self.ids))
-        #: Every ending of every token, with the token that it is, if any.
-        self.endings = {t[i:]: -1 for t in self.ids for i in range(len(t))} | self.ids
+        #: The trie of all tokens read from their ends: the state after a state and a byte; of a state the one before, its token, if any,
+        #: and (made when first asked for) the tokens that end there with their lengths, the longest first.
+        self.steps: dict[int, int] = {}
+        self.before, self.token_at = array("i", [0]), array("i", [-1])
+        for token, i in self.ids.items():
+            state = 0
+            for byte in reversed(token):
+                key = state << 8 | byte
+                after = self.steps.get(key)
+                if after is None:
+                    after = self.steps[key] = len(self.token_at)
+                    self.before.append(state)
+                    self.token_at.append(-1)
+                state = after
+            self.token_at[state] = i
+        self.ending: list[tuple[tuple[int, int], ...] | None] = [None] * len(self.token_at)
         self.raw = {i: t for t, i in self.ids.items()} | {i: t.encode() for t, i in self.special.items()}
         self.four = {i: i.to_bytes(4, "little") for i in self.raw}
         self.merges: dict[tuple[int, int], int] = {}
@@ -80,7 +101,7 @@ class Codec:
             self.merges.setdefault((left, right), rank)
             self.made.setdefault(self.ids[raw(a) + raw(b)], (rank, left, right))
         self.edges: tuple[dict, dict] = {}, {}
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.pairs: dict[int, bool] = {}
         self.whole: dict[int, bool] = {}
         self.words: dict[str, bytes] = {}
         self.held = 0  # bytes of the store, about
@@ -121,6 +142,16 @@ class Codec:
         own = self.merges[a, b]
         return all((r := self.merges.get((x, y))) is None or (x, y) == (a, b) or not (r < x_ends and r <= y_ends) or r > own for x, x_ends in self.edge(a, True) for y, y_ends in self.edge(b, False))
 
+    def ends(self, state: int) -> tuple[tuple[int, int], ...]:
+        """Length and number of each token that ends where the state's bytes end, the longest first."""
+        at, path = state, []
+        while at:
+            path.append(at)
+            at = self.before[at]
+        made = tuple((n, self.token_at[x]) for n, x in zip(range(len(path), 0, -1), path, strict=True) if self.token_at[x] >= 0)
+        self.ending[state] = made
+        return made
+
     def learn(self, new: set[str]) -> dict[str, bytes]:
         """Encodings of words, by one depth-first walk of the trie of all of them.
 
@@ -130,25 +161,25 @@ class Codec:
         if len(self.pairs) > PAIRS:
             self.pairs.clear()
         made: dict[str, bytes] = {}
-        endings, four, pairs, longest = self.endings, self.four, self.pairs, self.longest
-        last, cut = array("q", [-1]), array("q", [0])  # of the prefix of each length on the path: last token, length without it
+        step, ending, four, pairs = self.steps.get, self.ending, self.four, self.pairs
+        last, cut = [-1], [0]  # of the prefix of each length on the path: last token, length without it
         before = b""
         for raw, word in sorted((w.encode(), w) for w in new):
             depth = _shared(before, raw)
             del last[depth + 1 :], cut[depth + 1 :]
             before = raw
             for depth in range(depth + 1, len(raw) + 1):
-                found, start, least = [], depth - 1, max(0, depth - longest)
-                while start >= least and (token := endings.get(raw[start:depth])) is not None:
-                    if token >= 0:
-                        found.append((start, token))
+                state, start = 0, depth
+                while start and (after := step(state << 8 | raw[start - 1])):
+                    state = after
                     start -= 1
-                for start, token in reversed(found):
+                for size, token in ending[state] or self.ends(state):
+                    start = depth - size
                     if start:
-                        pair = last[start], token
+                        pair = last[start] << 32 | token
                         fits = pairs.get(pair)
                         if fits is None:
-                            fits = pairs[pair] = self.fits(*pair)
+                            fits = pairs[pair] = self.fits(last[start], token)
                     else:
                         fits = self.alone(token)
                     if fits:
@@ -166,9 +197,9 @@ class Codec:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text, as little-endian unsigned 32-bit numbers."""
-        pieces = [[p if p in self.special and i % 2 else _SPLIT.findall(p) for i, p in enumerate(self.cut.split(t) if self.cut else [t])] for t in texts]
+        pieces = [[p if p in self.special and i % 2 else words_of(p) for i, p in enumerate(self.cut.split(t) if self.cut else [t])] for t in texts]
         known = self.words
-        new = {w for text in pieces for p in text if isinstance(p, list) for w in p if w not in known}
+        new = set().union(*(p for text in pieces for p in text if isinstance(p, list))).difference(known)
         made = self.learn(new)
         known |= made
         self.held += sum(len(w) + len(x) + OVERHEAD for w, x in made.items())
