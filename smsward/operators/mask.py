@@ -100,7 +100,7 @@ REGISTRY: list[MaskRule] = [
     pattern_rule("hotline", "(?U)" + K.HOTLINE, "<PHONE>", "1[89]00"),
     pattern_rule("landline", "(?U)" + K.LANDLINE, "<PHONE>", r"02\p{Nd}"),
     pattern_rule("mobile", "(?U)" + K.MOBILE, "<PHONE>", "84|0[35789]"),
-    pattern_rule("shortcode", KNOWN_SHORTCODE, "<PHONE>", "|".join(K.SHORTCODES)),
+    pattern_rule("shortcode", KNOWN_SHORTCODE, "<PHONE>", f"[{''.join(sorted({c[0] for c in K.SHORTCODES}))}][0-9]{{2}}"),
     keyword_rule("shortcode", CONTEXT_SHORTCODE, "<PHONE>", r"\p{Nd}{3}"),
     pattern_rule("datetime", _I + K.DATETIME, "<TIME>", r"\p{Nd}"),
     pattern_rule("money", MONEY, "<MONEY>", r"\p{Nd}"),

@@ -870,6 +870,29 @@ def feature_importance(spark, d):
     return spark.createDataFrame(ml.importances(model, 20), "feature string, importance double")
 
 
+@query(f"WITH {_SCORED} SELECT DISTINCT p AS threshold, count(*) OVER w AS above, sum(label) OVER w::BIGINT AS hits, round(sum(label) OVER w / count(*) OVER w::DOUBLE, 6) AS precision, round(sum(label) OVER w / (SELECT sum(label) FROM s)::DOUBLE, 6) AS recall FROM s WINDOW w AS (ORDER BY p DESC RANGE UNBOUNDED PRECEDING)")
+def curve_points(spark, d):
+    """The points of the precision-recall curve."""
+    scored = _scored(spark, d)
+    points = ml.threshold_counts(scored).join(F.broadcast(scored.agg(F.sum("label").alias("all"))))  # one row
+    return points.select("threshold", F.col("above").cast("bigint").alias("above"), F.col("hits").cast("bigint").alias("hits"), F.round(F.col("hits") / F.col("above"), 6).alias("precision"), F.round(F.col("hits") / F.col("all"), 6).alias("recall"))
+
+
+@query()
+def feature_statistics(spark, d):
+    """Of each feature: totals, the ratio of the classes' means, and the correlation with the label."""
+    rows = written(_training(spark, d), "training")
+    sums, ratios = eda.column_summary(rows, K.FEATURES), eda.mean_ratio(rows, "label", K.FEATURES)
+    with_label = eda.correlations(rows, [*K.FEATURES, "label"]).filter("b = 'label' AND a <> 'label'").select(F.col("a").alias("feature"), "r")
+    return sums.join(ratios, "feature").join(with_label, "feature")
+
+
+@query()
+def feature_means(spark, d):
+    """The features' means by class."""
+    return eda.group_means(_training(spark, d), "label", K.FEATURES)
+
+
 # ---- from messages to decisions ------------------------------------------------------------------------------
 
 
