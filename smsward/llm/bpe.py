@@ -24,6 +24,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
+from smsward.llm.common import slices
+
 STORE, OVERHEAD = 96 << 20, 200
 PAIRS = 300_000
 _SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
@@ -239,7 +241,7 @@ def encode_documents(docs: DataFrame, tokenizer: str, text: str = "text", keep:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _READY.get(key) or _READY.setdefault(key, Codec(shared.value))
-        for batch in batches:
+        for batch in slices(batches):
             at = 0
             for part in _pieces([x or "" for x in batch.column(text).to_pylist()]):
                 ids = codec.encode(part)

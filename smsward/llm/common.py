@@ -1,11 +1,13 @@
 """Shared pieces: table access, shared scratch tables, and numpy tokenising and hashing.
 
-Texts reach Python as Arrow batches and are handled as byte blocks of about a megabyte, so the
-memory of a task is bounded by the block and by the longest single text, not by the partition.
+Texts reach Python as Arrow batches and are handled as byte blocks of about half a megabyte, so the
+memory of a task is bounded by the block and by the longest single text, not by the partition; what a task has freed
+goes back to the system when it ends, as Python workers live on between tasks.
 """
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,7 +19,8 @@ from pyspark.sql import functions as F
 from smsward.scratch import written  # noqa: F401  (operators take it from here)
 
 U64 = np.uint64
-BLOCK = 1 << 20
+BLOCK = 1 << 19
+ROWS = 1000
 
 #: Spaces that separate words: U+0020 and U+0009 to U+000D, as bytes.
 SPACES = np.array([b != 0x20 and not 0x09 <= b <= 0x0D for b in range(256)])
@@ -40,6 +43,22 @@ def plan_bytes(df: DataFrame) -> int:
     return size if size < 1 << 56 else 0
 
 
+def release() -> None:
+    """Gives freed memory of Arrow and of the C library back to the system."""
+    pa.default_memory_pool().release_unused()
+    libc = ctypes.CDLL(None)
+    if hasattr(libc, "malloc_trim"):
+        libc.malloc_trim(0)
+
+
+def slices(batches: Iterator[pa.RecordBatch], rows: int = ROWS) -> Iterator[pa.RecordBatch]:
+    """The batches in pieces of some rows, so that what is made of a piece in Python is small; memory is released at the end."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+    release()
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -120,6 +139,7 @@ def blocks(batches: Iterator[pa.RecordBatch], column: str, lower: bool = False,
             to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + limit, "right")) - 1)
             yield Block(batch.slice(at, to - at), data[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at])
             at = to
+    release()
 
 
 HOT_SHARE, HOT_ROWS, MAX_HOT = 1e-3, 1 << 20, 50_000

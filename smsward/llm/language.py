@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from smsward.llm.common import LETTERS, U64, blocks, join_groups, mix, within, written
+from smsward.llm.common import LETTERS, U64, blocks, join_groups, mix, slices, within, written
 from smsward.llm.urls import host_and_path
 
 BUCKETS = 1 << 15
@@ -170,7 +170,7 @@ def identify(pages: DataFrame, docs: DataFrame) -> DataFrame:
     shared = pages.sparkSession.sparkContext.broadcast(model)  # as many entries as the sample has n-grams, at most
 
     def evidence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        texts = (pa.RecordBatch.from_arrays([*b.drop_columns(["html"]).columns, pa.array([main_text(x or "") for x in b.column("html").to_pylist()], pa.string())], ["page_id", "declared", "host", "suffix", "text"]) for b in batches)
+        texts = (pa.RecordBatch.from_arrays([*b.drop_columns(["html"]).columns, pa.array([main_text(x or "") for x in b.column("html").to_pylist()], pa.string())], ["page_id", "declared", "host", "suffix", "text"]) for b in slices(batches, 200))
         for rows, gram, row in _grams(texts):
             n = np.bincount(row, minlength=rows.num_rows)
             score = shared.value.likelihoods(rows.num_rows, gram, row) * np.minimum(n, WEIGHT)[:, None]

@@ -31,6 +31,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from smsward.llm.common import slices
+
 KINDS = ("email", "ip", "card", "phone")
 SAMPLE = 1000
 REGIONS = 2000
@@ -369,7 +371,7 @@ def find_spans(docs: DataFrame, field: SegmentCRF | None = None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = SegmentCRF()
         model.weights = weights
-        for batch in batches:
+        for batch in slices(batches):
             rows = []
             for t in batch.column("text"):
                 text = t.as_py() or ""

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from smsward.llm.common import U64, Block, blocks, mix, pack, plan_bytes, rolling, shuffle_partitions, unpack, within, written
+from smsward.llm.common import U64, Block, blocks, mix, pack, plan_bytes, rolling, shuffle_partitions, slices, unpack, within, written
 
 CHUNK_WINDOWS = 1 << 20
 BUCKET_BYTES, PIECE_BYTES, FAN = 4 << 20, 64 << 20, 2048
@@ -259,7 +259,7 @@ def _key() -> list:
 
 
 def _apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches):
         ids, n, removed, kept = batch.column("doc_id"), [], [], []
         for text, spans in zip(batch.column("text"), batch.column("spans"), strict=True):
             words = (text.as_py() or "").encode().split()
