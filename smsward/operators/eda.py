@@ -29,12 +29,15 @@ def any_count(columns: list[str]) -> Column:
     return sum((F.col(c) for c in columns[1:]), F.col(columns[0])) > 0
 
 
-def correlations(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Pearson correlation of each pair of columns, in one aggregate."""
-    pairs = [(a, b) for a in columns for b in columns]
-    wide = df.agg(*(F.corr(F.col(a).cast("double"), F.col(b).cast("double")).alias(f"{a}|{b}") for a, b in pairs))
-    cells = [F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.round(F.col(f"`{a}|{b}`"), 6).alias("r")) for a, b in pairs]
-    return wide.select(F.explode(F.array(*cells)).alias("c")).select("c.*")
+def correlations(df: DataFrame, columns: list[str], others: list[str] | None = None) -> DataFrame:
+    """Pearson correlation of each column with each of the others (all, if none are given), in one aggregate; null where a column is constant."""
+    others = others if others is not None else columns
+    x = {c: F.col(c).cast("double") for c in [*columns, *others]}
+    pairs = [(a, b) for a in columns for b in others]
+    parts = [F.covar_pop(x[a], x[b]).alias(f"{a}|{b}") for a, b in pairs] + [F.stddev_pop(x[c]).alias(f"{c}|") for c in x]
+    r = lambda a, b: F.round(F.col(f"`{a}|{b}`") / F.nullif(F.col(f"`{a}|`") * F.col(f"`{b}|`"), F.lit(0.0)), 6)
+    cells = [F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), r(a, b).alias("r")) for a, b in pairs]
+    return df.agg(*parts).select(F.explode(F.array(*cells)).alias("c")).select("c.*")
 
 
 def term_frequency(df: DataFrame, label: str, words: Column) -> DataFrame:

@@ -583,7 +583,7 @@ def ratio_of_sums(spark, d):
 @query(f"WITH {_NUMBERED}, c AS ({' UNION ALL '.join(f"SELECT '{a}' AS feature, round(corr({a}, label), 6) AS r FROM n" for a in _NUMBERS)}) SELECT feature, r, row_number() OVER (ORDER BY r DESC, feature) AS place FROM c")
 def label_correlations(spark, d):
     """Of each feature the correlation with the label, the greatest first."""
-    found = eda.correlations(_numbers(_labelled(spark, d)), [*_NUMBERS, "label"]).filter("b = 'label' AND a <> 'label'")
+    found = eda.correlations(_numbers(_labelled(spark, d)), _NUMBERS, ["label"])
     return found.select(F.col("a").alias("feature"), "r", F.row_number().over(Window.orderBy(F.desc("r"), "a")).cast("bigint").alias("place"))  # a row a feature
 
 
@@ -883,7 +883,7 @@ def feature_statistics(spark, d):
     """Of each feature: totals, the ratio of the classes' means, and the correlation with the label."""
     rows = written(_training(spark, d), "training")
     sums, ratios = eda.column_summary(rows, K.FEATURES), eda.mean_ratio(rows, "label", K.FEATURES)
-    with_label = eda.correlations(rows, [*K.FEATURES, "label"]).filter("b = 'label' AND a <> 'label'").select(F.col("a").alias("feature"), "r")
+    with_label = eda.correlations(rows, K.FEATURES, ["label"]).select(F.col("a").alias("feature"), "r")
     return sums.join(ratios, "feature").join(with_label, "feature")
 
 
