@@ -160,13 +160,13 @@ def misspell(df: DataFrame, dic: Dictionary) -> DataFrame:
     rows = written(df.withColumn("_row", F.monotonically_increasing_id()), "rows")
     words = with_known(rows.select("_row", F.posexplode("to_check").alias("pos", "word")).filter(eligible(F.col("word"))), dic)
     words = words.withColumn("oov", ~F.col("known"))
-    run = written(run_on(words.filter("oov").select("word"), dic).withColumn("run", F.lit(True)), "run-on")
-    few = (run.agg(F.sum(F.octet_length("word") + 32)).first()[0] or 0) <= SMALL
-    words = words.join(F.broadcast(run) if few else run, "word", "left")
-    flag = lambda c: F.col("oov") & c
+    # each unknown word is judged once, however often it occurs
     w = F.col("word")
-    words = words.withColumns({"gib": flag(gibberish(w)), "rep": flag(repeated_char(w)), "run": flag(F.col("run").isNotNull())})
-    words = words.withColumn("telex", flag(~F.col("rep") & broken_telex(w)))
+    odd = written(words.filter("oov").select("word").distinct(), "unknown")
+    flags = odd.join(run_on(odd, dic).withColumn("run", F.lit(True)), "word", "left").select("word", gibberish(w).alias("gib"), repeated_char(w).alias("rep"), F.col("run").isNotNull().alias("run"))
+    flags = written(flags.withColumn("telex", ~F.col("rep") & broken_telex(w)), "flags")
+    few = (flags.agg(F.sum(F.octet_length("word") + 48)).first()[0] or 0) <= SMALL
+    words = words.join(F.broadcast(flags) if few else flags, "word", "left")
     n = lambda c: F.coalesce(F.sum(F.col(c).cast("int")), F.lit(0)).cast("int")
     per = words.groupBy("_row").agg(
         n("oov").alias("oov_count"), F.round(n("oov") / F.count("*"), 6).alias("oov_density"), n("telex").alias("broken_telex_count"),
