@@ -467,3 +467,14 @@ def test_narrow_columns_hold_their_values(spark):
     assert sorted(order) == list(range(9)) and y.tolist() == [i % 2 for i in order] and x[0].dtype == np.uint8
     for i, column in enumerate(x):
         assert column.astype(float).tolist() == pytest.approx([np.nan if rows[k][2 + i] is None else rows[k][2 + i] for k in order], abs=0, rel=0, nan_ok=True)
+
+
+def test_two_models_learn_from_all_rows(spark, monkeypatch):
+    """Both models of two_models: boosted and forest fit all labelled rows, however many these are."""
+    n, seen, fitted = 200_600, [], trees.fitted
+    monkeypatch.setattr(trees, "spread", lambda spark, jobs, run, at_once=64: [run(job) for job in jobs])
+    monkeypatch.setattr(trees, "fitted", lambda kind, x, y, *more: (seen.append((kind, len(y), len(x[0]))), fitted(kind, x, y, *more))[1])
+    rows = _many(spark, n)
+    for kind in ("boosted", "forest"):
+        assert len(ml.train(rows, kind, trees=1, features=["x", "z"], sender=None).trees) == 1
+    assert seen == [("boosted", n, n), ("forest", n, n)]
